@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from boxwright.llm import bytesops
 from boxwright.llm.graph import connected_components
-from boxwright.llm.store import cut
+from boxwright.llm.store import cut, materialise, remove
 
 WORDS, BITS, SEED = 4, 4, 42
 #: (first bit, bits) of the segments; 4 differing bits leave one with at most one.
@@ -105,12 +105,15 @@ def _close(a: str, b: str) -> str:
 
 def near_components(distinct: DataFrame, name: str = "simhash") -> DataFrame:
     """``distinct``: (fp), each once. Returns (fp, root) for fingerprints with a link: the smallest one reachable."""
-    members = distinct.select("fp", F.explode(F.array(*_keys(F.col("fp")))).alias("key"))
-    buckets = members.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    # the buckets with several members only
-    full = cut(members.join(buckets, "key"), f"{name}-buckets")
+    # one exchange serves both the buckets' figures and their members
+    members = distinct.select("fp", F.explode(F.array(*_keys(F.col("fp")))).alias("key")).repartition("key")
+    buckets = members.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n"))
+    kept, kept_path = materialise(buckets.where(f"n > 2 OR (n = 2 AND {_close('low', 'high')})"), f"{name}-buckets")
+    # two members: their link is plain; more: the members are needed
+    full = cut(members.join(kept.where("n > 2"), "key"), f"{name}-members")
     star = full.select("fp", F.explode(F.array("low", "high")).alias("to")).where(f"fp <> to AND {_close('fp', 'to')}")
-    first = connected_components(star.toDF("a", "b"), f"{name}-star")
+    first = connected_components(star.union(kept.where("n = 2").select("low", "high")).toDF("a", "b"), f"{name}-star")
+    remove(distinct.sparkSession, kept_path)
     # what is still apart within a bucket
     placed = full.select("key", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("part"))
     sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
