@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from boxwright.llm.store import table
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from boxwright.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boxwright.llm.simhash import near_duplicates
 
