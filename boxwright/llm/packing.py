@@ -14,11 +14,8 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,76 +28,155 @@ from boxwright.llm.store import cut
 CAPACITY, END_ID = 2048, 0
 #: Rounds of multiplicative weights, and the weights' step.
 ROUNDS, STEP = 400, 1.2
-#: Words that a Python worker keeps the ids of.
-CACHE_WORDS = 800_000
+#: Units that a Python worker keeps the ids of.
+CACHE_UNITS = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
+def _classes() -> np.ndarray:
+    """0 white space, 1 letter, 2 punctuation, 3 anything else."""
+    out = np.full(256, 3, np.uint8)
+    out[[32, *range(9, 14)]] = 0
+    out[[*range(65, 91), *range(97, 123)]] = 1
+    out[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<"]] = 2
+    return out
+
+
+CLASSES = _classes()
+
+
 class WordIds:
-    """Ids of white-space-separated words, kept between calls. The tokenizer drops white space, so a text's ids are
-    those of its words in turn."""
+    """Ids of the units of texts, kept between calls.
+
+    The tokenizer drops white space, takes lower case and then splits runs of letters from runs of marks. A unit is such
+    a run of ASCII or Latin-1 letters, or of ASCII marks; a white-space-separated word with anything else in it
+    (digits, apostrophes, other scripts, special tokens) is one unit as it stands. Units are found, hashed to 64 bits
+    and looked up a group of texts at a time; only new ones reach the tokenizer.
+    """
 
     def __init__(self, path: str, separator: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.separator = Tokenizer.from_file(path), separator
         self.separator_id = self.tokenizer.token_to_id(separator)
-        self.simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*$#|]*)")
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.pool = array("I", [END_ID])
-        self.starts, self.sizes = array("q", [0]), array("q", [1])  # word 0 is the end id
-
-    def _encode(self, parts: list[str]) -> None:
+        self.keys, self.values = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int32)
+        self.starts, self.sizes, self.count = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64), 1
+        self.pool, self.used = np.full(1 << 19, END_ID, np.uint32), 1  # unit 0 is the end id
+        self.sizes[0] = 1
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's unit, -1 for none."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = (hashes & mask).astype(np.int64)
+        held = self.keys[slot]
+        out = np.where(held == hashes, self.values[slot], -1)
+        open_ = np.flatnonzero((held != hashes) & (held != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(mask)
+            held = self.keys[slot[open_]]
+            hit = held == hashes[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (held != 0)]
+        return out
+
+    def _place(self, hashes: np.ndarray, units: np.ndarray) -> None:
+        """``hashes``: distinct and new."""
+        if 2 * (self.count + len(hashes)) > len(self.keys):
+            old = self.keys != 0
+            keys, values = self.keys[old], self.values[old]
+            size = len(self.keys)
+            while 2 * (self.count + len(hashes)) > size:
+                size *= 2
+            self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._place(keys, values)
+        mask = len(self.keys) - 1
+        slot = (hashes & np.uint64(mask)).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            at, own = np.unique(slot[free], return_index=True)
+            self.keys[at], self.values[at] = hashes[free[own]], units[free[own]]
+            left = left[self.keys[slot[left]] != hashes[left]]
+            slot[left] = (slot[left] + 1) & mask
+
+    def _encode(self, parts: list[str]) -> list[list[int]]:
+        found: list[list[int]] = []
         for at in range(0, len(parts), 4096):
             some = parts[at : at + 4096]
-            plain = [p for p in some if "<|" not in p]
-            ids, found = self.tokenizer.encode(self.separator.join(plain), add_special_tokens=False).ids if plain else [], [[]]
-            for i in ids:
-                if i == self.separator_id:
-                    found.append([])
-                else:
-                    found[-1].append(i)
-            self.parts.update(zip(plain, found, strict=True) if plain else ())
-            self.parts.update((p, self.tokenizer.encode(p, add_special_tokens=False).ids) for p in some if "<|" in p)
-
-    def _learn(self, new: list[bytes]) -> None:
-        split, match, parts = [], self.simple.fullmatch, self.parts
-        for text in [w.decode("utf-8", "replace") for w in new]:
-            m = match(text)
-            split.append((m[1].lower(), m[2]) if m else (text, ""))
-        wanted = {core for core, _ in split}
-        wanted.update(tail for _, tail in split)
-        self._encode([p for p in wanted.difference(parts) if p])
-        pool, starts, sizes, at = self.pool, self.starts, self.sizes, len(self.pool)
-        number = len(starts)
-        for core, tail in split:
-            ids = parts[core] + parts[tail] if tail else parts[core]
-            pool.extend(ids)
-            starts.append(at)
-            sizes.append(len(ids))
-            at += len(ids)
-        self.words.update(zip(new, range(number, number + len(new)), strict=True))
-
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            if any("<|" in p for p in some):
+                found += [self.tokenizer.encode(p, add_special_tokens=False).ids for p in some]
+                continue
+            ids = np.array(self.tokenizer.encode(self.separator.join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(ids == self.separator_id)
+            found += [x[1:] if k else x for k, x in enumerate(np.split(ids, ends))]
+        return found
+
+    def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
+        ids = self._encode(parts)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        total, n = int(sizes.sum()), len(parts)
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while self.count + n > len(self.starts):
+            self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
+        self.pool[self.used : self.used + total] = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if n else ()
+        self.starts[self.count : self.count + n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.count : self.count + n] = sizes
+        self._place(hashes, np.arange(self.count, self.count + n, dtype=np.int32))
+        self.count, self.used = self.count + n, self.used + total
+
+    @staticmethod
+    def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes in lower case, starts, ends) of the units of texts ``buf[offsets[i]:offsets[i + 1]]``."""
+        kind, low = CLASSES[buf], bytesops.lower_ascii(buf)
+        lead = np.flatnonzero(buf[:-1] == 0xC3)
+        after = buf[lead + 1]
+        lead = lead[(after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+        upper = lead[buf[lead + 1] <= 0x9E] + 1
+        low[upper] += 0x20
+        w = bytesops.split_words(buf, offsets)
+        odd = np.concatenate(([0], np.cumsum(kind == 3)))
+        odd = np.flatnonzero(odd[w.ends] > odd[w.starts])
+        if len(odd):
+            inside = np.zeros(len(buf) + 1, np.int8)
+            np.add.at(inside, w.starts[odd], 1)
+            np.add.at(inside, w.ends[odd], -1)
+            inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+            kind[inside] = 3
+            low[inside] = buf[inside]
+        change = np.ones(len(buf) + 1, bool)
+        change[1:-1] = kind[1:] != kind[:-1]
+        change[offsets] = True
+        edges = np.flatnonzero(change)
+        solid = kind[edges[:-1]] != 0
+        return low, edges[:-1][solid], edges[1:][solid]
+
+    def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, first id of each text and the end); every text ends with the end id."""
-        words = [t.split() for t in texts]
-        new = set(chain.from_iterable(words)).difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS and self.words:
-            self.clear()
-            new = set(chain.from_iterable(words))
-        self._learn(list(new))
-        get = self.words.__getitem__
-        own = np.array(list(chain.from_iterable(chain(map(get, w), (0,)) for w in words)), np.int64)
-        sizes, starts = np.array(self.sizes)[own], np.array(self.starts)[own]
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-        word_ends = np.cumsum([len(w) + 1 for w in words])
-        return np.array(self.pool, np.uint32)[at], np.concatenate(([0], ends[word_ends - 1])) if len(words) else np.zeros(1, np.int64)
+        low, starts, ends = self.units(buf, offsets) if len(buf) else (buf, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        hashes = np.maximum(bytesops.span_hashes(low, starts, ends), np.uint64(1))
+        found = self._find(hashes)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            if self.count + len(missing) > CACHE_UNITS:
+                self.clear()
+                missing = np.arange(len(hashes))
+            new, first = np.unique(hashes[missing], return_index=True)
+            first, raw = missing[first], low.tobytes()
+            self._learn(new, [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            found[missing] = self._find(hashes[missing])
+        # the end id after each text's units
+        own = np.insert(found.astype(np.int64), np.searchsorted(starts, offsets[1:]), 0)
+        sizes = self.sizes[own]
+        after = np.cumsum(sizes)
+        at = np.arange(after[-1] if len(after) else 0) + np.repeat(self.starts[own] - (after - sizes), sizes)
+        last = np.searchsorted(starts, offsets[1:]) + np.arange(len(offsets) - 1)
+        return self.pool[at], np.concatenate(([0], after[last]))
 
 
 _kept: dict[str, WordIds] = {}
@@ -121,9 +197,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
 
         known, part, nth = word_ids(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at, to in bytesops.groups(bytesops.binary_parts(batch.column(1))[1]):
+            data, offsets = bytesops.binary_parts(batch.column(1))
+            for at, to in bytesops.groups(offsets):
                 group = batch.slice(at, to - at)
-                ids, first = known.ids([t or b"" for t in group.column(1).to_pylist()])
+                ids, first = known.ids(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
                 sizes = np.diff(first)
                 count = -(-sizes // capacity)
                 doc = np.repeat(np.arange(len(sizes)), count)
