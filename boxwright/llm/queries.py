@@ -29,6 +29,18 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boxwright.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boxwright.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boxwright.llm.secret_scan import scan
 
