@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO, ONE = F.lit(0.0), F.lit(1.0)
+ZERO, ONE = 0.0, 1.0
 
 
 class Box(NamedTuple):
@@ -43,12 +43,12 @@ class Box(NamedTuple):
 def intersection(a: Box, b: Box) -> Column:
     w = F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1)
     h = F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1)
-    return F.greatest(ZERO, w) * F.greatest(ZERO, h)
+    return F.greatest(F.lit(ZERO), w) * F.greatest(F.lit(ZERO), h)
 
 
 def iou(a: Box, b: Box, clamp_areas: bool = False) -> Column:
     """Intersection over union, 0 where the union is not positive. ``clamp_areas``: inverted boxes have no area."""
-    area = (lambda x: F.greatest(ZERO, x.width) * F.greatest(ZERO, x.height)) if clamp_areas else (lambda x: x.area)
+    area = (lambda x: F.greatest(F.lit(ZERO), x.width) * F.greatest(F.lit(ZERO), x.height)) if clamp_areas else (lambda x: x.area)
     common = intersection(a, b)
     union = area(a) + area(b) - common
     return F.when(union > 0, common / union).otherwise(ZERO)
@@ -60,7 +60,7 @@ def flip_horizontal(box: Box, width: Column) -> Box:
 
 
 def clamp(box: Box, width: Column, height: Column) -> Box:
-    edge = lambda v, most: F.least(most, F.greatest(ZERO, v))
+    edge = lambda v, most: F.least(most, F.greatest(F.lit(ZERO), v))
     return Box(edge(box.x1, width), edge(box.y1, height), edge(box.x2, width), edge(box.y2, height))
 
 
@@ -80,7 +80,7 @@ class YoloBox(NamedTuple):
 
 def to_yolo(box: Box) -> YoloBox:
     """Normalised corners to centre and size, clamped to [0, 1] first."""
-    unit = clamp(box, ONE, ONE)
+    unit = clamp(box, F.lit(ONE), F.lit(ONE))
     return YoloBox((unit.x1 + unit.x2) / 2, (unit.y1 + unit.y2) / 2, unit.width, unit.height)
 
 

@@ -8,7 +8,7 @@ from boxwright.functions import geometry as G
 from boxwright.plans.registry import query
 from boxwright.sources import fixtures as X
 
-W, H = F.lit(X.WIDTH), F.lit(X.HEIGHT)
+W, H = X.WIDTH, X.HEIGHT
 
 
 def _pairs(spark, d):
@@ -75,7 +75,7 @@ def p06(spark, d):
 @query("P07_yolo_to_pixels", X.sql("SELECT image_id, (x_center-width/2)*800 AS x1, (y_center-height/2)*600 AS y1, (x_center+width/2)*800 AS x2, (y_center+height/2)*600 AS y2 FROM yolo", f"yolo AS ({_YOLO})"))
 def p07(spark, d):
     y = G.YoloBox(*(F.col(n) for n in G.YoloBox._fields))
-    return yolo_rows(spark, d).select("image_id", *G.from_yolo(y, W, H).columns())
+    return yolo_rows(spark, d).select("image_id", *G.from_yolo(y, F.lit(W), F.lit(H)).columns())
 
 
 @query("P08_xywh_strict", X.sql("SELECT image_id, x1, y1, x1 + (x2-x1) AS x2, y1 + (y2-y1) AS y2 FROM boxes WHERE x1 >= 0 AND y1 >= 0 AND x2-x1 > 0 AND y2-y1 > 0 AND x1 + (x2-x1) <= 800 AND y1 + (y2-y1) <= 600"))
@@ -91,14 +91,14 @@ _CLAMP = "least(800.0::DOUBLE, greatest(0.0::DOUBLE, {0})) AS x1, least(600.0::D
 @query("P09_clamp_positive", X.sql(f"SELECT * FROM (SELECT image_id, class_id, {_CLAMP.format('x1-150', 'y1', 'x2-150', 'y2')} FROM boxes) WHERE x2 > x1 AND y2 > y1"))
 def p09(spark, d):
     b = G.Box.of()
-    moved = G.clamp(G.Box(b.x1 - 150, b.y1, b.x2 - 150, b.y2), W, H)
+    moved = G.clamp(G.Box(b.x1 - 150, b.y1, b.x2 - 150, b.y2), F.lit(W), F.lit(H))
     return X.boxes(spark, d).select("image_id", "class_id", *moved.columns()).where("x2 > x1 AND y2 > y1")
 
 
 @query("P10_clip_and_flag", X.sql(f"SELECT image_id, x1, y1, x2, y2, x1 <> a OR y1 <> b OR x2 <> c OR y2 <> e AS clipped FROM (SELECT image_id, x1 AS a, y1 AS b, x2 AS c, y2 AS e, {_CLAMP.format('boxes.x1', 'boxes.y1', 'boxes.x2', 'boxes.y2')} FROM boxes) WHERE x2 > x1 AND y2 > y1"))
 def p10(spark, d):
     b = G.Box.of()
-    c = G.clamp(b, W, H)
+    c = G.clamp(b, F.lit(W), F.lit(H))
     changed = (c.x1 != b.x1) | (c.y1 != b.y1) | (c.x2 != b.x2) | (c.y2 != b.y2)
     return X.boxes(spark, d).select("image_id", *c.columns(), changed.alias("clipped")).where("x2 > x1 AND y2 > y1")
 
@@ -107,7 +107,7 @@ def p10(spark, d):
 def p11(spark, d):
     b = G.Box.of()
     moved = X.boxes(spark, d).select("image_id", (b.x1 - F.lit(0.005)).alias("x1"), "y1", (b.x2 - F.lit(0.005)).alias("x2"), "y2")
-    s = G.snap(G.Box.of(), W, H)
+    s = G.snap(G.Box.of(), F.lit(W), F.lit(H))
     return moved.select("image_id", s.x1.alias("x1"), s.x2.alias("x2"))
 
 
@@ -120,7 +120,7 @@ def p12(spark, d):
 
 @query("P13_horizontal_flip", X.sql("SELECT image_id, 800 - x2 AS x1, y1, 800 - x1 AS x2, y2 FROM boxes"))
 def p13(spark, d):
-    return X.boxes(spark, d).select("image_id", *G.flip_horizontal(G.Box.of(), W).columns())
+    return X.boxes(spark, d).select("image_id", *G.flip_horizontal(G.Box.of(), F.lit(W)).columns())
 
 
 @query("P14_shape_features", X.sql("SELECT image_id, (x2-x1)/(y2-y1) AS aspect, (x2-x1)*(y2-y1)/(CAST(800 AS DOUBLE)*600) AS area_fraction, (x2-x1)*640/800 AS width_640, (y2-y1)*640/600 AS height_640 FROM boxes"))
@@ -132,7 +132,7 @@ def p14(spark, d):
 @query("P15_slice_to_image", X.sql("SELECT * FROM (SELECT image_id, least(800.0::DOUBLE, x1+160) AS x1, least(600.0::DOUBLE, y1+120) AS y1, least(800.0::DOUBLE, x2+160) AS x2, least(600.0::DOUBLE, y2+120) AS y2 FROM boxes) WHERE x2 > x1 AND y2 > y1"))
 def p15(spark, d):
     b = G.Box.of()
-    moved = G.clamp(G.Box(b.x1 + 160, b.y1 + 120, b.x2 + 160, b.y2 + 120), W, H)
+    moved = G.clamp(G.Box(b.x1 + 160, b.y1 + 120, b.x2 + 160, b.y2 + 120), F.lit(W), F.lit(H))
     return X.boxes(spark, d).select("image_id", *moved.columns()).where("x2 > x1 AND y2 > y1")
 
 
