@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
@@ -123,8 +121,12 @@ def assign(weights: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
 
 
 def optimal_match(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """``edges``: keys, a, b, iou of the pairs over the threshold. Returns the matched ones. Groups are connected boxes of
-    one image and class, so a group is small."""
+    """``edges``: keys, a, b, iou of the pairs over the threshold. Returns the matched ones. A pair whose boxes have no other
+    partner is matched as it stands; only the others, a few boxes of an image, reach the solver."""
+    rivals = [F.count("*").over(Window.partitionBy(*keys, side)) for side in ("a", "b")]
+    counted = edges.select(*keys, "a", "b", "iou", rivals[0].alias("of_a"), rivals[1].alias("of_b"))
+    plain = F.col("of_a") * F.col("of_b") == 1
+    alone = counted.where(plain).select(*keys, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "iou")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         weights = {(int(a), int(b)): float(w) for a, b, w in zip(group["a"], group["b"], group["iou"], strict=True)}
@@ -133,10 +135,5 @@ def optimal_match(edges: DataFrame, keys: list[str]) -> DataFrame:
         return pd.DataFrame([(*first, a, b, weights[a, b]) for a, b in chosen], columns=[*keys, "a", "b", "iou"])
 
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    return edges.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", a long, b long, iou double")
-
-
-def batches_of(frames: Iterator[pd.DataFrame], detect) -> Iterator[pd.DataFrame]:
-    """Runs a user's detector over batches."""
-    for frame in frames:
-        yield detect(frame)
+    solved = counted.where(~plain).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", a long, b long, iou double")
+    return alone.unionByName(solved)
