@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Documents are handled in groups of about so many bytes; a longer document is a group of its own.
-GROUP_BYTES = 3_000_000
+GROUP_BYTES = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
