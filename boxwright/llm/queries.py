@@ -75,5 +75,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: Records of equal payloads from 1000 bytes on: the largest page_id answers, the others revisit it.
+_WARC_SQL = """WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS r FROM d WHERE n >= 1000 GROUP BY h)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest, CASE WHEN r <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN r <> d.page_id THEN r END AS refers_to
+FROM d LEFT JOIN m ON m.h = d.h AND d.n >= 1000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the archives' records are within SQL: the others rest on XXH64, edit distance, tokenizers or trained models."""
+    return {"op8_warc": _WARC_SQL}
