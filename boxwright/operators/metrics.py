@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxwright.operators.ordered import ranked
+
 
 def guarded(top: Column, bottom: Column) -> Column:
     """0 where the divisor is 0."""
@@ -41,9 +43,7 @@ def class_thresholds(evidence: DataFrame, classes: DataFrame, target: float = 0.
 
 def precision_recall(scored: DataFrame, total: DataFrame, order: list[Column]) -> DataFrame:
     """The running curve of ``scored`` (confidence, is_true) in a total ``order``; ``total``: one row, truths."""
-    over = Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hits, rows = F.sum(F.col("is_true").cast("long")).over(over), F.count("*").over(over)
-    curve = scored.select("*", hits.alias("tp"), rows.alias("rank"))
+    curve = ranked(scored, order, "rank", {"tp": F.col("is_true").cast("long")})
     return curve.crossJoin(F.broadcast(total)).select(*scored.columns, "tp", "rank", (F.col("tp") / F.col("rank")).alias("precision"), (F.col("tp") / F.col("truths")).alias("recall"))  # total has one row
 
 

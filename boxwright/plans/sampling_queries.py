@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
 from boxwright.operators import allocation
+from boxwright.operators.ordered import ranked
 from boxwright.plans.aggregate_queries import _DOC_SPLIT, docs
 from boxwright.plans.geometry_queries import _CROP, _CROP_Y, crops
 from boxwright.plans.join_queries import _HASH_SQL, _NEAR, near_links
@@ -133,17 +134,17 @@ def a13(spark, d):
     marked = T(spark, d, "documents").select("doc_id").join(T(spark, d, "labels").select("doc_id", F.lit(True).alias("h")).distinct(), "doc_id", "left")
     kind = F.when(F.col("h"), "human").otherwise("pseudo")
     rows = marked.select("doc_id", kind.alias("kind")).withColumn("o", F.sha2(F.concat(F.lit("42:"), F.col("kind"), F.lit(":"), F.col("doc_id").cast("string")), 256))
-    ranked = rows.select("doc_id", "kind", (F.row_number().over(Window.partitionBy("kind").orderBy("o")) - 1).alias("k"))
-    sizes = ranked.groupBy("kind").agg(F.count("*").alias("n"))
+    placed = ranked(rows, [F.col("kind"), F.col("o")], "r")
+    sizes = placed.groupBy("kind").agg(F.count("*").alias("n"), F.min("r").alias("low"))
     most = sizes.agg(F.max("n").alias("most"))
-    placed = ranked.join(F.broadcast(sizes), "kind").crossJoin(F.broadcast(most))  # two rows, one row
+    placed = placed.join(F.broadcast(sizes), "kind").crossJoin(F.broadcast(most)).withColumn("k", F.col("r") - F.col("low"))  # two rows, one row
     repeated = placed.select("doc_id", "kind", F.explode(F.sequence(F.col("k").cast("long"), F.col("most") - 1, F.col("n"))).alias("i"))
     return repeated.select((F.col("i") * 2 + F.when(F.col("kind") == "human", 0).otherwise(1)).alias("position"), "kind", "doc_id")
 
 
 @query("A14_natural_order", "SELECT doc_id, row_number() OVER (ORDER BY sha256('42:natural:' || CAST(doc_id AS VARCHAR))) AS position FROM labels")
 def a14(spark, d):
-    return T(spark, d, "labels").select("doc_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(seeded(42, "doc_id", "natural"))).cast("long").alias("position"))
+    return ranked(T(spark, d, "labels").select("doc_id"), [seeded(42, "doc_id", "natural")], "position")
 
 
 @query("A15_domain_repeat", "SELECT doc_id, CAST(k AS INT) AS copy FROM documents, (SELECT unnest([1, 2, 3]) AS k) WHERE k <= CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END")
@@ -222,7 +223,8 @@ def a25(spark, d):
 
 @query("O01_casefold_sort", "SELECT p_name, row_number() OVER (ORDER BY lower(p_name), p_name, p_partkey) AS k FROM part")
 def o01(spark, d):
-    return T(spark, d, "part").select("p_name", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.lower("p_name"), "p_name", "p_partkey")).cast("long").alias("k"))
+    names = T(spark, d, "part").select("p_name", "p_partkey")
+    return ranked(names, [F.lower("p_name"), F.col("p_name"), F.col("p_partkey")], "k").select("p_name", "k")
 
 
 @query("O02_seeded_order", "SELECT doc_id, sha256('42:' || CAST(doc_id AS VARCHAR)) AS sort_key FROM documents ORDER BY sort_key")

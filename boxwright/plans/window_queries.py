@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
 from boxwright.operators import metrics
+from boxwright.operators.ordered import ranked
 from boxwright.plans.aggregate_queries import _CURVE, unknown_curve
 from boxwright.plans.geometry_queries import _CROP, _CROP_Y, crops
 from boxwright.plans.join_queries import PR_SQL, pr_evidence
@@ -40,8 +41,7 @@ def w07(spark, d):
 @query("W08_rank_candidates", "SELECT user_id, row_number() OVER (ORDER BY floor_pass DESC, map50 DESC, recall DESC, user_id) AS k FROM (SELECT user_id, min(value) >= 0.02::DOUBLE AS floor_pass, max(value) AS map50, count(*) AS recall FROM events GROUP BY user_id)")
 def w08(spark, d):
     runs = X.table(spark, d, "events").groupBy("user_id").agg((F.min("value") >= 0.02).alias("floor_pass"), F.max("value").alias("map50"), F.count("*").alias("recall"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("floor_pass"), F.desc("map50"), F.desc("recall"), "user_id")  # a row a run
-    return runs.select("user_id", F.row_number().over(order).cast("long").alias("k"))
+    return ranked(runs, [F.desc("floor_pass"), F.desc("map50"), F.desc("recall"), F.col("user_id")], "k").select("user_id", "k")
 
 
 @query("W09_small_objects", X.sql(f"SELECT image_id, cx, cy, k FROM (SELECT image_id, cx, cy, row_number() OVER (PARTITION BY image_id ORDER BY area, class_id, x1, y1) AS k FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cx, cy ORDER BY area, class_id, x1, y1) AS r FROM (SELECT *, (x2-x1)*(y2-y1) AS area, {_CROP} AS cx, {_CROP_Y} AS cy FROM boxes) WHERE area/480000 < 0.05::DOUBLE) WHERE r = 1) WHERE k <= 4"))
