@@ -3,8 +3,9 @@
 CGK walks a string with a random bit for each (step, symbol): the walk emits the symbol it stands on and moves on where the bit is 1, so
 a few edits become a few differing steps. Symbols here are words (hashes of their lower-case letters and digits).
 Each of ``REPEATS`` walks has its own bits and samples ``SAMPLED`` steps; a window of a document and a stretch of an item whose sampled symbols agree
-are a candidate, if the window also has a fifth of the item's rarer words. Windows begin at every ``STRIDE``-th word; of an item, stretches begin at its words in ``ANCHORS`` places, at all
-``STRIDE`` shifts, so every place of a passage meets a stretch in step. A candidate is then aligned to the item's full length,
+are a candidate. Windows begin at every ``STRIDE``-th word; of an item, stretches begin at its words in ``ANCHORS`` places, at all
+``STRIDE`` shifts, so every place of a passage meets a stretch in step. Items under ``SHORT`` words have no room for all shifts and for walks to their end:
+these are met by pairs of words at most ``GAPS`` apart, looked up at every word of a document. A candidate is then aligned to the item's full length,
 and the item is held against that window of the text by exact edit distance (best substring match) after a lossless q-gram bound. A document is
 contaminated by an item at an edit similarity of ``SIMILARITY`` or more: 1 - edits / item length, both lower-cased with white space as one space.
 
@@ -34,8 +35,14 @@ REPEATS, SAMPLED, STEPS, STRIDE = 28, 4, 16, 4
 #: Where stretches begin, as parts of an item's words.
 ANCHORS = (0.0, 0.3, 0.6)
 Q = 3
-#: Words in over this part of the items are common; a candidate shares at least this part of an item's other words.
-COMMON, SHARED = 0.04, 0.2
+#: Words in over this part of the items are common; of a pair of words one at least is not, if the item has others.
+COMMON = 0.04
+#: Items of fewer words are met by pairs of words, which lie at most so far apart.
+SHORT, GAPS = LEAST_WORDS + STRIDE - 1, 3
+#: Grams are counted by a hash of so many values.
+CODES = 1 << 12
+_SPACES = np.zeros(1 << 16, bool)
+_SPACES[[k for k in range(1 << 16) if chr(k).isspace()]] = True
 
 _drop = np.ones(256, bool)
 _drop[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -83,7 +90,9 @@ class Index(NamedTuple):
     n_words: np.ndarray
     texts: list[str]
     ids: list[int]
-    rare: list[frozenset[int]]
+    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    item_of: np.ndarray
+    first_word: np.ndarray
 
 
 def _walk(repeat: int, symbol: np.ndarray, at: np.ndarray, end: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +150,45 @@ def build(items: list[tuple[int, str]]) -> Index:
     seen = Counter(x for own in sets for x in own)
     most = max(1, int(COMMON * len(sets)))
     rare = [frozenset(x for x in own if seen[x] <= most) for own in sets]
-    return Index(levels, firsts, stretches, item, shift, n_words, texts, ids, [r if len(r) >= 4 else own for r, own in zip(rare, sets, strict=True)])
+    rare = [r if len(r) >= 4 else own for r, own in zip(rare, sets, strict=True)]
+    item_of = bytesops.doc_of(w.first, len(symbol))
+    telling = np.array([x in rare[k] for x, k in zip(symbol.tolist(), item_of.tolist(), strict=True)], bool)
+    pairs = []
+    for gap in range(1, GAPS + 1):
+        at, keys = word_pairs(symbol, item_of, gap)
+        wanted = (telling[at] | telling[at + gap]) & (n_words[item_of[at]] < SHORT)
+        order = np.argsort(keys[wanted], kind="stable")
+        keys, at = keys[wanted][order], at[wanted][order]
+        marks = np.zeros(int(MARKS) + 1, bool)
+        marks[keys & MARKS] = True
+        pairs.append((keys, at, marks))
+    return Index(levels, firsts, stretches, item, shift, n_words, texts, ids, pairs, item_of, w.first)
+
+
+def word_pairs(symbol: np.ndarray, text: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words whose ``gap``-th next word is in the same text, keys of both)."""
+    if len(symbol) <= gap:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(text[:-gap] == text[gap:])
+    return at, bytesops.mix(symbol[at] * np.uint64(0x9E3779B97F4A7C15) + symbol[at + gap] + np.uint64(gap))
+
+
+def paired(w: bytesops.Words, index: Index, symbol: np.ndarray) -> np.ndarray:
+    """Rows (document, item, first word of the item in the group's words) of places that share a pair of words with an item."""
+    doc = bytesops.doc_of(w.first, len(symbol))
+    out = [np.zeros((0, 3), np.int64)]
+    for gap, (known, place, marks) in enumerate(index.pairs, 1):
+        if not len(known):
+            continue
+        at, keys = word_pairs(symbol, doc, gap)
+        stay = np.flatnonzero(marks[keys & MARKS])
+        at, keys = at[stay], keys[stay]
+        low, high = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
+        n = high - low
+        word = place[np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)]
+        at, item = np.repeat(at, n), index.item_of[word]
+        out.append(np.stack([doc[at], item, at - (word - index.first_word[item])], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def _prefix_keys(repeat: int, symbol: np.ndarray, at: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
@@ -177,8 +224,43 @@ def candidates(w: bytesops.Words, index: Index, symbol: np.ndarray) -> np.ndarra
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
-def grams(text: str) -> Counter:
-    return Counter(text[i : i + Q] for i in range(len(text) - Q + 1))
+def gram_codes(text: np.ndarray) -> np.ndarray:
+    """A code under ``CODES`` of each Q-gram of code points."""
+    code = np.zeros(max(len(text) - Q + 1, 0), np.uint64)
+    for k in range(Q if len(code) else 0):
+        code = code * np.uint64(0x9E3779B1) + text[k : k + len(code)]
+    return (bytesops.mix(code) & np.uint64(CODES - 1)).astype(np.int64)
+
+
+def code_points(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+
+
+def item_grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(codes, counts) of each item."""
+    return [np.unique(gram_codes(code_points(t.encode())), return_counts=True) for t in texts]
+
+
+class Grams(NamedTuple):
+    """Gram codes of a group's text with white space as one space; and where each byte lies in it."""
+
+    codes: np.ndarray
+    place: np.ndarray
+
+    def shared(self, first: int, end: int, wanted: tuple[np.ndarray, np.ndarray]) -> int:
+        """At least as many grams as bytes ``first`` to ``end`` share with an item."""
+        lo, hi = int(self.place[first]), int(self.place[end - 1]) - Q + 2
+        return int(np.minimum(np.bincount(self.codes[lo : max(lo, hi)], minlength=CODES)[wanted[0]], wanted[1]).sum())
+
+
+def group_grams(buf: np.ndarray) -> Grams | None:
+    """None if bytes are no UTF-8."""
+    text, number = code_points(buf.tobytes()), np.cumsum(bytesops.code_points(buf)) - 1
+    if not len(text) or len(text) != number[-1] + 1:
+        return None
+    space = _SPACES[np.minimum(text, (1 << 16) - 1)]
+    stay = ~(space & np.concatenate(([False], space[:-1])))
+    return Grams(gram_codes(np.where(space, 32, text)[stay]), (np.cumsum(stay) - 1)[number])
 
 
 def best_distance(item: str, text: str, most: int) -> int:
@@ -216,11 +298,12 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").encode().lower().decode("utf-8", "replace").split())
 
 
-def matches(w: bytesops.Words, index: Index, item_grams: list[Counter]) -> dict[tuple[int, int], float]:
+def matches(w: bytesops.Words, index: Index, wanted: list[tuple[np.ndarray, np.ndarray]]) -> dict[tuple[int, int], float]:
     """{(document, item): similarity} of the verified candidates of a group."""
     out: dict[tuple[int, int], float] = {}
     raw, symbol = w.buf.tobytes(), symbols(w)
-    rows = candidates(w, index, symbol)
+    rows = np.unique(np.concatenate((candidates(w, index, symbol), paired(w, index, symbol))), axis=0)
+    have = group_grams(w.buf) if len(rows) else None
     for doc, item, at in rows.tolist():
         text, n = index.texts[item], int(index.n_words[item])
         if out.get((doc, item), 0.0) >= 1.0:
@@ -231,17 +314,11 @@ def matches(w: bytesops.Words, index: Index, item_grams: list[Counter]) -> dict[
         hi = min(at + n + slack, int(w.first[doc + 1]))
         if hi <= lo:
             continue
-        rare = index.rare[item]
-        if len(rare.intersection(symbol[lo:hi].tolist())) < SHARED * len(rare):
-            continue
-        window = " ".join(raw[w.starts[lo] : w.ends[hi - 1]].decode("utf-8", "replace").split())
         # each edit breaks Q grams at most
         need = len(text) - Q + 1 - Q * most
-        if need > 0:
-            have, wanted = grams(window), item_grams[item]
-            shared = sum(min(c, have[g]) for g, c in wanted.items() if g in have)
-            if shared < need:
-                continue
+        if have is not None and have.shared(int(w.starts[lo]), int(w.ends[hi - 1]), wanted[item]) < need:
+            continue
+        window = " ".join(raw[w.starts[lo] : w.ends[hi - 1]].decode("utf-8", "replace").split())
         edits = best_distance(text, window, most)
         if edits <= most:
             out[doc, item] = max(out.get((doc, item), 0.0), 1 - edits / len(text))
@@ -269,11 +346,11 @@ def _matching(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     index = build(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [grams(t) for t in index.texts]
+        wanted = item_grams(index.texts)
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             for at, _, w in bytesops.words_in(b.column(1), lower=True):
-                found = matches(w, index, counts)
+                found = matches(w, index, wanted)
                 yield pa.RecordBatch.from_arrays([pa.array([doc_ids[at + d] for d, _ in found], pa.int64()), pa.array([index.ids[i] for _, i in found], pa.int64()), pa.array(list(found.values()), pa.float64())], names=["doc_id", "item_id", "similarity"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, item_id long, similarity double")

@@ -166,6 +166,28 @@ def test_decontamination_recall_and_precision(spark):
     assert kept == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def found_in(items, texts):
+    """{(text number, item id)} without Spark."""
+    index = decontaminate.build([(k, decontaminate.normalise(t)) for k, t in items])
+    wanted, column, out = decontaminate.item_grams(index.texts), pa.array([t.encode() for t in texts], pa.binary()), set()
+    for at, _, w in bytesops.words_in(column, lower=True):
+        out |= {(at + d, index.ids[k]) for d, k in decontaminate.matches(w, index, wanted)}
+    return out
+
+
+def test_short_items_are_found_at_every_offset():
+    r, words = random.Random(5), vocabulary(21, 900)
+    items = [(k, " ".join(r.choice(words) for _ in range(5 + k % 5))) for k in range(60)]
+    texts, planted = [], set()
+    for k, item in items:
+        for offset in range(4):
+            text = [r.choice(words) for _ in range(60)]
+            text[20 + offset : 20 + offset] = item.split()
+            planted.add((len(texts), k))
+            texts.append("  ".join(text) if k % 3 else "\n".join(text))
+    assert found_in(items, texts) == planted
+
+
 def test_decontamination_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
