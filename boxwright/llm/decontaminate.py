@@ -4,9 +4,10 @@ CGK walks a string with a random bit for each (step, symbol): the walk emits the
 a few edits become a few differing steps. Symbols here are words (hashes of their lower-case letters and digits).
 Each of ``REPEATS`` walks has its own bits and samples ``SAMPLED`` steps; a window of a document and a stretch of an item whose sampled symbols agree
 are a candidate. Windows begin at every ``STRIDE``-th word; of an item, stretches begin at its words in ``ANCHORS`` places, at all
-``STRIDE`` shifts, so every place of a passage meets a stretch in step. Items under ``SHORT`` words have no room for all shifts and for walks to their end:
-these are met by pairs of words at most ``GAPS`` apart, looked up at every word of a document. A candidate is then aligned to the item's full length,
-and the item is held against that window of the text by exact edit distance (best substring match) after a lossless q-gram bound. A document is
+``STRIDE`` shifts, so every place of a passage meets a stretch in step. Walks lose passages whose edits are spread over characters, and short items
+have no room for all shifts; so items are met by pairs of words at most ``GAPS`` apart as well, looked up at every word of a document. A candidate gives the
+displacement of the item in the text; grams shared within the edits allowed of it are counted, which is lossless if what was met is aligned, and
+the item is held against that window of the text by exact edit distance (best substring match). A document is
 contaminated by an item at an edit similarity of ``SIMILARITY`` or more: 1 - edits / item length, both lower-cased with white space as one space.
 
 The benchmark is a small table by contract; its items are indexed on the driver and sent to the executors only up to
@@ -37,10 +38,12 @@ ANCHORS = (0.0, 0.3, 0.6)
 Q = 3
 #: Words in over this part of the items are common; of a pair of words one at least is not, if the item has others.
 COMMON = 0.04
-#: Items of fewer words are met by pairs of words, which lie at most so far apart.
-SHORT, GAPS = LEAST_WORDS + STRIDE - 1, 3
-#: Grams are counted by a hash of so many values.
-CODES = 1 << 12
+#: Words of a pair lie at most so far apart.
+GAPS = 3
+#: Code points that a displacement may be off besides the edits.
+OFF = 8
+#: Grams are told apart by a hash of so many values.
+CODES = 1 << 15
 _SPACES = np.zeros(1 << 16, bool)
 _SPACES[[k for k in range(1 << 16) if chr(k).isspace()]] = True
 
@@ -93,6 +96,8 @@ class Index(NamedTuple):
     pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     item_of: np.ndarray
     first_word: np.ndarray
+    #: where each word begins in its item, in code points
+    begins: np.ndarray
 
 
 def _walk(repeat: int, symbol: np.ndarray, at: np.ndarray, end: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,13 +161,18 @@ def build(items: list[tuple[int, str]]) -> Index:
     pairs = []
     for gap in range(1, GAPS + 1):
         at, keys = word_pairs(symbol, item_of, gap)
-        wanted = (telling[at] | telling[at + gap]) & (n_words[item_of[at]] < SHORT)
+        wanted = telling[at] | telling[at + gap]
         order = np.argsort(keys[wanted], kind="stable")
         keys, at = keys[wanted][order], at[wanted][order]
         marks = np.zeros(int(MARKS) + 1, bool)
         marks[keys & MARKS] = True
         pairs.append((keys, at, marks))
-    return Index(levels, firsts, stretches, item, shift, n_words, texts, ids, pairs, item_of, w.first)
+    return Index(levels, firsts, stretches, item, shift, n_words, texts, ids, pairs, item_of, w.first, _begins(w, item_of))
+
+
+def _begins(w: bytesops.Words, item_of: np.ndarray) -> np.ndarray:
+    place = Points.of(w.buf).place
+    return place[w.starts] - place[w.offsets[:-1][item_of]] if len(item_of) else np.zeros(0, np.int64)
 
 
 def word_pairs(symbol: np.ndarray, text: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,9 +184,9 @@ def word_pairs(symbol: np.ndarray, text: np.ndarray, gap: int) -> tuple[np.ndarr
 
 
 def paired(w: bytesops.Words, index: Index, symbol: np.ndarray) -> np.ndarray:
-    """Rows (document, item, first word of the item in the group's words) of places that share a pair of words with an item."""
+    """Rows (document, item, word of the group, word of the items) of places that share a pair of words with an item."""
     doc = bytesops.doc_of(w.first, len(symbol))
-    out = [np.zeros((0, 3), np.int64)]
+    out = [np.zeros((0, 4), np.int64)]
     for gap, (known, place, marks) in enumerate(index.pairs, 1):
         if not len(known):
             continue
@@ -186,9 +196,9 @@ def paired(w: bytesops.Words, index: Index, symbol: np.ndarray) -> np.ndarray:
         low, high = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
         n = high - low
         word = place[np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)]
-        at, item = np.repeat(at, n), index.item_of[word]
-        out.append(np.stack([doc[at], item, at - (word - index.first_word[item])], axis=1))
-    return np.unique(np.concatenate(out), axis=0)
+        at = np.repeat(at, n)
+        out.append(np.stack([doc[at], index.item_of[word], at, word], axis=1))
+    return np.concatenate(out)
 
 
 def _prefix_keys(repeat: int, symbol: np.ndarray, at: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
@@ -203,9 +213,9 @@ def _prefix_keys(repeat: int, symbol: np.ndarray, at: np.ndarray, end: np.ndarra
 
 
 def candidates(w: bytesops.Words, index: Index, symbol: np.ndarray) -> np.ndarray:
-    """Rows (document, item, first word of the item in the group's words, maybe before the document), each once."""
+    """Rows (document, item, word of the group, word of the items) of windows and stretches with equal keys."""
     if not len(w.starts) or not len(index.item):
-        return np.zeros((0, 3), np.int64)
+        return np.zeros((0, 4), np.int64)
     doc = bytesops.doc_of(w.first, len(symbol))
     number = np.arange(len(symbol)) - w.first[:-1][doc]
     begin = np.flatnonzero(number % STRIDE == 0)
@@ -220,8 +230,26 @@ def candidates(w: bytesops.Words, index: Index, symbol: np.ndarray) -> np.ndarra
         n = high - low
         which = index.stretch[k][np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)]
         at = np.repeat(begin[own], n)
-        out.append(np.stack([np.repeat(doc[begin[own]], n), index.item[which], at - index.shift[which]], axis=1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+        item = index.item[which]
+        out.append(np.stack([np.repeat(doc[begin[own]], n), item, at, index.first_word[item] + index.shift[which]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+
+
+class Points(NamedTuple):
+    """The code points of a group's text with white space as one space; and where each byte lies among them."""
+
+    text: np.ndarray
+    place: np.ndarray
+
+    @staticmethod
+    def of(buf: np.ndarray) -> Points:
+        # a byte that is no UTF-8 is a code point of its own
+        text = np.frombuffer(buf.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+        bad = (text >= 0xDC80) & (text <= 0xDCFF)
+        size = 1 + (text >= 0x80).astype(np.int64) + (text >= 0x800) + (text >= 0x10000) - 2 * bad
+        space = _SPACES[np.minimum(text, (1 << 16) - 1)]
+        stay = ~(space & np.concatenate(([False], space[:-1]))) if len(text) else space
+        return Points(np.where(bad, 0xFFFD, np.where(space, 32, text))[stay].astype(np.uint32), np.repeat(np.cumsum(stay) - 1, size))
 
 
 def gram_codes(text: np.ndarray) -> np.ndarray:
@@ -229,38 +257,24 @@ def gram_codes(text: np.ndarray) -> np.ndarray:
     code = np.zeros(max(len(text) - Q + 1, 0), np.uint64)
     for k in range(Q if len(code) else 0):
         code = code * np.uint64(0x9E3779B1) + text[k : k + len(code)]
-    return (bytesops.mix(code) & np.uint64(CODES - 1)).astype(np.int64)
-
+    return (bytesops.mix(code) & np.uint64(CODES - 1)).astype(np.int16)
 
-def code_points(text: bytes) -> np.ndarray:
-    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
 
+def item_grams(texts: list[str]) -> list[np.ndarray]:
+    return [gram_codes(Points.of(np.frombuffer(t.encode(), np.uint8)).text) for t in texts]
 
-def item_grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(codes, counts) of each item."""
-    return [np.unique(gram_codes(code_points(t.encode())), return_counts=True) for t in texts]
 
-
-class Grams(NamedTuple):
-    """Gram codes of a group's text with white space as one space; and where each byte lies in it."""
-
-    codes: np.ndarray
-    place: np.ndarray
-
-    def shared(self, first: int, end: int, wanted: tuple[np.ndarray, np.ndarray]) -> int:
-        """At least as many grams as bytes ``first`` to ``end`` share with an item."""
-        lo, hi = int(self.place[first]), int(self.place[end - 1]) - Q + 2
-        return int(np.minimum(np.bincount(self.codes[lo : max(lo, hi)], minlength=CODES)[wanted[0]], wanted[1]).sum())
-
-
-def group_grams(buf: np.ndarray) -> Grams | None:
-    """None if bytes are no UTF-8."""
-    text, number = code_points(buf.tobytes()), np.cumsum(bytesops.code_points(buf)) - 1
-    if not len(text) or len(text) != number[-1] + 1:
-        return None
-    space = _SPACES[np.minimum(text, (1 << 16) - 1)]
-    stay = ~(space & np.concatenate(([False], space[:-1])))
-    return Grams(gram_codes(np.where(space, 32, text)[stay]), (np.cumsum(stay) - 1)[number])
+def shared_grams(wanted: np.ndarray, codes: np.ndarray, first: int, end: int, displaced: int, off: int) -> int:
+    """How many of an item's grams lie in ``codes[first:end]`` at most ``off`` from where ``displaced`` puts them."""
+    width = 2 * off + 1
+    near = np.full(len(wanted) + width - 1, -1, np.int16)
+    start = displaced - off
+    lo, hi = max(first, start), min(end, start + len(near))
+    if lo >= hi:
+        return 0
+    near[lo - start : hi - start] = codes[lo:hi]
+    band = np.ndarray((len(wanted), width), np.int16, near, strides=(2, 2))
+    return int((band == wanted[:, None]).any(axis=1).sum())
 
 
 def best_distance(item: str, text: str, most: int) -> int:
@@ -298,30 +312,29 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").encode().lower().decode("utf-8", "replace").split())
 
 
-def matches(w: bytesops.Words, index: Index, wanted: list[tuple[np.ndarray, np.ndarray]]) -> dict[tuple[int, int], float]:
+def matches(w: bytesops.Words, index: Index, wanted: list[np.ndarray]) -> dict[tuple[int, int], float]:
     """{(document, item): similarity} of the verified candidates of a group."""
     out: dict[tuple[int, int], float] = {}
-    raw, symbol = w.buf.tobytes(), symbols(w)
-    rows = np.unique(np.concatenate((candidates(w, index, symbol), paired(w, index, symbol))), axis=0)
-    have = group_grams(w.buf) if len(rows) else None
-    for doc, item, at in rows.tolist():
-        text, n = index.texts[item], int(index.n_words[item])
+    symbol = symbols(w)
+    rows = np.concatenate((candidates(w, index, symbol), paired(w, index, symbol)))
+    if not len(rows):
+        return out
+    points = Points.of(w.buf)
+    codes = gram_codes(points.text)
+    rows = np.unique(np.stack([rows[:, 0], rows[:, 1], points.place[w.starts[rows[:, 2]]] - index.begins[rows[:, 3]]], axis=1), axis=0)
+    for doc, item, displaced in rows.tolist():
+        text = index.texts[item]
         if out.get((doc, item), 0.0) >= 1.0:
             continue
-        most = int((1 - SIMILARITY) * len(text) + 1e-9)
-        slack = max(2, n // 5)
-        lo = max(at - slack, int(w.first[doc]))
-        hi = min(at + n + slack, int(w.first[doc + 1]))
-        if hi <= lo:
-            continue
+        n, most = len(text), int((1 - SIMILARITY) * len(text) + 1e-9)
+        first, end = int(points.place[w.starts[w.first[doc]]]), int(points.place[w.ends[w.first[doc + 1] - 1] - 1]) + 1
         # each edit breaks Q grams at most
-        need = len(text) - Q + 1 - Q * most
-        if have is not None and have.shared(int(w.starts[lo]), int(w.ends[hi - 1]), wanted[item]) < need:
+        if shared_grams(wanted[item], codes, first, end - Q + 1, displaced, most + OFF) < n - Q + 1 - Q * most:
             continue
-        window = " ".join(raw[w.starts[lo] : w.ends[hi - 1]].decode("utf-8", "replace").split())
+        window = points.text[max(first, displaced - most - OFF) : min(end, displaced + n + most + OFF)].tobytes().decode("utf-32-le", "replace")
         edits = best_distance(text, window, most)
         if edits <= most:
-            out[doc, item] = max(out.get((doc, item), 0.0), 1 - edits / len(text))
+            out[doc, item] = max(out.get((doc, item), 0.0), 1 - edits / n)
     return out
 
 

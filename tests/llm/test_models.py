@@ -188,6 +188,22 @@ def test_short_items_are_found_at_every_offset():
     assert found_in(items, texts) == planted
 
 
+def test_passages_with_edits_spread_over_characters():
+    r, words = random.Random(8), [w for w in vocabulary(33, 4000) if len(w) > 3]
+    items = [(k, " ".join(r.choice(words) for _ in range(40))) for k in range(40)]
+    texts, planted = [], set()
+    for k, item in items:
+        for rate in (0.05, 0.1, 0.15, 0.18):
+            own = list(item)
+            for at in r.sample(range(len(own)), int(rate * len(own))):
+                own[at] = r.choice("xyz ")
+            texts.append(" ".join(["vor é \u00a0", *r.sample(words, 20), "".join(own), *r.sample(words, 20)]))
+            assert edits_in(item, texts[-1]) <= 0.2 * len(item)
+            planted.add((len(texts) - 1, k))
+    # what no pair of words survives in is not met
+    assert len(found_in(items, texts) & planted) >= 0.97 * len(planted)
+
+
 def test_decontamination_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
