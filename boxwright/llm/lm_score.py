@@ -6,7 +6,7 @@ two words before, and skips over one and two words; its weights are a table of `
 word's share of its class with absolute discounting; what is discounted is the probability of unseen words, one symbol a class.
 
 Training: feature and class counts of all training texts give the first weights; then ``ROUNDS`` distributed gradient updates follow, each
-over its own slice of the training texts (by hash of the id, one in ``SLICE``): tasks sum observed minus expected counts, blocks of rows are summed by key,
+over its own slice of the training texts (by hash of the id), all slices together are all of them: tasks sum observed minus expected counts, blocks of rows are summed by key,
 and the step is scaled by the expected count. Word counts cover all training texts and stay a distributed table; only words over a
 count that at most ``HEAD`` words reach are sent to executors, the others' counts are joined to the (document, word) rows that need them.
 
@@ -29,7 +29,7 @@ from boxwright.llm.store import cut
 
 CLASSES, OWN, ROWS = 64, 31, 1 << 14
 HEAD, DISCOUNT = 1 << 17, 0.5
-ROUNDS, SLICE, RATE, FIRST, KAPPA = 4, 16, 0.5, 0.4, 4.0
+ROUNDS, RATE, FIRST, KAPPA = 4, 0.5, 0.4, 4.0
 BLOCK, GROUP_BYTES = 256, 3 << 20
 #: Hashes of the end token and of what precedes a text.
 END, BEFORE = np.uint64(1), np.uint64(2)
@@ -103,7 +103,7 @@ class Words(NamedTuple):
 
 def _input(docs: DataFrame) -> DataFrame:
     trains = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, F.lit(True))
-    slice_ = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(SLICE)).cast("int")
+    slice_ = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(ROUNDS)).cast("int")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), trains.alias("trains"), slice_.alias("slice"))
 
 

@@ -166,6 +166,18 @@ def test_decontamination_recall_and_precision(spark):
     assert kept == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_gradient_rounds_see_every_training_text(spark):
+    r, words = random.Random(6), vocabulary(4, 60)
+    docs = spark.createDataFrame([(d, " ".join(r.choice(words) for _ in range(20))) for d in range(80)], "doc_id long, text string")
+    known = lm_score.frequent_words(lm_score.word_counts(docs))
+    model = lm_score.Model(np.zeros(lm_score.CLASSES, np.float32), np.zeros((lm_score.ROWS, lm_score.CLASSES), np.float32))
+    seen = np.zeros((lm_score.ROWS, lm_score.CLASSES))
+    for turn in range(lm_score.ROUNDS):
+        slope, expected = lm_score.gradient(docs, known, model, turn)
+        seen += slope + expected
+    assert np.allclose(seen, lm_score.observe(docs, known), atol=1e-3)
+
+
 def found_in(items, texts):
     """{(text number, item id)} without Spark."""
     index = decontaminate.build([(k, decontaminate.normalise(t)) for k, t in items])
