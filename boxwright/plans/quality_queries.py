@@ -182,7 +182,7 @@ def q22(spark, d):
     return X.boxes(spark, d).where("image_id % 4 = 2").groupBy("image_id", "class_id").agg(F.count("*").alias("n"))
 
 
-@query("Q23_open_world_union", X.sql("SELECT image_id, 'known' AS kind, CAST(class_id AS VARCHAR) AS label, confidence AS score FROM boxes WHERE confidence > 0.7 UNION ALL SELECT o.image_id, 'unknown', coalesce('cluster-' || CAST(e.label AS VARCHAR), 'unknown'), o.confidence*(1-o.known_iou) FROM o LEFT JOIN embeddings e ON e.vec_id = o.image_id WHERE o.known_iou < 0.35::DOUBLE", f"o AS ({_OVERLAP})"))
+@query("Q23_known_and_unknown", X.sql("SELECT image_id, 'known' AS kind, CAST(class_id AS VARCHAR) AS label, confidence AS score FROM boxes WHERE confidence > 0.7 UNION ALL SELECT o.image_id, 'unknown', coalesce('cluster-' || CAST(e.label AS VARCHAR), 'unknown'), o.confidence*(1-o.known_iou) FROM o LEFT JOIN embeddings e ON e.vec_id = o.image_id WHERE o.known_iou < 0.35::DOUBLE", f"o AS ({_OVERLAP})"))
 def q23(spark, d):
     known = X.boxes(spark, d).where("confidence > 0.7").select("image_id", F.lit("known").alias("kind"), F.col("class_id").cast("string").alias("label"), F.col("confidence").alias("score"))
     clusters = T(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.concat(F.lit("cluster-"), F.col("label").cast("string")).alias("name"))
