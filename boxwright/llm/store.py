@@ -7,16 +7,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What a batch of texts for Python holds at most, so that workers stay small (a longer text is a batch of its own).
+BATCH_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is configured (tests)."""
+    """The folder that driver and executors share. Where none is configured, a local master gets a local one; on a cluster
+    that is an error, as executors would write where nobody reads."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = f"file://{tempfile.gettempdir()}/boxwright-checkpoints"
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands Python batches of ``BATCH_BYTES`` at most."""
+    conf = df.sparkSession.conf
+    now = str(conf.get(_BATCH, "")).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/boxwright/{name}-{uuid.uuid4().hex}"
 
@@ -25,7 +42,12 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # once the table is written its shuffle files are of no use
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -41,4 +63,4 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -6,8 +6,9 @@ end even past the range, and so owns exactly the records that start inside its r
 reached through ``pyarrow.fs``; only archives in the writer's manifest are read, so attempts that failed leave no records.
 
 Null payloads are empty ones. Equal payloads of ``LEAST_REVISIT`` bytes or more are found by their SHA-1 digest; the
-largest page_id has the response, also if several rows share it. Null URLs fall back to the record's own id. Extra
-columns are ignored. An empty table gives no rows.
+largest page_id has the response, also if several rows share it. A page_id may occur with several payloads: each row is
+judged by its own. Rows without a page_id are always responses and come back without one. Null URLs fall back to the
+record's own id. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,16 +24,16 @@ from pyspark.sql import functions as F
 
 from boxwright.llm.store import cut, fresh_path
 
-LEAST_REVISIT, ARCHIVE_BYTES, SPLIT_BYTES, CHUNK = 1000, 128 << 20, 8 << 20, 1 << 18
+LEAST_REVISIT, ARCHIVE_BYTES, SPLIT_BYTES, CHUNK, RANGES_A_CORE = 1000, 128 << 20, 8 << 20, 1 << 18, 16
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record as a gzip member. ``digest``: the payload's SHA-1, hexadecimal. A revisit carries the HTTP header only."""
-    own = f"urn:page:{page_id}"
+    own = f"urn:page:{'null' if page_id is None else page_id}"
     target = "".join(c for c in url or own if c not in "\r\n")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is None:
@@ -60,7 +61,7 @@ def parse(raw: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    number = lambda x: int(x.strip("<>").rpartition(":")[2])
+    number = lambda x: None if x == "<urn:page:null>" else int(x.strip("<>").rpartition(":")[2])
     digest = base64.b32decode(fields["WARC-Payload-Digest"].split(":")[1]).hex()
     if fields["WARC-Type"] == "response":
         if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
@@ -135,8 +136,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     large = keyed.where(F.length("payload") >= LEAST_REVISIT).select("page_id", "digest")
     # digests that several pages share, then the pages that revisit: small rows, and copies are combined before the shuffle
     shared = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.min("page_id").alias("other")).where("response <> other").select("digest", "response")
-    revisits = large.join(shared, "digest").where("page_id <> response").select("page_id", F.col("response").alias("refers_to")).distinct()
-    rows = keyed.join(revisits, "page_id", "left").select("page_id", "url", "payload", "digest", "refers_to")
+    revisits = large.join(shared, "digest").where("page_id <> response").select("page_id", "digest", F.col("response").alias("refers_to")).distinct()
+    rows = keyed.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -168,10 +169,14 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return cut(rows.mapInArrow(run, "path string, bytes long, records long"), "warc-manifest")
 
 
-def read(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
-    """The records of the manifest's archives, a task for each byte range of ``split_bytes``."""
+def read(manifest: DataFrame, folder: str, split_bytes: int | None = None, with_payload: bool = False) -> DataFrame:
+    """The records of the manifest's archives, by byte ranges of ``split_bytes``: a task for each, or for a few of them once
+    there are ``RANGES_A_CORE`` tasks a core. The number is given, as so small a table would be merged to one task."""
+    split_bytes = split_bytes or SPLIT_BYTES
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
-    splits = manifest.where("bytes > 0").select("path", "bytes", starts.alias("start")).repartition("path", "start")
+    ranges = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    tasks = max(1, min(int(ranges), RANGES_A_CORE * manifest.sparkSession.sparkContext.defaultParallelism))
+    splits = manifest.where("bytes > 0").select("path", "bytes", starts.alias("start")).repartition(tasks)
     names = [c.split()[0] for c in RECORDS.split(", ")] + ["payload"] * with_payload
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 

@@ -72,3 +72,18 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
     assert got == [(1, "revisit", 2), (2, "response", None), (2, "response", None)]
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_one_page_id_with_two_payloads_and_rows_without_an_id(spark):
+    rows = [(5, "a" * 2000), (5, "b" * 2000), (9, "a" * 2000), (None, "a" * 2000), (None, "c" * 2000), (None, None)]
+    pages = spark.createDataFrame([(p, "u", h) for p, h in rows], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()), key=str)
+    sha = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    assert got == sorted([(5, sha("a" * 2000), "revisit", 9), (5, sha("b" * 2000), "response", None), (9, sha("a" * 2000), "response", None), (None, sha("a" * 2000), "response", None), (None, sha("c" * 2000), "response", None), (None, sha(""), "response", None)], key=str)
+
+
+def test_reading_is_split_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 2000)
+    pages = spark.createDataFrame([(k, "u", os.urandom(600).hex()) for k in range(200)], "page_id long, url string, html string").repartition(2)
+    found = warc.round_trip(pages)
+    assert found.rdd.getNumPartitions() > 8 and found.count() == 200
