@@ -6,11 +6,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: What a batch of texts for Python holds at most, so that workers stay small (a longer text is a batch of its own).
 BATCH_BYTES = 8 << 20
+_WORDS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, whose session from now on hands Python batches of ``BATCH_BYTES`` at most."""
     conf = df.sparkSession.conf
-    now = str(conf.get(_BATCH, "")).lower().rstrip("b")
+    now = str(conf.get(_BATCH)).lower().rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         conf.set(_BATCH, str(BATCH_BYTES))
     return df
@@ -64,3 +66,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` (a 64-bit hash) is in ``ids`` (one column), and few others: a filter before a shuffle.
+
+    A bit for each id in a table of 2**26 bits, of which only words with a bit are sent: at most 2**20 rows of two longs.
+    """
+    slot = lambda c: c.bitwiseAND(F.lit(_WORDS - 1))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast((`{c}` >> 20) & 63 AS INT))")
+    only = ids.columns[0]
+    words = ids.select(slot(F.col(only)).alias("_slot"), bit(only).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    found = df.join(F.broadcast(words), slot(F.col(column)) == F.col("_slot")).where(F.col("_bits").bitwiseAND(bit(column)) != 0)
+    return found.select(*df.columns)
