@@ -1,18 +1,19 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
-
-CGK walks a string with a random bit for each (step, symbol): the walk emits the symbol it stands on and moves on where the bit is 1, so
-a few edits become a few differing steps. Symbols here are words (hashes of their lower-case letters and digits).
-Each of ``REPEATS`` walks has its own bits and samples ``SAMPLED`` steps; a window of a document and a stretch of an item whose sampled symbols agree
-are a candidate. Windows begin at every ``STRIDE``-th word; of an item, stretches begin at its words in ``ANCHORS`` places, at all
-``STRIDE`` shifts, so every place of a passage meets a stretch in step. Walks lose passages whose edits are spread over characters, and short items
-have no room for all shifts; so items are met by pairs of words at most ``GAPS`` apart as well, looked up at every word of a document. A candidate gives the
-displacement of the item in the text; grams shared within the edits allowed of it are counted, which is lossless if what was met is aligned, and
-the item is held against that window of the text by exact edit distance (best substring match). A document is
-contaminated by an item at an edit similarity of ``SIMILARITY`` or more: 1 - edits / item length, both lower-cased with white space as one space.
+"""Benchmark decontamination: CGK walks with sampled steps as keys, looked up at every word; exact edit verification.
+
+CGK walks a string with a random bit for each (step, symbol): the walk emits the symbol it stands on and moves on where the bit is 1,
+so edits become differing steps. Symbols here are words (hashes of their lower-case letters and digits), walks begin at every word of
+an item and of a document, and two steps are sampled. What two steps at most ``GAPS`` moves apart can emit is a word and one of the ``GAPS``
+next ones, so instead of repeating random walks until the recall is reached all their outcomes are keys: a passage is met wherever any
+two words so near each other are left whole. Of a key one word at least is not common among the items, if its item has others.
+
+A key that a document and an item share places an item-sized window in the text. Around the key, grams of the window must mostly stand where the item has them
+(``ALIGNED``; at a similarity of 0.8 half of them do, by chance few), which numpy counts for all keys of a group at once; then
+the item is held against the window by exact edit distance (best substring match). A document is contaminated by an item at an edit
+similarity of ``SIMILARITY`` or more: 1 - edits / item length, both lower-cased with white space as one space.
 
 The benchmark is a small table by contract; its items are indexed on the driver and sent to the executors only up to
 ``MOST_ITEM_BYTES``; a larger benchmark is taken in slices of that size, one pass over the documents each. Items of fewer
-than ``LEAST_WORDS`` words cannot be told from chance and are left out; so are null and empty ones. Null and empty
+than ``LEAST_WORDS`` words have no key and are left out; so are null and empty ones. Null and empty
 documents match nothing. Repeated documents: one result row each; repeated items: each by its id. Extra columns are
 ignored. Empty tables give no matches.
 """
@@ -31,15 +32,14 @@ from pyspark.sql import functions as F
 from boxwright.llm import bytesops
 from boxwright.llm.store import cut
 
-SIMILARITY, LEAST_WORDS, MOST_ITEM_BYTES = 0.8, 5, 4 << 20
-REPEATS, SAMPLED, STEPS, STRIDE = 28, 4, 16, 4
-#: Where stretches begin, as parts of an item's words.
-ANCHORS = (0.0, 0.3, 0.6)
+SIMILARITY, LEAST_WORDS, MOST_ITEM_BYTES = 0.8, 2, 4 << 20
 Q = 3
 #: Words in over this part of the items are common; of a pair of words one at least is not, if the item has others.
 COMMON = 0.04
-#: Words of a pair lie at most so far apart.
-GAPS = 3
+#: Two sampled steps lie at most so many moves apart.
+GAPS = 4
+#: Of the grams up to ``AROUND`` code points from a key so many stand within ``SHIFT`` code points of their place.
+ALIGNED, AROUND, SHIFT = 0.3, 60, 4
 #: Code points that a displacement may be off besides the edits.
 OFF = 8
 #: Grams are told apart by a hash of so many values.
@@ -65,62 +65,21 @@ def symbols(w: bytesops.Words) -> np.ndarray:
     return bytesops.span_hashes(w.buf, starts, ends)
 
 
-def _seeds() -> tuple[np.ndarray, list[list[int]]]:
-    r = np.random.default_rng(20240501)
-    salts = r.integers(1, 2**63, (REPEATS, STEPS), dtype=np.int64).astype(np.uint64) | np.uint64(1)
-    steps = []
-    for k in range(REPEATS):
-        # spread over the walk: one step of each third
-        third = STEPS // SAMPLED
-        steps.append([int(j * third + r.integers(0, third)) for j in range(SAMPLED)])
-    return salts, steps
-
-
-SALTS, SAMPLES = _seeds()
 #: A table over the low bits of keys tells most others from an item's at once.
 MARKS = np.uint64((1 << 17) - 1)
 
 
 class Index(NamedTuple):
-    """For each repeat and sampled step: sorted keys of the samples so far and a table of their low bits; then, for each last
-    key, its stretches."""
-
-    levels: list[list[tuple[np.ndarray, np.ndarray]]]
-    first: list[np.ndarray]
-    stretch: list[np.ndarray]
-    item: np.ndarray
-    shift: np.ndarray
-    n_words: np.ndarray
+    """For each gap sorted keys, their first words and a table of the keys' low bits; and of the items' words, their item and where
+    each begins in it, in code points. ``grams``: those of all items, each with ``AROUND`` places without one before and after."""
+
     texts: list[str]
     ids: list[int]
     pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     item_of: np.ndarray
-    first_word: np.ndarray
-    #: where each word begins in its item, in code points
     begins: np.ndarray
-
-
-def _walk(repeat: int, symbol: np.ndarray, at: np.ndarray, end: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Walks from ``at`` (up to ``end``) and returns (which walks stay, their keys). Walks whose samples no item has are
-    dropped as soon as that shows."""
-    own, key = np.arange(len(at)), np.zeros(len(at), np.uint64)
-    done = 0
-    for step in range(SAMPLES[repeat][-1] + 1):
-        inside = at < end
-        here = np.where(inside, symbol[np.minimum(at, len(symbol) - 1)], np.uint64(0))
-        if step == SAMPLES[repeat][done]:
-            key = bytesops.mix(key * np.uint64(0x9E3779B97F4A7C15) + here + np.uint64(done + 1))
-            known, marks = levels[done]
-            stay = np.flatnonzero(marks[key & MARKS])
-            place = np.minimum(np.searchsorted(known, key[stay]), len(known) - 1)
-            stay = stay[known[place] == key[stay]]
-            own, key, at, end, here = own[stay], key[stay], at[stay], end[stay], here[stay]
-            if not len(own):
-                break
-            done += 1
-        bit = ((here * SALTS[repeat, step]) >> np.uint64(63)).astype(np.int64)
-        at = at + bit
-    return own, key
+    grams: np.ndarray
+    first_gram: np.ndarray
 
 
 def build(items: list[tuple[int, str]]) -> Index:
@@ -129,28 +88,7 @@ def build(items: list[tuple[int, str]]) -> Index:
     raw = [t.encode() for t in texts]
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
     w = bytesops.split_words(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    symbol, n_words = symbols(w), np.diff(w.first)
-    item, shift = [], []
-    for k, n in enumerate(n_words.tolist()):
-        starts = {min(int(a * n) + s, max(n - LEAST_WORDS, 0)) for a in ANCHORS for s in range(STRIDE)}
-        item += [k] * len(starts)
-        shift += sorted(starts)
-    item, shift = np.array(item, np.int64), np.array(shift, np.int64)
-    levels, firsts, stretches = [], [], []
-    for k in range(REPEATS):
-        begin, end = w.first[:-1][item] + shift, w.first[1:][item]
-        partial = []
-        for depth in range(1, SAMPLED + 1):
-            known = np.unique(_prefix_keys(k, symbol, begin, end, depth))
-            marks = np.zeros(int(MARKS) + 1, bool)
-            marks[known & MARKS] = True
-            partial.append((known, marks))
-        keys = _prefix_keys(k, symbol, begin, end, SAMPLED)
-        order = np.argsort(keys, kind="stable")
-        levels.append(partial)
-        firsts.append(np.searchsorted(keys[order], np.append(partial[-1][0], np.uint64(2**64 - 1)), side="left"))
-        firsts[-1][-1] = len(order)
-        stretches.append(order)
+    symbol = symbols(w)
     sets = [frozenset(x.tolist()) for x in np.split(symbol, w.first[1:-1])] if len(ids) else []
     seen = Counter(x for own in sets for x in own)
     most = max(1, int(COMMON * len(sets)))
@@ -167,7 +105,11 @@ def build(items: list[tuple[int, str]]) -> Index:
         marks = np.zeros(int(MARKS) + 1, bool)
         marks[keys & MARKS] = True
         pairs.append((keys, at, marks))
-    return Index(levels, firsts, stretches, item, shift, n_words, texts, ids, pairs, item_of, w.first, _begins(w, item_of))
+    own = [gram_codes(Points.of(np.frombuffer(r, np.uint8)).text) for r in raw]
+    edge = np.full(AROUND, -1, np.int16)
+    grams = np.concatenate([edge, *(x for g in own for x in (g, edge))])
+    first_gram = AROUND + np.concatenate(([0], np.cumsum([len(g) + AROUND for g in own]))).astype(np.int64)[: len(own)]
+    return Index(texts, ids, pairs, item_of, _begins(w, item_of), grams, first_gram)
 
 
 def _begins(w: bytesops.Words, item_of: np.ndarray) -> np.ndarray:
@@ -201,40 +143,6 @@ def paired(w: bytesops.Words, index: Index, symbol: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _prefix_keys(repeat: int, symbol: np.ndarray, at: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
-    key, done = np.zeros(len(at), np.uint64), 0
-    for step in range(SAMPLES[repeat][depth - 1] + 1):
-        here = np.where(at < end, symbol[np.minimum(at, len(symbol) - 1)], np.uint64(0)) if len(symbol) else np.zeros(0, np.uint64)
-        if step == SAMPLES[repeat][done]:
-            key = bytesops.mix(key * np.uint64(0x9E3779B97F4A7C15) + here + np.uint64(done + 1))
-            done += 1
-        at = at + ((here * SALTS[repeat, step]) >> np.uint64(63)).astype(np.int64)
-    return key
-
-
-def candidates(w: bytesops.Words, index: Index, symbol: np.ndarray) -> np.ndarray:
-    """Rows (document, item, word of the group, word of the items) of windows and stretches with equal keys."""
-    if not len(w.starts) or not len(index.item):
-        return np.zeros((0, 4), np.int64)
-    doc = bytesops.doc_of(w.first, len(symbol))
-    number = np.arange(len(symbol)) - w.first[:-1][doc]
-    begin = np.flatnonzero(number % STRIDE == 0)
-    end = w.first[1:][doc[begin]]
-    out = []
-    for k in range(REPEATS):
-        own, key = _walk(k, symbol, begin, end, index.levels[k])
-        if not len(own):
-            continue
-        slot = np.searchsorted(index.levels[k][-1][0], key)
-        low, high = index.first[k][slot], index.first[k][slot + 1]
-        n = high - low
-        which = index.stretch[k][np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)]
-        at = np.repeat(begin[own], n)
-        item = index.item[which]
-        out.append(np.stack([np.repeat(doc[begin[own]], n), item, at, index.first_word[item] + index.shift[which]], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-
-
 class Points(NamedTuple):
     """The code points of a group's text with white space as one space; and where each byte lies among them."""
 
@@ -260,21 +168,27 @@ def gram_codes(text: np.ndarray) -> np.ndarray:
     return (bytesops.mix(code) & np.uint64(CODES - 1)).astype(np.int16)
 
 
-def item_grams(texts: list[str]) -> list[np.ndarray]:
-    return [gram_codes(Points.of(np.frombuffer(t.encode(), np.uint8)).text) for t in texts]
-
-
-def shared_grams(wanted: np.ndarray, codes: np.ndarray, first: int, end: int, displaced: int, off: int) -> int:
-    """How many of an item's grams lie in ``codes[first:end]`` at most ``off`` from where ``displaced`` puts them."""
-    width = 2 * off + 1
-    near = np.full(len(wanted) + width - 1, -1, np.int16)
-    start = displaced - off
-    lo, hi = max(first, start), min(end, start + len(near))
-    if lo >= hi:
-        return 0
-    near[lo - start : hi - start] = codes[lo:hi]
-    band = np.ndarray((len(wanted), width), np.int16, near, strides=(2, 2))
-    return int((band == wanted[:, None]).any(axis=1).sum())
+def aligned(codes: np.ndarray, first: np.ndarray, end: np.ndarray, at: np.ndarray, index: Index, item_at: np.ndarray, block: int = 2048) -> np.ndarray:
+    """For keys at ``codes[at]``, in documents ``codes[first:end]``, and at ``index.grams[item_at]``: which part of the item's grams around
+    the key stands in its place."""
+    out = np.zeros(len(at))
+    near, wide = np.arange(-AROUND, AROUND), np.arange(-AROUND - SHIFT, AROUND + SHIFT)
+    for k in range(0, len(at), block):
+        s = slice(k, k + block)
+        place = at[s, None] + wide
+        inside = (place >= first[s, None]) & (place < end[s, None])
+        there = np.where(inside, codes[np.clip(place, 0, len(codes) - 1)], np.int16(-2)) if len(codes) else np.full(place.shape, -2, np.int16)
+        place = item_at[s, None] + near
+        wanted = index.grams[np.clip(place, 0, len(index.grams) - 1)]
+        # beyond the edge of the item nothing counts
+        gap = wanted < 0
+        wanted[:, :AROUND][np.maximum.accumulate(gap[:, AROUND - 1 :: -1], axis=1)[:, ::-1]] = -1
+        wanted[:, AROUND:][np.maximum.accumulate(gap[:, AROUND:], axis=1)] = -1
+        equal = np.zeros(wanted.shape, bool)
+        for shift in range(2 * SHIFT + 1):
+            equal |= wanted == there[:, shift : shift + 2 * AROUND]
+        out[s] = equal.sum(axis=1) / np.maximum((wanted >= 0).sum(axis=1), 1)
+    return out
 
 
 def best_distance(item: str, text: str, most: int) -> int:
@@ -312,29 +226,39 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").encode().lower().decode("utf-8", "replace").split())
 
 
-def matches(w: bytesops.Words, index: Index, wanted: list[np.ndarray]) -> dict[tuple[int, int], float]:
+def matches(w: bytesops.Words, index: Index) -> dict[tuple[int, int], float]:
     """{(document, item): similarity} of the verified candidates of a group."""
     out: dict[tuple[int, int], float] = {}
-    symbol = symbols(w)
-    rows = np.concatenate((candidates(w, index, symbol), paired(w, index, symbol)))
+    if not len(w.starts) or not len(index.item_of):
+        return out
+    rows = paired(w, index, symbols(w))
     if not len(rows):
         return out
     points = Points.of(w.buf)
     codes = gram_codes(points.text)
-    rows = np.unique(np.stack([rows[:, 0], rows[:, 1], points.place[w.starts[rows[:, 2]]] - index.begins[rows[:, 3]]], axis=1), axis=0)
-    for doc, item, displaced in rows.tolist():
-        text = index.texts[item]
-        if out.get((doc, item), 0.0) >= 1.0:
-            continue
+    doc, item, at = rows[:, 0], rows[:, 1], points.place[w.starts[rows[:, 2]]]
+    first = points.place[w.starts[w.first[doc]]]
+    end = points.place[w.ends[w.first[doc + 1] - 1] - 1] + 1
+    begin = index.begins[rows[:, 3]]
+    part = aligned(codes, first, end - Q + 1, at, index, index.first_gram[item] + begin)
+    short = np.array([len(t) for t in index.texts])[item] < 2 * Q
+    good = np.flatnonzero((part >= ALIGNED) | short)
+    order = good[np.lexsort((at[good] - begin[good], -part[good], item[good], doc[good]))]
+    tried: list[int] = []
+    last = None
+    for d, i, displaced, lo, hi in np.stack([doc, item, at - begin, first, end], axis=1)[order].tolist():
+        if (d, i) != last:
+            last, tried = (d, i), []
+        text = index.texts[i]
         n, most = len(text), int((1 - SIMILARITY) * len(text) + 1e-9)
-        first, end = int(points.place[w.starts[w.first[doc]]]), int(points.place[w.ends[w.first[doc + 1] - 1] - 1]) + 1
-        # each edit breaks Q grams at most
-        if shared_grams(wanted[item], codes, first, end - Q + 1, displaced, most + OFF) < n - Q + 1 - Q * most:
+        # a window that lies in one already held against the item
+        if any(abs(displaced - t) <= OFF for t in tried) or out.get((d, i), 0.0) >= 1.0:
             continue
-        window = points.text[max(first, displaced - most - OFF) : min(end, displaced + n + most + OFF)].tobytes().decode("utf-32-le", "replace")
+        tried.append(displaced)
+        window = points.text[max(lo, displaced - most - 2 * OFF) : min(hi, displaced + n + most + 2 * OFF)].tobytes().decode("utf-32-le", "replace")
         edits = best_distance(text, window, most)
         if edits <= most:
-            out[doc, item] = max(out.get((doc, item), 0.0), 1 - edits / n)
+            out[d, i] = max(out.get((d, i), 0.0), 1 - edits / n)
     return out
 
 
@@ -359,11 +283,10 @@ def _matching(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     index = build(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = item_grams(index.texts)
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             for at, _, w in bytesops.words_in(b.column(1), lower=True):
-                found = matches(w, index, wanted)
+                found = matches(w, index)
                 yield pa.RecordBatch.from_arrays([pa.array([doc_ids[at + d] for d, _ in found], pa.int64()), pa.array([index.ids[i] for _, i in found], pa.int64()), pa.array(list(found.values()), pa.float64())], names=["doc_id", "item_id", "similarity"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, item_id long, similarity double")
