@@ -64,6 +64,29 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Tables:
+    """Tables that one operator materialises, by frame, so that each can be deleted once nothing reads it."""
+
+    def __init__(self) -> None:
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = materialise(df, name)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes the tables of these frames; other frames are passed over."""
+        for df in frames:
+            if id(df) in self._paths:
+                _, path = self._paths.pop(id(df))
+                remove(df.sparkSession, path)
+
+    def drop_all_but(self, *frames: DataFrame) -> None:
+        kept = {id(df) for df in frames}
+        self.drop(*(df for df, _ in list(self._paths.values()) if id(df) not in kept))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
