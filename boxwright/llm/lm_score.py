@@ -1,14 +1,19 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). Classes: the end of a text, the ``OWN`` most frequent words one each, and ``CLASSES``
-- 1 - ``OWN`` classes by the last bytes of a word. P(class | history) is a maximum-entropy model over hashed features: the word before, the
-two words before, and skips over one and two words; its weights are a table of ``ROWS`` rows, however large the corpus. P(word | class) is the
-word's share of its class with absolute discounting; what is discounted is the probability of unseen words, one symbol a class.
-
-Training: feature and class counts of all training texts give the first weights; then ``ROUNDS`` distributed gradient updates follow, each
-over its own slice of the training texts (by hash of the id), all slices together are all of them: tasks sum observed minus expected counts, blocks of rows are summed by key,
-and the step is scaled by the expected count. Word counts cover all training texts and stay a distributed table; only words over a
-count that at most ``HEAD`` words reach are sent to executors, the others' counts are joined to the (document, word) rows that need them.
+Words are leaves of nested classes of ``WIDTH`` each: P(word | history) is the product of P(class | the classes above it, history) over
+``LEVELS`` levels, times the word's share of its last class. Every factor is a softmax over hashed features: the word before, the two words before, skips over
+one and two words, and the suffix classes of the word before and of the one before that (below the second level: the word before, its suffix
+class and a skip over one word). The upper two levels hold the end of a
+text, the ``OWN`` most frequent words, one class each, and classes by the last bytes of a word; the lower two split these by the word
+itself, so a last class has few frequent words. The share in a last class is a discounted one; what is discounted is the
+probability of unseen words, one symbol a class. Weights are a table whose rows grow with the distinct words of the training
+texts (``ROWS_A_WORD`` to a word), within ``ROWS``.
+
+Training covers all training texts twice: one pass counts (feature, class) and what the classes' shares alone would give, whose log ratio is
+where the weights begin; then ``ROUNDS`` distributed gradient updates follow, each over its own slice of the texts (by hash of the id), all slices
+together are all of them. Tasks sum observed and expected counts, blocks of rows are summed by key, and the step is scaled by the expected
+count. Word counts stay a distributed table; only words over a count that at most ``HEAD`` words reach are sent to
+executors, the others' counts are joined to the (document, word) rows that need them.
 
 A text trains if crc32 of its id modulo 10 is not 0. Words are told apart by 64-bit hashes. Null and empty texts are the end token alone.
 Repeated rows: one result row each. No training text: every word is unseen. Extra columns are ignored. An empty table gives no rows.
@@ -27,13 +32,20 @@ from pyspark.sql import functions as F
 from boxwright.llm import bytesops
 from boxwright.llm.store import cut
 
-CLASSES, OWN, ROWS = 64, 31, 1 << 14
+WIDTH, LEVELS, OWN = 16, 4, 95
+#: Rows of the weights' table: fewest and most, and rows to a distinct training word.
+ROWS, ROWS_A_WORD = (1 << 14, 1 << 18), 4
 HEAD, DISCOUNT = 1 << 17, 0.5
-ROUNDS, RATE, FIRST, KAPPA = 4, 0.5, 0.4, 4.0
-BLOCK, GROUP_BYTES = 256, 3 << 20
+ROUNDS, RATE, FIRST, PRIOR, KAPPA = 4, 0.5, 0.35, 5.0, 1.0
+BLOCK, GROUP_BYTES, TOKENS = 256, 1 << 20, 1 << 15
+#: Features of each level.
+FEATURES = (6, 6, 3, 3)
 #: Hashes of the end token and of what precedes a text.
 END, BEFORE = np.uint64(1), np.uint64(2)
-_N_SUFFIX = CLASSES - 1 - OWN
+_CODES = WIDTH * WIDTH
+_N_SUFFIX = _CODES - 1 - OWN
+#: First node of each level; a node is a softmax over WIDTH classes.
+_NODES = (0, 1, 1 + WIDTH, 1 + WIDTH + _CODES, 1 + WIDTH + _CODES + _CODES * WIDTH)
 
 
 class Tokens(NamedTuple):
@@ -46,39 +58,72 @@ class Tokens(NamedTuple):
 
 def tokens(w: bytesops.Words) -> Tokens:
     hashes = np.maximum(bytesops.span_hashes(w.buf, w.starts, w.ends), np.uint64(16))
-    b, size = w.buf.astype(np.int64), w.ends - w.starts
+    size = w.ends - w.starts
     code = np.zeros(len(size), np.int64)
     for k in (1, 2, 3):
-        code = code * 257 + np.where(size >= k, b[np.maximum(w.ends - k, 0)] + 1, 0) if len(size) else code
+        code = code * 257 + np.where(size >= k, w.buf[np.maximum(w.ends - k, 0)].astype(np.int64) + 1, 0) if len(size) else code
     suffix = 1 + OWN + (code * 0x9E3779B1 & 0xFFFFFFFF) % _N_SUFFIX
     ends = w.first[1:]
     doc = np.insert(bytesops.doc_of(w.first, len(size)), ends, np.arange(len(ends)))
     return Tokens(np.insert(hashes, ends, END), np.insert(suffix, ends, 0), doc)
 
 
-def history(t: Tokens) -> np.ndarray:
-    """Feature rows of each token: (tokens, 4)."""
-    def back(k: int) -> np.ndarray:
-        out = np.full(len(t.hashes), BEFORE, np.uint64)
+def slots(hashes: np.ndarray) -> np.ndarray:
+    """A word's place in the lower two levels."""
+    return ((hashes >> np.uint64(20)) & np.uint64(_CODES - 1)).astype(np.int64)
+
+
+def history(t: Tokens) -> list[np.ndarray]:
+    """The hashes of each token's features; the first three are those of the lower levels."""
+
+    def back(values: np.ndarray, k: int, none: np.uint64) -> np.ndarray:
+        out = np.full(len(values), none, np.uint64)
         if len(out) > k:
-            out[k:] = np.where(t.doc[k:] == t.doc[:-k], t.hashes[:-k], BEFORE)
+            out[k:] = np.where(t.doc[k:] == t.doc[:-k], values[:-k], none)
         return out
 
-    one, two, three = back(1), back(2), back(3)
-    parts = (one, one * np.uint64(0x9E3779B97F4A7C15) + two, two, three)
-    return np.stack([(bytesops.mix(p + np.uint64(1000 * (k + 1))) & np.uint64(ROWS - 1)).astype(np.int32) for k, p in enumerate(parts)], axis=1)
+    one, two, three = (back(t.hashes, k, BEFORE) for k in (1, 2, 3))
+    kinds = (t.suffix.astype(np.uint64) + np.uint64(1)) << np.uint64(32)
+    return [one, back(kinds, 1, BEFORE), two + np.uint64(7), back(kinds, 2, BEFORE) + np.uint64(7), one * np.uint64(0x9E3779B97F4A7C15) + two, three + np.uint64(13)]
+
+
+class Decisions(NamedTuple):
+    """Choices at one level: which tokens, their nodes, the classes chosen and the rows of their features (choices, features)."""
+
+    token: np.ndarray
+    node: np.ndarray
+    chosen: np.ndarray
+    rows: np.ndarray
+
+
+def decisions(codes: np.ndarray, slot: np.ndarray, features: list[np.ndarray], size: int) -> Iterator[Decisions]:
+    """The choices that lead to each token's last class; words with a class of their own make two. ``size``: rows of the table."""
+    deep = np.flatnonzero(codes > OWN)
+    every = np.arange(len(codes))
+    for level in range(LEVELS):
+        token = every if level < 2 else deep
+        own, low = codes[token], slot[token]
+        above = (np.zeros(len(token), np.int64), own // WIDTH, own, own * WIDTH + low // WIDTH)[level]
+        chosen = (own // WIDTH, own % WIDTH, low // WIDTH, low % WIDTH)[level]
+        node = above + _NODES[level]
+        salt = node.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        rows = [(bytesops.mix(features[k][token] + salt + np.uint64(1000 * (k + 1))) & np.uint64(size - 1)).astype(np.int32) for k in range(FEATURES[level])]
+        yield Decisions(token, node, chosen, np.stack(rows, axis=1))
 
 
 class Words(NamedTuple):
-    """Frequent words: sorted hashes, counts, and the class of those with one of their own (else -1); and totals by class."""
+    """Frequent words: sorted hashes, counts, and the class of those with one of their own (else -1); and totals by last class
+    (class * 256 + slot)."""
 
     hashes: np.ndarray
     counts: np.ndarray
     own: np.ndarray
     total: int
     distinct: int
-    class_total: np.ndarray
-    class_distinct: np.ndarray
+    leaf_total: np.ndarray
+    leaf_distinct: np.ndarray
+    #: How many rows the weights have.
+    rows: int
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Each hash's place, -1 for none."""
@@ -87,18 +132,28 @@ class Words(NamedTuple):
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
-    def classes(self, t: Tokens, at: np.ndarray) -> np.ndarray:
+    def classes(self, t: Tokens, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class of the upper levels, slot in the lower ones: 0 for words of their own class)."""
         own = np.where(at >= 0, self.own[at], -1) if len(self.own) else np.full(len(at), -1)
-        return np.where(own >= 0, own, t.suffix)
+        codes = np.where(own >= 0, own, t.suffix)
+        return codes, np.where(codes > OWN, slots(t.hashes), 0)
 
     @property
     def base_divisor(self) -> float:
         return self.total + 0.1 * (self.distinct + 1)
 
     def unseen(self) -> np.ndarray:
-        """log10 P(unseen | class)."""
-        n = self.class_total
-        return np.log10(np.where(n > 0, DISCOUNT * self.class_distinct / np.maximum(n, 1), 1.0).clip(1e-300))
+        """log10 P(unseen | last class)."""
+        n = self.leaf_total
+        return np.log10(np.where(n > 0, DISCOUNT * self.leaf_distinct / np.maximum(n, 1), 1.0).clip(1e-300))
+
+    def shares(self) -> np.ndarray:
+        """Natural logarithm of each class's share of its node: (nodes, WIDTH)."""
+        low = self.leaf_total.reshape(_CODES * WIDTH, WIDTH)
+        code = low.sum(axis=1).reshape(_CODES, WIDTH)
+        top = code.sum(axis=1).reshape(WIDTH, WIDTH)
+        n = np.concatenate((top.sum(axis=1)[None], top, code, low)) + 0.5
+        return np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def _input(docs: DataFrame) -> DataFrame:
@@ -113,52 +168,51 @@ def _groups(b: pa.RecordBatch) -> Iterator[tuple[int, int, Tokens]]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, suffix, c) of the training texts' tokens; counted in each batch before the shuffle."""
+    """(h, suffix, c) of the training texts' tokens; counted in each group of texts before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(b.column(2))
-            got = list(_groups(b))
-            if not got:
-                continue
-            hashes, suffix = (np.concatenate([getattr(t, n) for _, _, t in got]) for n in ("hashes", "suffix"))
-            one, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(suffix[first].astype(np.int32)), pa.array(n)], names=["h", "suffix", "c"])
+            for _, _, t in _groups(b.filter(b.column(2))):
+                one, first, n = np.unique(t.hashes, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(t.suffix[first].astype(np.int32)), pa.array(n)], names=["h", "suffix", "c"])
 
     return _input(docs).mapInArrow(run, "h long, suffix int, c long").groupBy("h", "suffix").agg(F.sum("c").alias("c"))
 
 
-def frequent_words(counts: DataFrame, most: int = HEAD) -> Words:
-    """From the materialised counts: words over a count that at most ``most`` words reach. The driver gets those and a
-    histogram of 16 steps an octave."""
+def frequent_words(counts: DataFrame, most: int | None = None) -> Words:
+    """From the materialised counts: words over a count that at most ``most`` words reach. The driver gets those, a
+    histogram of 16 steps an octave, and totals by last class (65,536 at most)."""
     step = F.floor(F.log2("c") * 16)
     histogram = sorted((int(k), int(n)) for k, n in counts.groupBy(step).agg(F.count("*")).collect())
     reached, least = 0, 1 << 40
     for k, n in reversed(histogram):
         reached += n
-        if reached > most:
+        if reached > (HEAD if most is None else most):
             break
         least = k
     top = counts.where(step >= least).toArrow()
     hashes, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    suffix = top.column("suffix").to_numpy()
+    suffix = top.column("suffix").to_numpy().astype(np.int64)
     order = np.argsort(hashes)
     hashes, c, suffix = hashes[order], c[order].astype(np.int64), suffix[order]
-    totals = {int(s): (int(t), int(v)) for s, t, v in counts.groupBy("suffix").agg(F.sum("c"), F.count("*")).collect()}
-    class_total, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    for s, (t, v) in totals.items():
-        class_total[s], class_distinct[s] = t, v
+    leaf_total, leaf_distinct = np.zeros(_CODES * _CODES), np.zeros(_CODES * _CODES)
+    slot = F.when(F.col("suffix") > OWN, F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(_CODES - 1))).otherwise(F.lit(0))
+    for leaf, t, v in counts.groupBy((F.col("suffix") * _CODES + slot).alias("leaf")).agg(F.sum("c"), F.count("*")).collect():
+        leaf_total[leaf], leaf_distinct[leaf] = t, v
     own = np.where(hashes == END, 0, -1)
     for k, at in enumerate([a for a in np.lexsort((hashes, -c)) if hashes[a] != END][:OWN]):
         own[at] = 1 + k
-        class_total[suffix[at]] -= c[at]
-        class_distinct[suffix[at]] -= 1
-        class_total[1 + k], class_distinct[1 + k] = c[at], 1
-    return Words(hashes, c, own, int(class_total.sum()), int(class_distinct.sum()), class_total, class_distinct)
+        leaf = suffix[at] * _CODES + slots(hashes[at : at + 1])[0]
+        leaf_total[leaf] -= c[at]
+        leaf_distinct[leaf] -= 1
+        leaf_total[(1 + k) * _CODES], leaf_distinct[(1 + k) * _CODES] = c[at], 1
+    distinct = int(leaf_distinct.sum())
+    rows = min(max(1 << (distinct * ROWS_A_WORD).bit_length(), ROWS[0]), ROWS[1])
+    return Words(hashes, c, own, int(leaf_total.sum()), distinct, leaf_total, leaf_distinct, rows)
 
 
-def _summed(rows: DataFrame, n: int = 1) -> np.ndarray:
-    """Sums matrices of ``n`` * ROWS rows that tasks give as (block, bytes of float32)."""
+def _summed(rows: DataFrame, size: int) -> np.ndarray:
+    """Sums matrices of ``size`` rows that tasks give as (block, bytes of float32)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # dealt by block: a task adds up a few blocks of a fixed size
@@ -169,88 +223,98 @@ def _summed(rows: DataFrame, n: int = 1) -> np.ndarray:
                 sums[block] = sums[block] + part if block in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["block", "part"])
 
-    out = np.zeros((n * ROWS, CLASSES))
-    for block, raw in rows.repartition("block").mapInArrow(add, "block int, part binary").collect():
-        out[block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(raw, np.float32).reshape(BLOCK, CLASSES)
+    out = np.zeros((size, WIDTH), np.float32)
+    summed = cut(rows.repartition("block").mapInArrow(add, "block int, part binary"), "lm-sums")
+    for block, raw in summed.toLocalIterator():
+        out[block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(raw, np.float32).reshape(-1, WIDTH)
     return out
 
 
-def _blocks(matrix: np.ndarray) -> pa.RecordBatch:
+def _blocks(matrix: np.ndarray, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """The blocks that are not empty, some at a time."""
     used = [k for k in range(len(matrix) // BLOCK) if matrix[k * BLOCK : (k + 1) * BLOCK].any()]
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([matrix[k * BLOCK : (k + 1) * BLOCK].astype(np.float32).tobytes() for k in used], pa.binary())], names=["block", "part"])
+    for at in range(0, len(used), 128):
+        some = used[at : at + 128]
+        yield pa.RecordBatch.from_arrays([pa.array([first + k for k in some], pa.int32()), pa.array([matrix[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in some], pa.binary())], names=["block", "part"])
 
 
 class Model(NamedTuple):
+    """``bias``: (nodes, WIDTH), ``weights``: (rows, WIDTH)."""
+
     bias: np.ndarray
     weights: np.ndarray
 
-    def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
-        """(tokens, classes), natural logarithm."""
-        logit = self.weights[rows[:, 0]]
-        for k in (1, 2, 3):
-            logit += self.weights[rows[:, k]]
-        logit += self.bias
+    def log_probabilities(self, d: Decisions) -> np.ndarray:
+        """(choices, WIDTH), natural logarithm."""
+        logit = self.bias[d.node]
+        for k in range(d.rows.shape[1]):
+            logit += self.weights[d.rows[:, k]]
         logit -= logit.max(axis=1, keepdims=True)
         logit -= np.log(np.exp(logit).sum(axis=1, keepdims=True))
         return logit
 
 
-def observe(docs: DataFrame, words: Words) -> np.ndarray:
-    """Counts of (feature row, class) over all training texts."""
+def _parts(t: Tokens, words: Words) -> Iterator[tuple[slice, list[Decisions]]]:
+    """The choices of a group, ``TOKENS`` tokens at a time."""
+    codes, slot = words.classes(t, words.find(t.hashes))
+    features = history(t)
+    for at in range(0, len(codes), TOKENS):
+        s = slice(at, at + TOKENS)
+        yield s, list(decisions(codes[s], slot[s], [f[s] for f in features], words.rows))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(ROWS * CLASSES)
-        for b in batches:
-            for _, _, t in _groups(b.filter(b.column(2))):
-                cls, rows = words.classes(t, words.find(t.hashes)), history(t)
-                for k in range(4):
-                    seen += np.bincount(rows[:, k].astype(np.int64) * CLASSES + cls, minlength=ROWS * CLASSES)
-        yield _blocks(seen.reshape(ROWS, CLASSES))
 
-    return _summed(_input(docs).mapInArrow(run, "block int, part binary"))
+def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``into[rows] += values``, with repeats."""
+    order = np.argsort(rows)
+    row = rows[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    into[row[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
-def gradient(docs: DataFrame, words: Words, model: Model, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """(observed minus expected, expected) counts over the training texts of a slice."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def moments(docs: DataFrame, words: Words, model: Model, turn: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(observed, expected) counts of (feature row, class) over the training texts, or a slice of them."""
+    shared, size = docs.sparkSession.sparkContext.broadcast((words, model)), words.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = shared.value
-        seen, expected = np.zeros(ROWS * CLASSES), np.zeros((ROWS, CLASSES))
+        known, now = shared.value
+        seen, expected = np.zeros(size * WIDTH, np.float32), np.zeros((size, WIDTH), np.float32)
         for b in batches:
-            for _, _, t in _groups(b.filter(pa.array(b.column(2).to_numpy(zero_copy_only=False) & (b.column(3).to_numpy(zero_copy_only=False) == turn)))):
-                cls, rows = words.classes(t, words.find(t.hashes)), history(t)
-                for k in range(4):
-                    seen += np.bincount(rows[:, k].astype(np.int64) * CLASSES + cls, minlength=ROWS * CLASSES)
-                for at in range(0, len(rows), 1 << 15):
-                    part = rows[at : at + (1 << 15)]
-                    p = np.exp(now.log_probabilities(part))
-                    for k in range(4):
-                        order = np.argsort(part[:, k], kind="stable")
-                        row = part[order, k]
-                        first = np.flatnonzero(np.diff(row, prepend=-1))
-                        expected[row[first]] += np.add.reduceat(p[order], first, axis=0)
-        yield _blocks(np.concatenate((seen.reshape(ROWS, CLASSES), expected)))
-
-    both = _summed(_input(docs).mapInArrow(run, "block int, part binary"), 2)
+            wanted = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            if turn is not None:
+                wanted &= b.column(3).to_numpy(zero_copy_only=False) == turn
+            for _, _, t in _groups(b.filter(pa.array(wanted))):
+                for _, choices in _parts(t, known):
+                    for d in choices:
+                        if not len(d.token):
+                            continue
+                        p = np.exp(now.log_probabilities(d))
+                        for k in range(d.rows.shape[1]):
+                            np.add.at(seen, d.rows[:, k].astype(np.int64) * WIDTH + d.chosen, np.float32(1))
+                            _add(expected, d.rows[:, k], p)
+        yield from _blocks(seen.reshape(size, WIDTH))
+        yield from _blocks(expected, size // BLOCK)
+
+    both = _summed(_input(docs).mapInArrow(run, "block int, part binary"), 2 * size)
     shared.unpersist()
-    return both[:ROWS] - both[ROWS:], both[ROWS:]
+    return both[:size], both[size:]
 
 
 def train(docs: DataFrame, words: Words) -> Model:
-    seen = observe(docs, words)
-    share = (words.class_total + 0.5) / (words.class_total + 0.5).sum()
-    prior = 20.0
-    first = np.log((seen + prior * share) / (seen.sum(axis=1, keepdims=True) + prior)) - np.log(share)
-    model = Model(np.log(share).astype(np.float32), (FIRST * first).astype(np.float32))
+    model = Model(words.shares(), np.zeros((words.rows, WIDTH), np.float32))
+    seen, expected = moments(docs, words, model)
+    # the classes' shares as a row's texts have them stand in for what was not seen
+    n = np.maximum(expected.sum(axis=1, keepdims=True), 1e-9)
+    share = np.maximum(expected / n, 1e-9)
+    first = np.log((seen + PRIOR * share) / ((n + PRIOR) * share))
+    model = Model(model.bias, (FIRST * first).astype(np.float32))
     for turn in range(ROUNDS):
-        slope, expected = gradient(docs, words, model, turn)
-        step = RATE * np.clip(slope / (expected + KAPPA), -1.0, 2.0)
+        seen, expected = moments(docs, words, model, turn)
+        step = RATE * np.clip((seen - expected) / (expected + KAPPA), -1.0, 2.0)
         model = Model(model.bias, (model.weights + step / (1 + turn / 2)).astype(np.float32))
     return model
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, h array<long>, cls array<int>, tf array<long>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, h array<long>, seen array<double>, unseen array<double>, tf array<long>"
 
 
 def score(docs: DataFrame, words: Words, model: Model, counts: DataFrame) -> DataFrame:
@@ -263,29 +327,32 @@ def score(docs: DataFrame, words: Words, model: Model, counts: DataFrame) -> Dat
         known, now = shared.value
         rid = TaskContext.get().partitionId() << 40
         base_of = np.log10((known.counts + 0.1) / known.base_divisor)
+        unseen, of_leaf = known.unseen(), np.log10(np.maximum(known.leaf_total, 1))
         for b in batches:
-            held = ~b.column(2).to_numpy(zero_copy_only=False)
+            held = ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for lo, to, t in _groups(b):
                 n = to - lo
                 at = known.find(t.hashes)
-                cls, rows = known.classes(t, at), history(t)
-                value = np.zeros(len(rows))
-                for k in range(0, len(rows), 1 << 13):
-                    part = now.log_probabilities(rows[k : k + (1 << 13)])
-                    value[k : k + len(part)] = part[np.arange(len(part)), cls[k : k + len(part)]]
+                codes, slot = known.classes(t, at)
+                leaf = codes * _CODES + slot
+                value = np.zeros(len(codes))
+                for s, choices in _parts(t, known):
+                    for d in choices:
+                        if len(d.token):
+                            value[s.start + d.token] += now.log_probabilities(d)[np.arange(len(d.token)), d.chosen]
                 value /= np.log(10)
                 head = at >= 0
-                value[head] += np.log10((known.counts[at[head]] - DISCOUNT) / known.class_total[cls[head]])
+                value[head] += np.log10(known.counts[at[head]] - DISCOUNT) - of_leaf[leaf[head]]
                 base = np.where(head, base_of[np.maximum(at, 0)], 0.0) if len(base_of) else np.zeros(len(at))
                 # the others, each once a text
                 tail = np.flatnonzero(~head)
                 order = tail[np.lexsort((t.hashes[tail], t.doc[tail]))]
-                new = np.flatnonzero((np.diff(t.doc[order], prepend=-1) != 0) | (np.diff(t.hashes[order].view(np.int64), prepend=0) != 0)) if len(order) else np.zeros(0, np.int64)
-                if len(order) and (not len(new) or new[0] != 0):
-                    new = np.concatenate(([0], new))
+                new = np.ones(len(order), bool)
+                new[1:] = (t.doc[order][1:] != t.doc[order][:-1]) | (t.hashes[order][1:] != t.hashes[order][:-1])
+                new = np.flatnonzero(new)
                 one, tf = order[new], np.diff(np.append(new, len(order)))
                 offsets = pa.array(np.searchsorted(t.doc[one], np.arange(n + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (t.hashes[one].view(np.int64), cls[one].astype(np.int32), tf.astype(np.int64))]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (t.hashes[one].view(np.int64), of_leaf[leaf[one]], unseen[leaf[one]], tf.astype(np.int64))]
                 per_doc = lambda weights=None: np.bincount(t.doc, weights=weights, minlength=n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(rid, rid + n)), b.column(0).slice(lo, n), pa.array(held[lo:to]), pa.array(per_doc().astype(np.int64)), pa.array(per_doc(head).astype(np.int64)), pa.array(per_doc(base)), pa.array(per_doc(value)), *lists],
@@ -294,11 +361,10 @@ def score(docs: DataFrame, words: Words, model: Model, counts: DataFrame) -> Dat
                 rid += n
 
     texts = cut(_input(docs).mapInArrow(run, SCORED), "lm-texts")
-    of_class = lambda x: F.get(F.array(*(F.lit(float(v)) for v in x)), F.col("cls"))
-    rare = texts.select("rid", F.explode(F.arrays_zip("h", "cls", "tf")).alias("t")).select("rid", "t.h", "t.cls", "t.tf")
+    rare = texts.select("rid", F.explode(F.arrays_zip("h", "seen", "unseen", "tf")).alias("t")).select("rid", "t.h", F.col("t.seen").alias("of_leaf"), "t.unseen", "t.tf")
     got = rare.join(counts.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     seen = F.col("c") > 0
-    word = F.when(seen, F.log10((F.col("c") - DISCOUNT) / of_class(np.maximum(words.class_total, 1)))).otherwise(of_class(words.unseen()))
+    word = F.when(seen, F.log10(F.col("c") - DISCOUNT) - F.col("of_leaf")).otherwise(F.col("unseen"))
     sums = got.groupBy("rid").agg(
         F.sum(F.when(seen, F.col("tf")).otherwise(0)).alias("known_rare"),
         F.sum(F.col("tf") * F.log10((F.col("c") + 0.1) / F.lit(words.base_divisor))).alias("base_rare"),
@@ -306,7 +372,7 @@ def score(docs: DataFrame, words: Words, model: Model, counts: DataFrame) -> Dat
     )
     zero = F.lit(0)
     return (
-        texts.drop("h", "cls", "tf")
+        texts.drop("h", "seen", "unseen", "tf")
         .join(sums, "rid", "left")
         .select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("known_rare", zero)).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("score_rare", F.lit(0.0))).alias("score"))
     )

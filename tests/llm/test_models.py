@@ -95,20 +95,26 @@ def test_lm_base_scores_are_exact_and_the_model_is_better(spark, monkeypatch):
 
 
 def test_lm_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame(lm_corpus(), "doc_id long, text string")
-    words = lm_score.frequent_words(lm_score.word_counts(docs))
+    """Brute force over every leaf: the classes' products sum to one after any history, and so do the words of each last class."""
+    docs = spark.createDataFrame(lm_corpus()[:120], "doc_id long, text string")
+    counts = lm_score.word_counts(docs)
+    words = lm_score.frequent_words(counts)
     model = lm_score.train(docs, words)
-    (_, _, w), *_ = bytesops.words_in(pa.array([b"some words here and there"]), lower=True)
-    p = np.exp(model.log_probabilities(lm_score.history(lm_score.tokens(w))))
-    assert np.allclose(p.sum(axis=1), 1)
-    seen = np.zeros(lm_score.CLASSES)
-    own = lm_score.np.where(words.own >= 0, words.own, 0)
-    suffix = {int(h): int(s) for h, s, _ in lm_score.word_counts(docs).collect()}
-    for h, count, o in zip(words.hashes.view(np.int64).tolist(), words.counts.tolist(), words.own.tolist(), strict=True):
-        k = o if o >= 0 else suffix[h]
-        seen[k] += (count - lm_score.DISCOUNT) / words.class_total[k]
-    total = seen + 10 ** words.unseen()
-    assert own.max() <= lm_score.OWN and np.allclose(total, 1)
+    (_, _, w), *_ = bytesops.words_in(pa.array([b"some words here"]), lower=True)
+    features = [f[-1:] for f in lm_score.history(lm_score.tokens(w))]
+    codes, slot = np.arange(256).repeat(256), np.tile(np.arange(256), 256)
+    total = np.zeros(len(codes))
+    for d in lm_score.decisions(codes, slot, [f.repeat(len(codes)) for f in features], words.rows):
+        total[d.token] += model.log_probabilities(d)[np.arange(len(d.token)), d.chosen]
+    # words of a class of their own have one slot
+    p = np.exp(total)
+    assert math.isclose(p[(codes > lm_score.OWN) | (slot == 0)].sum(), 1, rel_tol=1e-4)
+    seen = np.zeros(256 * 256)
+    suffix = {int(h): int(s) for h, s, _ in counts.collect()}
+    for h, count, o in zip(words.hashes, words.counts.tolist(), words.own.tolist(), strict=True):
+        leaf = o * 256 if o >= 0 else suffix[int(h.view(np.int64))] * 256 + int(lm_score.slots(np.array([h]))[0])
+        seen[leaf] += (count - lm_score.DISCOUNT) / words.leaf_total[leaf]
+    assert np.allclose(seen + 10 ** words.unseen(), 1)
 
 
 def test_lm_of_nothing(spark):
@@ -171,12 +177,12 @@ def test_gradient_rounds_see_every_training_text(spark):
     r, words = random.Random(6), vocabulary(4, 60)
     docs = spark.createDataFrame([(d, " ".join(r.choice(words) for _ in range(20))) for d in range(80)], "doc_id long, text string")
     known = lm_score.frequent_words(lm_score.word_counts(docs))
-    model = lm_score.Model(np.zeros(lm_score.CLASSES, np.float32), np.zeros((lm_score.ROWS, lm_score.CLASSES), np.float32))
-    seen = np.zeros((lm_score.ROWS, lm_score.CLASSES))
-    for turn in range(lm_score.ROUNDS):
-        slope, expected = lm_score.gradient(docs, known, model, turn)
-        seen += slope + expected
-    assert np.allclose(seen, lm_score.observe(docs, known), atol=1e-3)
+    model = lm_score.Model(known.shares(), np.zeros((known.rows, lm_score.WIDTH), np.float32))
+    seen = sum(lm_score.moments(docs, known, model, turn)[0] for turn in range(lm_score.ROUNDS))
+    whole, expected = lm_score.moments(docs, known, model)
+    assert np.allclose(seen, whole, atol=1e-3)
+    # each choice is one observed and one expected
+    assert np.allclose(whole.sum(axis=1), expected.sum(axis=1), atol=1e-2)
 
 
 def found_in(items, texts):
