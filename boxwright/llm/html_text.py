@@ -1,14 +1,18 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes blocks of text in page order, each with its root-to-leaf path of structural tags. Text length, link
+A page becomes blocks of text in page order, each in an element with a root-to-leaf path of structural tags. Text length, link
 length and punctuation are summed for each path; a path's ratio is its characters per node and its punctuation, fused as
 a geometric mean and lowered by the share of links. Ratios are smoothed over neighbouring paths in page order, and paths over a
-threshold (a part of the length-weighted mean) are content. Blocks of other paths are kept where they stand inside the same container (article,
-main, or the content's common ancestor), so short headings and lists of an article stay. Paths through navigation,
-headers and footers of the page, sidebars, forms, adverts, notices and comments never count.
+threshold (a part of the mean, weighted by text that is no link) are content. A block's container is its nearest article or main element, or the page. Containers
+with the most content are the main text (``LEAST`` of the largest one's and more), so ratios decide which element of a page it is; where that is
+the page itself, the content's common ancestor takes its place. All blocks of a container stay, so short headings and lists of an article
+do; in the page itself blocks of other paths stay inside the common ancestor if they are not mostly links. Elements that are navigation, headers and footers of
+the page, sidebars, forms, adverts, notices or comments by their tag, class, id or role never count; the words of html and body are
+not looked at, as they tell of the whole page.
 
 Null and empty html: empty text. Unclosed tags, unclosed comments and stray brackets never fail: the rest is text or is
-dropped as a browser would. Repeated rows: one result row each. Extra columns are ignored. An empty table: no rows.
+dropped as a browser would; time grows with the length of a page, however deep it nests. Repeated rows: one result row each. Extra
+columns are ignored. An empty table: no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars aside footer header masthead comment comments respond disqus cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended widget toolbar pagination pager login search disclaimer".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 PART = 0.3
+#: Content of a container, as a part of the largest one's.
+LEAST = 0.3
 
 _attributes = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _name = re.compile(r"[A-Za-z][^\s/>]*")
@@ -42,34 +48,58 @@ _words = re.compile(r"[a-z]+")
 _quoted = re.compile(r"""[^>"']*(?:=\s*(?:"[^"]*"|'[^']*')[^>"']*)*>""")
 
 
+class Node:
+    """An element around text. A page's elements are a tree, so a block needs no copy of what is open around it. ``path``: the
+    number of its tag path on this page; ``within``: the nearest article or main element."""
+
+    __slots__ = ("depth", "hidden", "name", "path", "up", "within")
+
+    def __init__(self, name: str, up: Node | None, hidden: bool, path: int):
+        self.name, self.up, self.path = name, up, path
+        self.depth = up.depth + 1 if up else 0
+        self.hidden = hidden or (up is not None and up.hidden)
+        self.within = self if name in ("article", "main") else up.within if up else None
+
+
 class Block:
-    __slots__ = ("links", "nodes", "path", "text")
+    __slots__ = ("links", "node", "text")
 
-    def __init__(self, path: tuple, nodes: tuple, text: str, links: int):
-        self.path, self.nodes, self.text, self.links = path, nodes, text, links
+    def __init__(self, node: Node, text: str, links: int):
+        self.node, self.text, self.links = node, text, links
 
 
 def blocks_of(source: str) -> list[Block]:
-    """Blocks in page order; paths hold (tag, whether it is boilerplate), nodes the open elements' numbers."""
+    """Blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []
+    paths: dict[tuple[int, str, bool], int] = {}
+    root = Node("", None, False, 0)
+    stack: list[Node] = [root]
+    open_names: dict[str, int] = {}
     text: list[str] = []
     state = {"links": 0, "depth": 0}
-    number = 0
 
     def flush() -> None:
         joined = _space.sub(" ", entities.unescape("".join(text))).strip()
         if joined:
-            out.append(Block(tuple(s[:2] for s in stack), tuple(s[2] for s in stack), joined, min(state["links"], len(joined))))
+            out.append(Block(stack[-1], joined, min(state["links"], len(joined))))
         text.clear()
         state["links"] = 0
 
+    def push(name: str, hidden: bool) -> None:
+        up = stack[-1]
+        path = paths.setdefault((up.path, name, hidden), len(paths) + 1)
+        stack.append(Node(name, up, hidden, path))
+        open_names[name] = open_names.get(name, 0) + 1
+
+    def pop() -> None:
+        open_names[stack.pop().name] -= 1
+
     def close(name: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                flush()
-                del stack[k:]
-                return
+        if open_names.get(name, 0):
+            flush()
+            while stack[-1].name != name:
+                pop()
+            pop()
 
     at, size = 0, len(source)
     while at < size:
@@ -111,7 +141,7 @@ def blocks_of(source: str) -> list[Block]:
         if closing:
             if name == "a":
                 state["depth"] = max(0, state["depth"] - 1)
-            elif name == "p" and not any(s[0] == "p" for s in stack):
+            elif name == "p" and not open_names.get("p", 0):
                 flush()
             elif name not in INLINE:
                 close(name)
@@ -130,20 +160,21 @@ def blocks_of(source: str) -> list[Block]:
             state["depth"] += name == "a" and not rest.endswith("/")
             continue
         flush()
-        if name in CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        while stack and stack[-1][0] in IMPLIED.get(name, ()):
-            stack.pop()
+        if name in CLOSES_P and stack[-1].name == "p":
+            pop()
+        while stack[-1].name in IMPLIED.get(name, ()):
+            pop()
         if name == "body":
-            stack[:] = [s for s in stack if s[0] == "html"]
+            while len(stack) > 1 and not (len(stack) == 2 and stack[-1].name == "html"):
+                pop()
         if name not in VOID:
-            number += 1
-            hidden = name in BOILERPLATE or _hinted(rest)
-            if name == "header" and any(s[0] in ("article", "main") for s in stack):
-                hidden = _hinted(rest)  # an article's own header
-            stack.append((name, hidden, number))
+            hinted = name not in ("html", "body") and _hinted(rest)
+            hidden = name in BOILERPLATE or hinted
+            if name == "header" and stack[-1].within:
+                hidden = hinted  # an article's own header
+            push(name, hidden)
             if rest.endswith("/") and name not in CLOSES_P:
-                stack.pop()
+                pop()
     flush()
     return out
 
@@ -160,11 +191,11 @@ def _hinted(attributes: str) -> bool:
     return False
 
 
-def ratios(blocks: list[Block]) -> dict[tuple, float]:
+def ratios(blocks: list[Block]) -> dict[int, float]:
     """A fused and smoothed ratio for each path, in page order."""
-    sums: dict[tuple, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in blocks:
-        s = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
+        s = sums.setdefault(b.node.path, [0.0, 0.0, 0.0, 0.0])
         s[0] += len(b.text)
         s[1] += len(PUNCTUATION.findall(b.text))
         s[2] += b.links
@@ -176,44 +207,64 @@ def ratios(blocks: list[Block]) -> dict[tuple, float]:
     return dict(zip(sums, smooth, strict=True))
 
 
+def _common(nodes: list[Node]) -> Node:
+    """The deepest element around all of them. Elements known to be inside it are climbed once."""
+    common, inside = nodes[0], {nodes[0]}
+    for n in nodes[1:]:
+        while n not in inside and n.depth > common.depth:
+            inside.add(n)
+            n = n.up
+        if n in inside:
+            continue
+        while common is not n:
+            if common.depth >= n.depth:
+                inside.add(common)
+                common = common.up
+            else:
+                inside.add(n)
+                n = n.up
+        inside.add(common)
+    return common
+
+
+def _inside(node: Node, top: Node, known: dict[Node, bool]) -> bool:
+    """Whether ``top`` is around ``node``; ``known`` keeps the answers."""
+    climbed = []
+    while node not in known and node.depth > top.depth:
+        climbed.append(node)
+        node = node.up
+    answer = known.get(node, node is top)
+    known.update(dict.fromkeys(climbed, answer))
+    return answer
+
+
 def main_text(source: str | None) -> str:
     """The page's main text, blocks joined by newlines."""
     if not source:
         return ""
-    open_blocks = [b for b in blocks_of(source) if not any(hidden for _, hidden in b.path)]
-    if not open_blocks:
+    blocks = [b for b in blocks_of(source) if not b.node.hidden]
+    if not blocks:
         return ""
-    # an article or main element, where the page has one, bounds the content
-    for tag in ("article", "main"):
-        inside = [b for b in open_blocks if any(name == tag for name, _ in b.path)]
-        if inside:
-            open_blocks = inside
-            break
-    ratio = ratios(open_blocks)
-    weight = {p: sum(len(b.text) for b in open_blocks if b.path == p) for p in ratio} if len(ratio) < 50 else _weights(open_blocks)
-    threshold = PART * sum(ratio[p] * weight[p] for p in ratio) / sum(weight.values())
-    content = [b for b in open_blocks if ratio[b.path] >= threshold]
-    bounded = any(name in ("article", "main") for name, _ in open_blocks[0].path)
-    if bounded:
-        nodes = {n for b in content for (name, _), n in zip(b.path, b.nodes, strict=True) if name in ("article", "main")}
-    else:
-        common = content[0].nodes
-        for b in content:
-            k = 0
-            while k < min(len(common), len(b.nodes)) and common[k] == b.nodes[k]:
-                k += 1
-            common = common[:k]
-        top = {n for b in open_blocks for (name, _), n in zip(b.path, b.nodes, strict=True) if name in ("html", "body")}
-        nodes = {common[-1]} - top if common else set()
-    kept = [b for b in open_blocks if ratio[b.path] >= threshold or (not nodes.isdisjoint(b.nodes) and 2 * b.links <= len(b.text))]
-    return "\n".join(b.text for b in kept)
-
-
-def _weights(blocks: list[Block]) -> dict[tuple, int]:
-    out: dict[tuple, int] = {}
-    for b in blocks:
-        out[b.path] = out.get(b.path, 0) + len(b.text)
-    return out
+    ratio = ratios(blocks)
+    plain = sum(len(b.text) - b.links for b in blocks)
+    threshold = PART * sum(ratio[b.node.path] * (len(b.text) - b.links) for b in blocks) / max(plain, 1)
+    content = [b for b in blocks if ratio[b.node.path] >= threshold]
+    mass: dict[Node | None, int] = {}
+    for b in content:
+        mass[b.node.within] = mass.get(b.node.within, 0) + len(b.text)
+    least = LEAST * max(mass.values())
+    chosen = {c for c, n in mass.items() if n >= least}
+    kept = {id(b) for b in blocks if b.node.within in chosen and b.node.within is not None}
+    if None in chosen:
+        own = [b for b in content if b.node.within is None]
+        kept |= {id(b) for b in own}
+        top = _common([b.node for b in own])
+        if top.name not in ("", "html", "body"):
+            around: dict[Node, bool] = {}
+            for b in blocks:
+                if b.node.within is None and 2 * b.links <= len(b.text) and _inside(b.node, top, around):
+                    kept.add(id(b))
+    return "\n".join(b.text for b in blocks if id(b) in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ WIDTH, LEVELS, OWN = 16, 4, 95
 #: Rows of the weights' table: fewest and most, and rows to a distinct training word.
 ROWS, ROWS_A_WORD = (1 << 14, 1 << 18), 4
 HEAD, DISCOUNT = 1 << 17, 0.5
-ROUNDS, RATE, FIRST, PRIOR, KAPPA = 4, 0.5, 0.35, 5.0, 1.0
+ROUNDS, RATE, FIRST, PRIOR, KAPPA = 4, 0.5, 0.35, 10.0, 4.0
 BLOCK, GROUP_BYTES, TOKENS = 256, 1 << 20, 1 << 15
 #: Features of each level.
 FEATURES = (6, 6, 3, 3)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -119,6 +120,36 @@ def test_main_text_of_odd_pages():
     assert html_text.main_text("plain &eacute;") == "plain é"
 
 
+def test_ratios_decide_which_element_is_the_main_text(monkeypatch):
+    links = "".join(f"<li><a href=/{i}>Entry number {i} of a long list without marks</a></li>" for i in range(60))
+    story = "".join(f"<p>Sentence {i}, which is prose, goes on and on here; it ends.</p>" for i in range(12))
+    page = f"<body class='has-header no-sidebar'><article><ul>{links}</ul></article><div><div>{story}</div></div></body>"
+    assert html_text.main_text(page) == "\n".join(f"Sentence {i}, which is prose, goes on and on here; it ends." for i in range(12))
+    monkeypatch.setattr(html_text, "ratios", lambda blocks: dict.fromkeys((b.node.path for b in blocks), 1.0))
+    assert "Entry number 3" in html_text.main_text(page)
+
+
+def test_ratios_equal_brute_force():
+    blocks = html_text.blocks_of(PAGE)
+    got, names = html_text.ratios(blocks), list(dict.fromkeys(b.node.path for b in blocks))
+    own = []
+    for path in names:
+        texts = [b for b in blocks if b.node.path == path]
+        length, links = sum(len(b.text) for b in texts), sum(b.links for b in texts)
+        marks = sum(c in ".,;:!?…。，、；：！？" for b in texts for c in b.text)
+        own.append((length / len(texts) * (1 + marks) / len(texts) ** 0.5) ** 0.5 * length**0.5 * (1 - links / length) ** 2)
+    for k, path in enumerate(names):
+        assert abs(got[path] - (0.8 * own[k] + 0.1 * own[max(k - 1, 0)] + 0.1 * own[min(k + 1, len(own) - 1)])) < 1e-9
+
+
+def test_very_deep_and_very_long_pages_take_linear_time():
+    began = time.time()
+    assert html_text.main_text("<div>x" * 170_000).count("x") == 170_000
+    assert html_text.main_text("<div>" * 100_000 + "deep" + "</p></x>" * 50_000) == "deep"
+    assert len(html_text.main_text("<article>" + "<p>word, " * 200_000)) > 10**6
+    assert time.time() - began < 60
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     got = html_text.extract(pages).collect()
