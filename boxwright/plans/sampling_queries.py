@@ -97,29 +97,46 @@ def a09(spark, d):
     return docs(spark, d).where("doc_id % 4 < 2").groupBy("lang").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
 
 
-def image_classes(spark, d, where):
-    rows = X.boxes(spark, d).where(where).groupBy("image_id").agg(F.collect_set("class_id").alias("c"))
-    return {str(r[0]): set(r[1]) for r in rows.collect()}  # the selection's candidates
+def image_kinds(spark, d, where):
+    """Each image with its set of classes; of these there are 31 at most."""
+    return X.boxes(spark, d).where(where).groupBy("image_id").agg(F.array_sort(F.collect_set("class_id")).alias("kind"))
+
+
+def selected(spark, d, quota=6):
+    """The ids of the quota selection. Of each class set only its largest ids can be chosen, as many as all quotas allow; tasks keep
+    no more than that before the shuffle."""
+    order = Window.partitionBy("kind").orderBy(F.col("image_id").cast("string").desc())
+    top = image_kinds(spark, d, "confidence > 0.7").withColumn("k", F.row_number().over(order)).where(F.col("k") <= 5 * quota)
+    heads: dict[tuple[int, ...], list[str]] = {}
+    for kind, image_id, _ in top.select("kind", F.col("image_id").cast("string"), "k").orderBy("kind", "k").collect():
+        heads.setdefault(tuple(kind), []).append(image_id)
+    return allocation.rarest_first(heads, dict.fromkeys(range(5), quota))
 
 
 @query("A10_rarest_first")
 def a10(spark, d):
-    chosen = allocation.rarest_first(image_classes(spark, d, "image_id % 20 = 0 AND confidence > 0.7"), dict.fromkeys(range(5), 6))
-    return spark.createDataFrame([(int(i),) for i in chosen], "image_id long")
+    return spark.createDataFrame([(int(i),) for i in selected(spark, d)], "image_id long")
 
 
 @query("A11_selection_output")
 def a11(spark, d):
-    chosen = allocation.rarest_first(image_classes(spark, d, "image_id % 20 = 0 AND confidence > 0.7"), dict.fromkeys(range(5), 6))
-    ids = F.broadcast(spark.createDataFrame([(int(i),) for i in chosen], "image_id long"))  # at most the sum of quotas
+    ids = F.broadcast(spark.createDataFrame([(int(i),) for i in selected(spark, d)], "image_id long"))  # at most the sum of quotas
     return X.boxes(spark, d).where("confidence > 0.7").join(ids, "image_id").groupBy("image_id").agg(F.count("*").alias("boxes"), F.array_sort(F.collect_set("class_id")).alias("classes"))
 
 
 @query("A12_balanced_repeats")
 def a12(spark, d):
-    times = allocation.balanced_repeats(image_classes(spark, d, "image_id % 20 = 0 AND confidence > 0.8"), 3, 42)
-    table = spark.createDataFrame([(int(i), n) for i, n in sorted(times.items())], "image_id long, times int")
-    return table.select("image_id", F.explode(F.sequence(F.lit(1), "times")).alias("occurrence"))
+    """Images of a class set get equally many appearances; those first in the seed's order one more, where it doesn't divide."""
+    kinds = image_kinds(spark, d, "confidence > 0.8")
+    sizes = {tuple(r[0]): r[1] for r in kinds.groupBy("kind").agg(F.count("*")).collect()}
+    rows, before = [], 0
+    for kind, extra in sorted(allocation.balanced_repeats(sizes, 3).items()):
+        rows.append((list(kind), extra // sizes[kind], extra % sizes[kind], before))
+        before += sizes[kind]
+    placed = kinds.join(F.broadcast(spark.createDataFrame(rows, "kind array<int>, rounds long, more long, before long")), "kind")  # a row a class set
+    order = F.sha2(F.concat_ws(":", F.lit("42"), F.col("image_id").cast("string"), (F.col("rounds") + 2).cast("string")), 256)
+    times = 1 + F.col("rounds") + (F.col("rank") - F.col("before") <= F.col("more")).cast("long")
+    return ranked(placed, [F.col("kind"), order, F.col("image_id")]).select("image_id", F.explode(F.sequence(F.lit(1), times.cast("int"))).alias("occurrence"))
 
 
 _INTERLEAVE = "(SELECT doc_id, row_number() OVER (ORDER BY sha256('42:{0}:' || CAST(doc_id AS VARCHAR))) - 1 AS k, count(*) OVER () AS n FROM {1})"

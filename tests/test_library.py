@@ -64,11 +64,30 @@ def test_proportional_groups_cover_classes_and_are_stable():
     assert set(split) == set(groups) and {"validation", "test", "train_pool"} == set(split.values())
 
 
-def test_rarest_first_and_balanced_repeats():
-    images = {"a": {0}, "b": {0, 1}, "c": {2}, "d": {0}}
-    assert allocation.rarest_first(images, {0: 1, 1: 1, 2: 1}) == ["b", "c"]
-    times = allocation.balanced_repeats(images, 3, 42)
-    assert times["c"] == 3 and max(times.values()) <= 3
+def test_rarest_first_equals_a_walk_over_all_images():
+    r = random.Random(5)
+    images = {f"{k:03d}": frozenset(r.sample(range(4), r.randrange(1, 4))) for k in range(80)}
+    need, left, want = dict.fromkeys(range(4), 9), dict(images), []
+    while any(need.values()):
+        best = max(left, key=lambda i: (sum(need[c] for c in left[i]), sum(need[c] > 0 for c in left[i]), i))
+        want.append(best)
+        for c in left.pop(best):
+            need[c] = max(0, need[c] - 1)
+    heads = {}
+    for i in sorted(images, reverse=True):
+        heads.setdefault(tuple(sorted(images[i])), []).append(i)
+    assert allocation.rarest_first(heads, dict.fromkeys(range(4), 9)) == sorted(want)
+    with pytest.raises(ValueError, match="quotas"):
+        allocation.rarest_first({(0,): ["a"]}, {0: 1, 1: 1})
+
+
+def test_balanced_repeats_reach_the_largest_class():
+    sizes = {(0,): 40, (1,): 9, (0, 1): 5, (2,): 21}
+    extra = allocation.balanced_repeats(sizes, 5)
+    count = [sum((n + extra[k]) for k, n in sizes.items() if c in k) for c in range(3)]
+    assert min(count) >= 45 and all(extra[k] <= 4 * n for k, n in sizes.items()) and extra[2,] == 24
+    with pytest.raises(ValueError, match="appearances"):
+        allocation.balanced_repeats(sizes, 2)
 
 
 def test_first_failing_reason_wins(spark):
