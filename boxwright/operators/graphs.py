@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares; a local one only where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/boxwright-checkpoints"
+    """A fresh path in the folder that the cluster shares; a local one only for a local master without one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    top = top or f"file://{tempfile.gettempdir()}/boxwright-checkpoints"
     return f"{top.rstrip('/')}/boxwright-library/{name}-{uuid.uuid4().hex}"
 
 

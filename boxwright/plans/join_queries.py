@@ -83,15 +83,16 @@ def j09(spark, d):
 
 
 def hashes(spark, d):
-    """A 64-bit hash of each document as two halves: 16 letters' counts over the mean, from a digest of the text's start."""
-    digest = F.md5(F.substring("text", 1, 40).cast("binary"))
+    """A 64-bit hash of each document as two halves, in place of a picture's perceptual hash: a digest of the whole text, of whose copies
+    the id moves one bit."""
+    digest = F.md5(F.col("text").cast("binary"))
     half = lambda k: F.conv(F.substring(digest, k, 8), 16, 10).cast("long")
     # near relatives: one bit moved by the id
     flip = F.expr("shiftleft(1L, CAST(doc_id % 5 AS INT))")
     return X.table(spark, d, "documents").select("doc_id", half(1).alias("hi"), half(9).bitwiseXOR(flip).alias("lo"))
 
 
-_HASH_SQL = "h AS (SELECT doc_id, CAST('0x' || substr(md5(substr(text,1,40)),1,8) AS BIGINT) AS hi, xor(CAST('0x' || substr(md5(substr(text,1,40)),9,8) AS BIGINT), CAST(1 AS BIGINT) << CAST(doc_id % 5 AS INT)) AS lo FROM documents)"
+_HASH_SQL = "h AS (SELECT doc_id, CAST('0x' || substr(md5(text),1,8) AS BIGINT) AS hi, xor(CAST('0x' || substr(md5(text),9,8) AS BIGINT), CAST(1 AS BIGINT) << CAST(doc_id % 5 AS INT)) AS lo FROM documents)"
 _NEAR = "near AS (SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.hi,b.hi)) + bit_count(xor(a.lo,b.lo)) AS distance FROM h a JOIN h b ON a.doc_id < b.doc_id AND bit_count(xor(a.hi,b.hi)) + bit_count(xor(a.lo,b.lo)) <= 4)"
 
 
