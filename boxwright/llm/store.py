@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     that is an error, as executors would write where nobody reads."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = f"file://{tempfile.gettempdir()}/boxwright-checkpoints"
         spark.conf.set("spark.checkpoint.dir", got)
