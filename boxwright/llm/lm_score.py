@@ -37,11 +37,14 @@ WIDTH, LEVELS, OWN = 16, 4, 95
 ROWS, ROWS_A_WORD = (1 << 14, 1 << 18), 4
 HEAD, DISCOUNT = 1 << 17, 0.5
 ROUNDS, RATE, FIRST, PRIOR, KAPPA = 4, 0.5, 0.35, 10.0, 4.0
-BLOCK, GROUP_BYTES, TOKENS = 256, 1 << 20, 1 << 15
+#: A weight's largest amount: six of them stay far within what a float32 exponential holds.
+FARTHEST = 10.0
+BLOCK, GROUP_BYTES, TOKENS, LEAST_TASKS = 256, 1 << 20, 1 << 15, 8
 #: Features of each level.
 FEATURES = (6, 6, 3, 3)
 #: Hashes of the end token and of what precedes a text.
 END, BEFORE = np.uint64(1), np.uint64(2)
+_ONES = np.ones(WIDTH, np.float32)
 _CODES = WIDTH * WIDTH
 _N_SUFFIX = _CODES - 1 - OWN
 #: First node of each level; a node is a softmax over WIDTH classes.
@@ -172,11 +175,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, t in _groups(b.filter(b.column(2))):
+            for _, _, t in _groups(b):
                 one, first, n = np.unique(t.hashes, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(t.suffix[first].astype(np.int32)), pa.array(n)], names=["h", "suffix", "c"])
 
-    return _input(docs).mapInArrow(run, "h long, suffix int, c long").groupBy("h", "suffix").agg(F.sum("c").alias("c"))
+    return _input(docs).where("trains").mapInArrow(run, "h long, suffix int, c long").groupBy("h", "suffix").agg(F.sum("c").alias("c"))
 
 
 def frequent_words(counts: DataFrame, most: int | None = None) -> Words:
@@ -244,13 +247,24 @@ class Model(NamedTuple):
     bias: np.ndarray
     weights: np.ndarray
 
+    def logits(self, d: Decisions) -> np.ndarray:
+        """(choices, WIDTH). Weights are within ``FARTHEST``, so exponentials need no shift."""
+        logit = self.bias.take(d.node, axis=0)
+        for k in range(d.rows.shape[1]):
+            logit += self.weights.take(d.rows[:, k], axis=0)
+        return logit
+
+    def probabilities(self, d: Decisions) -> np.ndarray:
+        """(choices, WIDTH)."""
+        p = self.logits(d)
+        np.exp(p, out=p)
+        p /= (p @ _ONES)[:, None]
+        return p
+
     def log_probabilities(self, d: Decisions) -> np.ndarray:
         """(choices, WIDTH), natural logarithm."""
-        logit = self.bias[d.node]
-        for k in range(d.rows.shape[1]):
-            logit += self.weights[d.rows[:, k]]
-        logit -= logit.max(axis=1, keepdims=True)
-        logit -= np.log(np.exp(logit).sum(axis=1, keepdims=True))
+        logit = self.logits(d)
+        logit -= np.log(np.exp(logit) @ _ONES)[:, None]
         return logit
 
 
@@ -265,10 +279,10 @@ def _parts(t: Tokens, words: Words) -> Iterator[tuple[slice, list[Decisions]]]:
 
 def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """``into[rows] += values``, with repeats."""
-    order = np.argsort(rows)
-    row = rows[order]
-    first = np.flatnonzero(np.diff(row, prepend=-1))
-    into[row[first]] += np.add.reduceat(values[order], first, axis=0)
+    # two neighbouring numbers are added at once, as the parts of a complex one
+    half = WIDTH // 2
+    at = rows.astype(np.int64)[:, None] * half + np.arange(half)
+    np.add.at(into.view(np.complex64).reshape(-1), at.reshape(-1), values.view(np.complex64).reshape(-1))
 
 
 def moments(docs: DataFrame, words: Words, model: Model, turn: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -279,22 +293,22 @@ def moments(docs: DataFrame, words: Words, model: Model, turn: int | None = None
         known, now = shared.value
         seen, expected = np.zeros(size * WIDTH, np.float32), np.zeros((size, WIDTH), np.float32)
         for b in batches:
-            wanted = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            if turn is not None:
-                wanted &= b.column(3).to_numpy(zero_copy_only=False) == turn
-            for _, _, t in _groups(b.filter(pa.array(wanted))):
+            for _, _, t in _groups(b):
                 for _, choices in _parts(t, known):
                     for d in choices:
                         if not len(d.token):
                             continue
-                        p = np.exp(now.log_probabilities(d))
+                        p = now.probabilities(d)
                         for k in range(d.rows.shape[1]):
                             np.add.at(seen, d.rows[:, k].astype(np.int64) * WIDTH + d.chosen, np.float32(1))
                             _add(expected, d.rows[:, k], p)
         yield from _blocks(seen.reshape(size, WIDTH))
         yield from _blocks(expected, size // BLOCK)
 
-    both = _summed(_input(docs).mapInArrow(run, "block int, part binary"), 2 * size)
+    texts = _input(docs).where("trains" if turn is None else F.expr(f"trains AND slice = {turn}"))
+    # every task gives a whole table, so there are as many as cores can use, not one for each piece of the input
+    texts = texts.coalesce(max(LEAST_TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism))
+    both = _summed(texts.mapInArrow(run, "block int, part binary"), 2 * size)
     shared.unpersist()
     return both[:size], both[size:]
 
@@ -306,11 +320,11 @@ def train(docs: DataFrame, words: Words) -> Model:
     n = np.maximum(expected.sum(axis=1, keepdims=True), 1e-9)
     share = np.maximum(expected / n, 1e-9)
     first = np.log((seen + PRIOR * share) / ((n + PRIOR) * share))
-    model = Model(model.bias, (FIRST * first).astype(np.float32))
+    model = Model(model.bias, np.clip(FIRST * first, -FARTHEST, FARTHEST).astype(np.float32))
     for turn in range(ROUNDS):
         seen, expected = moments(docs, words, model, turn)
         step = RATE * np.clip((seen - expected) / (expected + KAPPA), -1.0, 2.0)
-        model = Model(model.bias, (model.weights + step / (1 + turn / 2)).astype(np.float32))
+        model = Model(model.bias, np.clip(model.weights + step / (1 + turn / 2), -FARTHEST, FARTHEST).astype(np.float32))
     return model
 
 
