@@ -39,7 +39,7 @@ HEAD, DISCOUNT = 1 << 17, 0.5
 ROUNDS, RATE, FIRST, PRIOR, KAPPA = 4, 0.5, 0.35, 10.0, 4.0
 #: A weight's largest amount: six of them stay far within what a float32 exponential holds.
 FARTHEST = 10.0
-BLOCK, GROUP_BYTES, TOKENS, LEAST_TASKS = 256, 1 << 20, 1 << 15, 8
+BLOCK, GROUP_BYTES, TOKENS = 256, 1 << 20, 1 << 15
 #: Features of each level.
 FEATURES = (6, 6, 3, 3)
 #: Hashes of the end token and of what precedes a text.
@@ -281,33 +281,41 @@ def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """``into[rows] += values``, with repeats."""
     # two neighbouring numbers are added at once, as the parts of a complex one
     half = WIDTH // 2
-    at = rows.astype(np.int64)[:, None] * half + np.arange(half)
+    at = rows[:, None] * half + np.arange(half)
     np.add.at(into.view(np.complex64).reshape(-1), at.reshape(-1), values.view(np.complex64).reshape(-1))
 
 
 def moments(docs: DataFrame, words: Words, model: Model, turn: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(observed, expected) counts of (feature row, class) over the training texts, or a slice of them."""
+    """(observed, expected) counts of (feature row, class) over the training texts under weights of 0, or over a slice of them."""
     shared, size = docs.sparkSession.sparkContext.broadcast((words, model)), words.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, now = shared.value
         seen, expected = np.zeros(size * WIDTH, np.float32), np.zeros((size, WIDTH), np.float32)
+        # before the first step a choice's probabilities are its node's shares: of the few upper nodes it is enough to count choices
+        shares, upper = np.exp(now.bias), np.zeros(size * _NODES[2] if turn is None else 0, np.float32)
         for b in batches:
             for _, _, t in _groups(b):
                 for _, choices in _parts(t, known):
-                    for d in choices:
+                    for level, d in enumerate(choices):
                         if not len(d.token):
                             continue
-                        p = now.probabilities(d)
+                        few = turn is None and level < 2
+                        p = None if few else shares.take(d.node, axis=0) if turn is None else now.probabilities(d)
                         for k in range(d.rows.shape[1]):
-                            np.add.at(seen, d.rows[:, k].astype(np.int64) * WIDTH + d.chosen, np.float32(1))
-                            _add(expected, d.rows[:, k], p)
+                            row = d.rows[:, k].astype(np.int64)
+                            np.add.at(seen, row * WIDTH + d.chosen, np.float32(1))
+                            if few:
+                                np.add.at(upper, row * _NODES[2] + d.node, np.float32(1))
+                            else:
+                                _add(expected, row, p)
+        if turn is None:
+            for at in range(0, size, 1 << 14):
+                expected[at : at + (1 << 14)] += upper.reshape(size, -1)[at : at + (1 << 14)] @ shares[: _NODES[2]]
         yield from _blocks(seen.reshape(size, WIDTH))
         yield from _blocks(expected, size // BLOCK)
 
     texts = _input(docs).where("trains" if turn is None else F.expr(f"trains AND slice = {turn}"))
-    # every task gives a whole table, so there are as many as cores can use, not one for each piece of the input
-    texts = texts.coalesce(max(LEAST_TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism))
     both = _summed(texts.mapInArrow(run, "block int, part binary"), 2 * size)
     shared.unpersist()
     return both[:size], both[size:]
