@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
-from boxwright.operators import graphs, metrics
+from boxwright.operators import digests, graphs, metrics
 from boxwright.plans.join_queries import _HASH_SQL, _NEAR, PR_SQL, UNKNOWN_SQL, near_links, pr_evidence, unknown_matches
 from boxwright.plans.registry import query
 from boxwright.sources import fixtures as X
@@ -290,12 +290,10 @@ def g32(spark, d):
     return X.table(spark, d, "documents").groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("images"), F.sum("n_chars").alias("chars"))
 
 
-@query("G33_content_digest")
+@query("G33_content_digest", f"SELECT fingerprint FROM ({digests.fingerprint_sql(['doc_id', 'lang'], 'documents')})")
 def g33(spark, d):
-    """Digest of an ordered set: row digests are summed up by a hash of the sorted list of one digest a source."""
-    rows = X.table(spark, d, "documents").select("source", F.sha2(F.to_json(F.struct("doc_id", "lang")), 256).alias("h"))
-    per_source = rows.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return per_source.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "h"))), lambda r: r["h"]), ""), 256).alias("fingerprint"))
+    """Digest of a set of rows with their ids."""
+    return digests.fingerprint(X.table(spark, d, "documents").select("doc_id", "lang")).select("fingerprint")
 
 
 @query("G34_feature_mean", "SELECT i AS pos, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY i")

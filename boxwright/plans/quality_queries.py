@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
-from boxwright.operators import metrics
+from boxwright.operators import digests, metrics
 from boxwright.plans.aggregate_queries import _DOC_SPLIT, docs
 from boxwright.plans.filter_queries import _FINE, _RAW, raw
 from boxwright.plans.geometry_queries import _OVERLAP, known_overlap
@@ -51,12 +51,22 @@ def q01(spark, d):
     return out.groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("Q02_sealed_artifact")
+_KEPT = "SELECT doc_id, lang, sha256(text) AS digest FROM documents"
+_COPIES = f"(SELECT 'same' AS copy, * FROM ({_KEPT}) UNION ALL SELECT 'changed', doc_id, CASE WHEN doc_id = 7 THEN 'xx' ELSE lang END, digest FROM ({_KEPT}) UNION ALL SELECT 'doubled', * FROM ({_KEPT}) UNION ALL SELECT 'doubled', k.* FROM ({_KEPT}) k, range(2) WHERE doc_id = 7)"
+_SEALED = digests.fingerprint_sql(["doc_id", "lang", "digest"], f"({_KEPT})")
+
+
+@query("Q02_sealed_artifact", f"SELECT copy, c.rows, c.fingerprint = s.fingerprint AS intact FROM ({digests.fingerprint_sql(['doc_id', 'lang', 'digest'], _COPIES, 'copy,')}) c, ({_SEALED}) s")
 def q02(spark, d):
-    """A table's order-free digest against its recomputation."""
-    rows = T(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    seal = lambda df: df.agg(F.count("*").alias("rows"), F.hex(F.bit_xor(F.xxhash64("doc_id", "digest"))).alias("seal"))
-    return seal(rows).crossJoin(F.broadcast(seal(rows.repartition("digest")).select(F.col("seal").alias("again")))).select("rows", (F.col("seal") == F.col("again")).alias("intact"))  # one row each
+    """Copies of a table against its seal: one as it was, one with a value changed, one with a row twice more."""
+    rows = T(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("digest"))
+    changed = rows.withColumn("lang", F.when(F.col("doc_id") == 7, "xx").otherwise(F.col("lang")))
+    one = rows.where("doc_id = 7")
+    copies = rows.select(F.lit("same").alias("copy"), "*")
+    for name, copy in (("changed", changed), ("doubled", rows.union(one).union(one))):
+        copies = copies.union(copy.select(F.lit(name), "*"))
+    seal = digests.fingerprint(rows).select(F.col("fingerprint").alias("seal"))
+    return digests.fingerprint(copies, "copy").crossJoin(F.broadcast(seal)).select("copy", "rows", (F.col("fingerprint") == F.col("seal")).alias("intact"))  # one row
 
 
 @query("Q03_membership_unique", f"SELECT sha256(text) AS image, count(DISTINCT {_DOC_SPLIT}) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT {_DOC_SPLIT}) > 1")
@@ -202,16 +212,20 @@ def q25(spark, d):
     return T(spark, d, "events").groupBy(F.col("event_type").alias("role")).agg((F.count_distinct(F.col("user_id") % 2) == 1).alias("same_split"), F.every(F.col("value") >= 0).alias("values_valid"), F.min("event_id").alias("teacher"))
 
 
-@query("Q26_artifact_chain")
+_CHAIN = {"documents": ["doc_id", "text", "lang", "source", "n_chars"], "labels": ["doc_id", "quality", "toxic"], "pages": ["page_id", "url", "html"], "benchmark": ["item_id", "text"]}
+_OWN = " UNION ALL ".join(f"SELECT {k} AS step, '{name}' AS artifact, fingerprint FROM ({digests.fingerprint_sql(columns, name)})" for k, (name, columns) in enumerate(_CHAIN.items()))
+
+
+@query("Q26_artifact_chain", f"SELECT step, artifact, sha256(string_agg(fingerprint, '') OVER (ORDER BY step)) AS sealed FROM ({_OWN})")
 def q26(spark, d):
-    """Digests of four tables, each bound to the one before."""
-    out, before = None, F.lit("")
-    for k, name in enumerate(("documents", "labels", "pages", "benchmark")):
-        rows = T(spark, d, name)
-        own = rows.agg(F.hex(F.bit_xor(F.xxhash64(*rows.columns))).alias("own")).select(F.lit(k).alias("step"), F.lit(name).alias("artifact"), "own")
+    """Digests of four tables, each bound to those before."""
+    out = None
+    for k, (name, columns) in enumerate(_CHAIN.items()):
+        own = digests.fingerprint(T(spark, d, name).select(*columns)).select(F.lit(k).alias("step"), F.lit(name).alias("artifact"), "fingerprint")
         out = own if out is None else out.union(own)
-    chain = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "own")).over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))), lambda r: r["own"]), "")
-    return out.select("step", "artifact", F.sha2(F.concat(before, chain), 256).alias("sealed"))  # four rows
+    # four rows
+    chain = F.array_join(F.collect_list("fingerprint").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)), "")
+    return out.select("step", "artifact", F.sha2(chain, 256).alias("sealed"))
 
 
 @query("Q28_evidence_validation", "SELECT event_id, CASE WHEN props IS NULL OR NOT json_valid(props) THEN 'unreadable' WHEN value < 0 OR value > 100 THEN 'out_of_range' WHEN event_type = 'error' THEN 'failed' END AS issue FROM events")

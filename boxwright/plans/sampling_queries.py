@@ -317,7 +317,10 @@ def x07(spark, d):
     return T(spark, d, "events").select("event_id", F.bround(v * 10, 0).alias("even"), F.floor(v).cast("double").alias("low"), F.ceil(v).cast("double").alias("high"), F.round(F.sqrt(v * v + 1), 9).alias("root"), (~F.isnan(v) & (F.abs(v) < float("inf"))).alias("finite"))
 
 
-@query("X08_canonical_json")
+_JSON = """'{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}'"""
+
+
+@query("X08_canonical_json", f"SELECT doc_id, {_JSON} AS json, sha256({_JSON}) AS fingerprint FROM documents")
 def x08(spark, d):
     """Keys sorted, compact: fields are listed in the order of their names."""
     row = F.to_json(F.struct(F.col("doc_id"), F.col("lang"), F.col("source")))

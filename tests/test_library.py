@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxwright.functions import extensions
-from boxwright.operators import allocation, cleaning, clustering, graphs, metrics
+from boxwright.operators import allocation, cleaning, clustering, digests, graphs, metrics
 from boxwright.sources import readers, sinks
 from boxwright.sources.image_headers import read_dimensions
 
@@ -190,12 +190,38 @@ def test_publish_once_and_verify(spark, tmp_path):
     path = f"file://{tmp_path}/out"
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     sinks.publish({"rows": df, "table": df}, path, {"table": "csv"})
-    assert sinks.verify(spark, path) == {"rows": True}
+    assert sinks.verify(spark, path) == {"rows": True, "table": True}
+    df.limit(1).write.mode("append").option("header", True).csv(f"{path}/table")
+    assert sinks.verify(spark, path) == {"rows": True, "table": False}
     with pytest.raises(sinks.PublishError):
         sinks.publish({"rows": df}, path)
     assert sinks.seal(df) == sinks.seal(df.repartition(3)) != sinks.seal(df.limit(9))
 
 
+def test_publish_seals_what_was_written(spark, tmp_path):
+    path = f"file://{tmp_path}/chance"
+    manifest = sinks.publish({"rows": spark.range(20).withColumn("x", F.expr("uuid()"))}, path)
+    assert manifest["rows"]["rows"] == 20
+    assert sinks.verify(spark, path) == {"rows": True}
+
+
+def test_fingerprints_count_rows_and_tell_values_apart(spark):
+    def mark(*rows):
+        return digests.fingerprint(spark.createDataFrame(list(rows), "a string, b long")).first().fingerprint
+
+    some = [("x", 1), ("", None), (None, 3)]
+    assert mark(*some) == mark(*reversed(some))
+    others = [mark(*some, ("x", 1)), mark(*some, ("x", 1), ("x", 1)), mark(("x", 1), (None, None), (None, 3)), mark(("x", None), ("", 1), (None, 3)), mark(), mark(("1:", 2)), mark((None, None))]
+    assert len({mark(*some), *others}) == len(others) + 1
+
+
+def test_manifest_problems(spark):
+    columns = "id long, size int, sha256 string"
+    said = spark.createDataFrame([(1, 5, "a"), (2, 5, "a"), (3, 5, "a"), (4, 5, "a"), (5, None, "a")], columns)
+    found = spark.createDataFrame([(1, 5, "a"), (2, 6, "b"), (3, 5, "b"), (5, None, "a"), (6, 5, "a")], columns)
+    assert {tuple(r) for r in digests.manifest_problems(said, found).collect()} == {(2, "size"), (3, "hash"), (4, "missing"), (6, "unexpected")}
+
+
 def test_run_status_transitions(spark, tmp_path):
     path = f"file://{tmp_path}/runs"
     sinks.append_run(spark, path, "r1", "running")
