@@ -39,7 +39,7 @@ HEAD, DISCOUNT = 1 << 17, 0.5
 ROUNDS, RATE, FIRST, PRIOR, KAPPA = 4, 0.5, 0.35, 10.0, 4.0
 #: A weight's largest amount: six of them stay far within what a float32 exponential holds.
 FARTHEST = 10.0
-BLOCK, GROUP_BYTES, TOKENS = 256, 1 << 20, 1 << 15
+BLOCK, GROUP_BYTES, TOKENS, TASK_TOKENS = 256, 1 << 20, 1 << 15, 1 << 22
 #: Features of each level.
 FEATURES = (6, 6, 3, 3)
 #: Hashes of the end token and of what precedes a text.
@@ -316,7 +316,9 @@ def moments(docs: DataFrame, words: Words, model: Model, turn: int | None = None
         yield from _blocks(expected, size // BLOCK)
 
     texts = _input(docs).where("trains" if turn is None else F.expr(f"trains AND slice = {turn}"))
-    both = _summed(texts.mapInArrow(run, "block int, part binary"), 2 * size)
+    # each task gives a whole table, so small pieces of the input share one: a task for so many tokens, or for each core if these are more
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-words.total // TASK_TOKENS))
+    both = _summed(texts.coalesce(tasks).mapInArrow(run, "block int, part binary"), 2 * size)
     shared.unpersist()
     return both[:size], both[size:]
 
