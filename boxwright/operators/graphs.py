@@ -1,11 +1,11 @@
-"""Connected components and near-duplicate links by blocked Hamming distance."""
+"""Connected components, and tables kept in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,27 +42,3 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         labels = new.select("node", "component")
         if done:
             return labels
-
-
-def hamming_pairs(rows: DataFrame, hi: str, lo: str, node: str, most: int) -> DataFrame:
-    """(a, b, distance), a < b, of rows whose 64-bit hashes (two 32-bit halves) differ in at most ``most`` bits.
-
-    ``most`` + 1 blocks: two such hashes agree on one. Rows meet on (block, its bits) and are verified inside the join.
-    """
-    n = most + 1
-    edges = [64 * k // n for k in range(n + 1)]
-
-    def block(first: int, end: int) -> Column:
-        parts = []
-        for half, start in ((lo, 0), (hi, 32)):
-            a, b = max(first, start), min(end, start + 32)
-            if a < b:
-                parts.append(F.shiftright(F.col(half), a - start).bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("string"))
-        return F.concat_ws("-", *parts)
-
-    blocks = F.array(*(F.concat(F.lit(f"{k}:"), block(edges[k], edges[k + 1])) for k in range(n)))
-    keyed = rows.select(F.col(node).alias("a"), F.col(hi).alias("hi_a"), F.col(lo).alias("lo_a"), F.explode(blocks).alias("block"))
-    other = keyed.select(F.col("a").alias("b"), F.col("hi_a").alias("hi_b"), F.col("lo_a").alias("lo_b"), F.col("block").alias("block_b"))
-    distance = F.expr("bit_count(hi_a ^ hi_b) + bit_count(lo_a ^ lo_b)")
-    met = keyed.join(other, (F.col("block") == F.col("block_b")) & F.expr(f"a < b AND bit_count(hi_a ^ hi_b) + bit_count(lo_a ^ lo_b) <= {most}"))
-    return met.select("a", "b", distance.alias("distance")).distinct()

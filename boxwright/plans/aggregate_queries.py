@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
 from boxwright.operators import digests, graphs, metrics
-from boxwright.plans.join_queries import _HASH_SQL, _NEAR, PR_SQL, UNKNOWN_SQL, near_links, pr_evidence, unknown_matches
+from boxwright.plans.join_queries import PR_SQL, UNKNOWN_SQL, near_duplicates, pr_evidence, unknown_matches
+from boxwright.operators import near_duplicates as near
 from boxwright.plans.registry import query
 from boxwright.sources import fixtures as X
 
@@ -61,26 +62,19 @@ def g06(spark, d):
     return grouped.where(F.size("members") > 1)
 
 
-def duplicate_components(spark, d):
-    base = X.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    least = base.groupBy("digest").agg(F.min("doc_id").alias("b"))
-    exact = base.join(least, "digest").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    return graphs.connected_components(exact.union(near_links(spark, d).select("a", "b")))
+_COMPONENTS = f"WITH RECURSIVE {near.HASH_SQL}, {near.COMPONENT_SQL}"
 
 
-_COMPONENTS = f"""{_HASH_SQL}, {_NEAR}, links AS (SELECT a, b FROM near UNION SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) AND a.doc_id <> b.doc_id),
-both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT a AS node, a AS r FROM both_ways UNION SELECT reach.node, e.b FROM reach JOIN both_ways e ON e.a = reach.r),
-component AS (SELECT node, min(r) AS component FROM reach GROUP BY node)"""
-
-
-@query("G07_components", f"WITH RECURSIVE {_COMPONENTS} SELECT node, component FROM component")
+@query("G07_components", f"{_COMPONENTS} SELECT node, component FROM (SELECT *, count(*) OVER (PARTITION BY component) AS size FROM component) WHERE size > 1")
 def g07(spark, d):
-    return duplicate_components(spark, d)
+    """Groups of exact or near duplicates of two documents or more."""
+    return near_duplicates(spark, d).components().where("size > 1").select(F.col("doc_id").alias("node"), "component")
 
 
-@query("G08_component_labels", f"WITH RECURSIVE {_COMPONENTS} SELECT node AS doc_id, 'duplicate:' || CAST(component AS VARCHAR) AS label FROM component")
+@query("G08_component_labels", f"{_COMPONENTS} SELECT node AS doc_id, 'duplicate:' || CAST(component AS VARCHAR) AS label FROM (SELECT *, count(*) OVER (PARTITION BY component) AS size FROM component) WHERE size > 1")
 def g08(spark, d):
-    return duplicate_components(spark, d).select(F.col("node").alias("doc_id"), F.concat(F.lit("duplicate:"), F.col("component").cast("string")).alias("label"))
+    rows = near_duplicates(spark, d).components().where("size > 1")
+    return rows.select("doc_id", F.concat(F.lit("duplicate:"), F.col("component").cast("string")).alias("label"))
 
 
 _RANK = "CASE split WHEN 'test' THEN 0 WHEN 'validation' THEN 1 WHEN 'pseudo_audit' THEN 2 ELSE 3 END"

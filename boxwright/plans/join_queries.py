@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
 from boxwright.operators import graphs, matching
+from boxwright.operators import near_duplicates as near
 from boxwright.plans.geometry_queries import _OVERLAP, known_overlap
 from boxwright.plans.registry import query
 from boxwright.sources import fixtures as X
@@ -82,34 +83,48 @@ def j09(spark, d):
     return known_overlap(spark, d).select("image_id", "confidence", "x1", "known_iou")
 
 
-def hashes(spark, d):
-    """A 64-bit hash of each document as two halves, in place of a picture's perceptual hash: a digest of the whole text, of whose copies
-    the id moves one bit."""
-    digest = F.md5(F.col("text").cast("binary"))
-    half = lambda k: F.conv(F.substring(digest, k, 8), 16, 10).cast("long")
-    # near relatives: one bit moved by the id
-    flip = F.expr("shiftleft(1L, CAST(doc_id % 5 AS INT))")
-    return X.table(spark, d, "documents").select("doc_id", half(1).alias("hi"), half(9).bitwiseXOR(flip).alias("lo"))
+def near_duplicates(spark, d):
+    """Near duplicates among the documents, whose texts stand for pictures."""
+    return near.NearDuplicates(X.table(spark, d, "documents"))
 
 
-_HASH_SQL = "h AS (SELECT doc_id, CAST('0x' || substr(md5(text),1,8) AS BIGINT) AS hi, xor(CAST('0x' || substr(md5(text),9,8) AS BIGINT), CAST(1 AS BIGINT) << CAST(doc_id % 5 AS INT)) AS lo FROM documents)"
-_NEAR = "near AS (SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.hi,b.hi)) + bit_count(xor(a.lo,b.lo)) AS distance FROM h a JOIN h b ON a.doc_id < b.doc_id AND bit_count(xor(a.hi,b.hi)) + bit_count(xor(a.lo,b.lo)) <= 4)"
+@query("J10_near_duplicates", f"WITH {near.HASH_SQL} SELECT m.doc_id, m.representative, (SELECT count(*) FROM around WHERE a = m.representative) - 1 AS links FROM m")
+def j10(spark, d):
+    """Every document with its class and how many other classes are near it."""
+    found = near_duplicates(spark, d)
+    links = found.both_ways().groupBy(F.col("a").alias("representative")).agg((F.count("*") - 1).alias("links"))
+    return found.members().join(links, "representative").select("doc_id", "representative", "links")
 
 
-def near_links(spark, d):
-    return graphs.hamming_pairs(hashes(spark, d), "hi", "lo", "doc_id", 4)
+@query("J10_class_links", f"WITH {near.HASH_SQL} SELECT a, b, CAST(distance AS INT) AS distance FROM near")
+def j10_links(spark, d):
+    """Links between classes of equal hashes, by their representatives."""
+    found = near.classes(near.fingerprints(X.table(spark, d, "documents")))
+    return near.class_links(graphs.materialise(found, "classes"))
 
 
-@query("J10_near_duplicates", f"WITH {_HASH_SQL}, {_NEAR} SELECT a, b, CAST(distance AS INT) AS distance FROM near")
-def j10(spark, d):
-    return near_links(spark, d).select("a", "b", F.col("distance").cast("int").alias("distance"))
+def near_protected(spark, d):
+    """Unprotected documents that are copies of a protected one, or else near one: doc_id, kind, protected_id (the first)."""
+    found = near_duplicates(spark, d)
+    docs = X.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), (F.col("doc_id") % 10 == 0).alias("protected"))
+    guarded = docs.where("protected")
+    members = found.members()
+    exact = guarded.groupBy("digest").agg(F.min("doc_id").alias("same"))
+    held = members.join(guarded.select("doc_id"), "doc_id").groupBy(F.col("representative").alias("b")).agg(F.min("doc_id").alias("held"))
+    close = found.both_ways().join(held, "b").groupBy(F.col("a").alias("representative")).agg(F.min("held").alias("close"))
+    rows = docs.where("NOT protected").join(members, "doc_id").join(exact, "digest", "left").join(close, "representative", "left")
+    kind = F.when(F.col("same").isNotNull(), "exact").when(F.col("close").isNotNull(), "near").alias("kind")
+    return rows.select("doc_id", kind, F.coalesce("same", "close").alias("protected_id")).where("kind IS NOT NULL")
+
+
+_NEAR_PROTECTED = f"""{near.HASH_SQL}, g AS (SELECT doc_id, sha256(text) AS digest, doc_id % 10 = 0 AS protected FROM documents), same AS (SELECT digest, min(doc_id) AS same FROM g WHERE protected GROUP BY digest),
+held AS (SELECT representative, min(doc_id) AS held FROM m WHERE doc_id % 10 = 0 GROUP BY 1), close_to AS (SELECT a, min(held) AS close FROM around JOIN held ON held.representative = b GROUP BY a),
+hit AS (SELECT g.doc_id, CASE WHEN same IS NOT NULL THEN 'exact' ELSE 'near' END AS kind, coalesce(same, close) AS protected_id FROM g JOIN m ON m.doc_id = g.doc_id LEFT JOIN same ON same.digest = g.digest LEFT JOIN close_to ON a = representative WHERE NOT protected AND coalesce(same, close) IS NOT NULL)"""
 
 
-@query("J11_near_protected", f"WITH {_HASH_SQL}, {_NEAR} SELECT a AS doc_id, min(b) AS protected_id FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) WHERE a % 10 <> 0 AND b % 10 = 0 GROUP BY a")
+@query("J11_near_protected", f"WITH {_NEAR_PROTECTED} SELECT doc_id, kind, protected_id FROM hit")
 def j11(spark, d):
-    links = near_links(spark, d)
-    both = links.select("a", "b").union(links.select("b", "a"))
-    return both.where("a % 10 <> 0 AND b % 10 = 0").groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("protected_id"))
+    return near_protected(spark, d)
 
 
 @query("J12_exact_hash_hits", "SELECT doc_id FROM documents WHERE doc_id % 10 <> 0 AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0)")

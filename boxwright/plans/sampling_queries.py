@@ -12,7 +12,7 @@ from boxwright.operators import allocation
 from boxwright.operators.ordered import ranked
 from boxwright.plans.aggregate_queries import _DOC_SPLIT, docs
 from boxwright.plans.geometry_queries import _CROP, _CROP_Y, crops
-from boxwright.plans.join_queries import _HASH_SQL, _NEAR, near_links
+from boxwright.plans.join_queries import _NEAR_PROTECTED, near_duplicates, near_protected
 from boxwright.plans.registry import query
 from boxwright.sources import fixtures as X
 
@@ -59,11 +59,10 @@ def a05(spark, d):
     return rows.select("event_type", "u").exceptAll(rows.where("event_id % 2 = 0").select("event_type", "u"))
 
 
-@query("A06_train_only_augmentation", f"WITH {_HASH_SQL}, {_NEAR} SELECT doc_id FROM documents WHERE doc_id % 10 <> 0 AND doc_id NOT IN (SELECT a FROM near WHERE b % 10 = 0 UNION SELECT b FROM near WHERE a % 10 = 0)")
+@query("A06_train_only_augmentation", f"WITH {_NEAR_PROTECTED} SELECT doc_id FROM documents WHERE doc_id % 10 <> 0 AND doc_id NOT IN (SELECT doc_id FROM hit)")
 def a06(spark, d):
-    links = near_links(spark, d)
-    near = links.where("b % 10 = 0").select(F.col("a").alias("doc_id")).union(links.where("a % 10 = 0").select("b"))
-    return T(spark, d, "documents").where("doc_id % 10 <> 0").select("doc_id").join(near, "doc_id", "left_anti")
+    """What may be added to training: unprotected documents that are neither copies of a protected one nor near one."""
+    return T(spark, d, "documents").where("doc_id % 10 <> 0").select("doc_id").join(near_protected(spark, d).select("doc_id"), "doc_id", "left_anti")
 
 
 def class_groups(spark, d):

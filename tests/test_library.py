@@ -1,13 +1,16 @@
 """Edge rules of metrics, allocation, components, cleaning, readers and sinks."""
 
+import hashlib
 import json
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from boxwright.functions import extensions
-from boxwright.operators import allocation, cleaning, clustering, digests, graphs, metrics
+from boxwright.operators import allocation, cleaning, clustering, digests, graphs, metrics, near_duplicates
 from boxwright.sources import readers, sinks
 from boxwright.sources.image_headers import read_dimensions
 
@@ -42,14 +45,62 @@ def test_components_keep_lone_nodes_and_follow_chains(spark):
 
 
 @pytest.mark.parametrize("most", [0, 1, 4, 7])
-def test_hamming_pairs_equal_all_pairs(spark, most):
+def test_class_links_equal_all_pairs(spark, most):
     r = random.Random(most)
     base = [r.getrandbits(64) for _ in range(30)]
-    values = base + [b ^ sum(1 << i for i in r.sample(range(64), r.randrange(9))) for b in base]
-    df = spark.createDataFrame([(k, v >> 32, v & 0xFFFFFFFF) for k, v in enumerate(values)], "k int, hi long, lo long")
-    got = {(x.a, x.b): x.distance for x in graphs.hamming_pairs(df, "hi", "lo", "k", most).collect()}
-    want = {(i, j): (a ^ b).bit_count() for i, a in enumerate(values) for j, b in enumerate(values) if i < j and (a ^ b).bit_count() <= most}
-    assert got == want
+    values = sorted({*base, *(b ^ sum(1 << i for i in r.sample(range(64), r.randrange(9))) for b in base)})
+    df = spark.createDataFrame([(k, v - (1 << 64) if v >> 63 else v) for k, v in enumerate(values)], "representative int, hash long")
+    got = sorted((x.a, x.b, x.distance) for x in near_duplicates.class_links(df, most).collect())
+    far = lambda i, j: (values[i] ^ values[j]).bit_count()
+    assert got == [(i, j, far(i, j)) for i in range(len(values)) for j in range(i + 1, len(values)) if far(i, j) <= most]
+
+
+def plain_hash(text):
+    n = Counter(re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans(near_duplicates.UPPER, near_duplicates.LOWER))))
+    weights = {w: sum(c >= s for s in near_duplicates.STEPS) for w, c in n.items()}
+    value = [(int(hashlib.md5(w.encode()).hexdigest()[:16], 16), k) for w, k in weights.items()]
+    bits = [sum(k if v >> b & 1 else -k for v, k in value) > 0 for b in range(64)]
+    return sum(on << b for b, on in enumerate(bits))
+
+
+def test_fingerprints_equal_plain_counts(spark):
+    texts = [None, "", " \n", "a", "A a b", "x " * 700 + "y", "é É ß", "one two\tthree\x0bfour\x85five", "b a b b c"]
+    docs = spark.createDataFrame([*enumerate(texts), (3, "a"), (3, "other")], "doc_id long, text string").repartition(3)
+    got = sorted((x.doc_id, x.hash % (1 << 64)) for x in near_duplicates.fingerprints(docs).collect())
+    assert got == sorted([(k, plain_hash(t)) for k, t in enumerate(texts)] + [(3, plain_hash("other"))])
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_copies_link_and_copies_stay_rows(spark):
+    r = random.Random(8)
+    common = ["".join(r.choice("aeioulnrst") for _ in range(r.randrange(1, 4))) for _ in range(40)]
+    rare = ["".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randrange(3, 10))) for _ in range(3000)]
+    words = lambda n: [r.choice(common) if r.random() < 0.4 else r.choice(rare) for _ in range(n)]
+    texts, links = [], 0
+    for _ in range(150):
+        own = words(r.randrange(60, 600))
+        texts.append(" ".join(own))
+        for changed in (1, 2, 3):
+            near = list(own)
+            for at in r.sample(range(len(near)), changed):
+                near[at] = r.choice(rare)
+            texts.append(" ".join(near))
+    texts += [texts[0]] * 50
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_duplicates.NearDuplicates(rows)
+    members = {x.doc_id: x.representative for x in found.members().collect()}
+    assert len(members) == len(texts) and all(members[k] == 0 for k in range(len(texts) - 50, len(texts)))
+    linked = {(x.a, x.b) for x in found.links.collect()}
+    sets = [shingles(t) for t in texts[:600]]
+    similar = [(i, j) for i in range(600) for j in range(i + 1, 600) if (s := len(sets[i] & sets[j])) and s >= 0.8 * len(sets[i] | sets[j])]
+    hits = sum(members[i] == members[j] or (min(members[i], members[j]), max(members[i], members[j])) in linked for i, j in similar)
+    assert len(similar) > 400 and hits >= 0.9 * len(similar), (hits, len(similar))
+    groups = {x.doc_id: (x.component, x.size) for x in found.components().collect()}
+    assert all(groups[a][0] // 4 == groups[b][0] // 4 for a, b in linked) and groups[len(texts) - 1][0] == 0 and groups[0][1] >= 51
 
 
 def test_proportional_groups_cover_classes_and_are_stable():
