@@ -131,10 +131,12 @@ def f11(spark, d):
     return X.boxes(spark, d).join(F.broadcast(table), "class_id").where("NOT confidence < least").select("image_id", "class_id", "confidence")
 
 
-@query("F12_combined_bounds", "SELECT class_id, greatest(0.1::DOUBLE, lo) AS lower, least(10.0::DOUBLE, hi) AS upper FROM (VALUES (0, 0.05::DOUBLE, 3.0::DOUBLE), (1, 0.2, 12.0), (2, 0.3, 2.6), (3, 0.1, 10.0), (4, 0.5, 1.5)) t(class_id, lo, hi)")
+@query("F12_combined_bounds", X.sql("SELECT class_id, greatest(0.1::DOUBLE, min((x2 - x1) / (y2 - y1))) AS lower, least(10.0::DOUBLE, max((x2 - x1) / (y2 - y1))) AS upper FROM truth GROUP BY class_id"))
 def f12(spark, d):
-    rows = spark.createDataFrame([(0, 0.05, 3.0), (1, 0.2, 12.0), (2, 0.3, 2.6), (3, 0.1, 10.0), (4, 0.5, 1.5)], "class_id int, lo double, hi double")
-    return rows.select("class_id", F.greatest(F.lit(0.1), "lo").alias("lower"), F.least(F.lit(10.0), "hi").alias("upper"))
+    """The ratios that a class's labelled boxes have, within the global bounds."""
+    ratio = (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    seen = X.truth(spark, d).groupBy("class_id").agg(F.min(ratio).alias("lo"), F.max(ratio).alias("hi"))
+    return seen.select("class_id", F.greatest(F.lit(0.1), "lo").alias("lower"), F.least(F.lit(10.0), "hi").alias("upper"))
 
 
 @query("F13_degenerate_drop", X.sql("SELECT image_id, x1 FROM (SELECT image_id, x1, x2 - 60 AS x2, y1, y2 - 60 AS y2 FROM boxes) WHERE NOT (x1 >= x2 OR y1 >= y2)"))

@@ -149,13 +149,6 @@ def q12(spark, d):
     return T(spark, d, "documents").select("doc_id").join(ledger, "doc_id", "left").select("doc_id", action.alias("action"))
 
 
-@query("Q13_experiment_matrix", "SELECT method || '_' || CAST(seed AS VARCHAR) AS run FROM (SELECT unnest(['supervised_10','supervised_20','trust_main']) AS method), (SELECT unnest([42, 3407, 2026]) AS seed)")
-def q13(spark, d):
-    """A static grid of two literal lists."""
-    methods = F.explode(F.array(*map(F.lit, ("supervised_10", "supervised_20", "trust_main"))))
-    return spark.range(1).select(methods.alias("m")).select("m", F.explode(F.array(*map(F.lit, (42, 3407, 2026)))).alias("seed")).select(F.concat_ws("_", "m", "seed").alias("run"))
-
-
 @query("Q15_snapshot_audit", "SELECT count(*) AS images, count(DISTINCT sha256(d.text)) AS distinct_images, count(l.doc_id) AS labelled, count(*) - count(l.doc_id) AS missing FROM documents d LEFT JOIN labels l USING (doc_id)")
 def q15(spark, d):
     joined = T(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")).join(T(spark, d, "labels").select("doc_id", F.lit(1).alias("l")), "doc_id", "left")

@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
-from boxwright.operators import allocation
+from boxwright.operators import allocation, splits
+from boxwright.operators import near_duplicates as near
 from boxwright.operators.ordered import ranked
 from boxwright.plans.aggregate_queries import _DOC_SPLIT, docs
 from boxwright.plans.geometry_queries import _CROP, _CROP_Y, crops
@@ -65,30 +66,42 @@ def a06(spark, d):
     return T(spark, d, "documents").where("doc_id % 10 <> 0").select("doc_id").join(near_protected(spark, d).select("doc_id"), "doc_id", "left_anti")
 
 
-def class_groups(spark, d):
-    """Groups (by source) of images (documents) with how many have each class (language); one row a group and class."""
-    rows = T(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    classes = {"de": 0, "en": 1, "es": 2, "fr": 3}
-    out: dict[str, tuple[int, dict[int, int]]] = {}
-    for source, lang, n in rows.collect():  # groups x classes, the allocator's input
-        size, present = out.get(source, (0, {}))
-        out[source] = (size + n, present | {classes.get(lang, 4): n})
-    return out
+def duplicate_groups(spark, d):
+    """Documents as images of their duplicate groups; their language and, where labelled, quality are the classes. Every thirteenth group is protected."""
+    known = T(spark, d, "labels").select("doc_id", F.concat(F.lit("quality"), F.col("quality").cast("string")).alias("label"))
+    groups = near_duplicates(spark, d).components().select("doc_id", F.col("component").alias("group"))
+    rows = T(spark, d, "documents").select("doc_id", "lang").join(known, "doc_id", "left").join(groups, "doc_id")
+    classes = F.array_compact(F.array("lang", "label")).alias("classes")
+    return splits.describe_groups(rows.select(F.col("doc_id").alias("id"), "group", classes, (F.col("group") % 13 == 0).alias("protected")))
 
 
-@query("A07_stratified_split")
+_SHARES = {"validation": 0.10, "test": 0.10, "pseudo_audit": 0.05, "unlabeled": 0.15}
+_GROUPS = f"""WITH RECURSIVE {near.HASH_SQL}, {near.COMPONENT_SQL}, member AS (SELECT component AS g, d.doc_id, d.lang, 'quality' || l.quality AS label FROM component JOIN documents d ON d.doc_id = node LEFT JOIN labels l ON l.doc_id = d.doc_id),
+class AS (SELECT g, c, count(*) AS n FROM (SELECT g, lang AS c FROM member UNION ALL SELECT g, label FROM member) WHERE c IS NOT NULL GROUP BY g, c),
+grp AS (SELECT m.g, count(*) AS images, m.g % 13 = 0 AS protected, any_value(k.kind) AS kind FROM member m LEFT JOIN (SELECT g, string_agg(c || '=' || n, ';' ORDER BY c) AS kind FROM class GROUP BY g) k ON k.g = m.g GROUP BY m.g)"""
+_POINT = "((row_number() OVER (ORDER BY images DESC, coalesce(kind, ''), sha256('{0}:' || g), g)) & 1073741823) * 2654435769 % 4294967296 AS point"
+_CASES = " ".join(f"WHEN point >= {a} AND point < {b} THEN '{n}'" for n, (a, b) in splits.intervals(_SHARES).items())
+_SPLIT = f"""{_GROUPS}, placed AS (SELECT g, images, CASE {_CASES} ELSE 'train_pool' END AS split FROM (SELECT *, {_POINT.format(42)} FROM grp WHERE NOT protected)),
+roomy AS (SELECT k, name FROM (VALUES {", ".join(f"({k}, '{n}', {x})" for k, (n, x) in enumerate(_SHARES.items()))}) v(k, name, share) WHERE round_even((SELECT sum(images) FROM placed) * share::DOUBLE, 0) >= (SELECT count(DISTINCT c) FROM class JOIN placed ON placed.g = class.g)),
+lacking AS (SELECT DISTINCT c, k, name FROM class JOIN placed ON placed.g = class.g, roomy WHERE NOT EXISTS (SELECT 1 FROM class x JOIN placed y ON y.g = x.g WHERE x.c = class.c AND y.split = name)),
+chosen AS (SELECT l.k, l.name, min_by(class.g, sha256('42:' || l.k || ':' || class.g)) AS g FROM lacking l JOIN class ON class.c = l.c JOIN placed ON placed.g = class.g WHERE split = 'train_pool' GROUP BY l.c, l.k, l.name),
+moved AS (SELECT g, min_by(name, k) AS name FROM chosen GROUP BY g), final AS (SELECT p.g, images, coalesce(name, split) AS split FROM placed p LEFT JOIN moved ON moved.g = p.g UNION ALL SELECT g, images, 'external_test' FROM grp WHERE protected)"""
+
+
+@query("A07_stratified_split", f"{_SPLIT} SELECT doc_id, m.g AS grp, split FROM member m JOIN final f ON f.g = m.g")
 def a07(spark, d):
-    """Whole groups go to validation, test, pseudo_audit and unlabeled in turn; the rest trains."""
-    chosen = allocation.split_groups(class_groups(spark, d), {"validation": 0.10, "test": 0.10, "pseudo_audit": 0.05, "unlabeled": 0.20}, 42)
-    table = spark.createDataFrame(sorted(chosen.items()), "source string, split string")
-    return T(spark, d, "documents").select("doc_id", "source").join(F.broadcast(table), "source")  # one row a group
+    """Whole duplicate groups go to validation, test, pseudo_audit or unlabeled; the rest trains; protected groups are external."""
+    found = near_duplicates(spark, d)
+    chosen = splits.split_groups(duplicate_groups(spark, d), _SHARES, 42)
+    return found.components().select("doc_id", F.col("component").alias("group")).join(chosen, "group").select("doc_id", F.col("group").alias("grp"), "split")
 
 
-@query("A08_group_allocator")
+@query("A08_group_allocator", f"{_SPLIT}, train AS (SELECT f.g, f.images, kind FROM final f JOIN grp ON grp.g = f.g WHERE split = 'train_pool') SELECT g AS grp, images, CAST(CASE WHEN point < 429496730 THEN 10 WHEN point < 858993459 THEN 20 WHEN point < 1717986918 THEN 40 ELSE 100 END AS INT) AS budget FROM (SELECT *, {_POINT.format(3407)} FROM train)")
 def a08(spark, d):
-    groups = class_groups(spark, d)
-    chosen = allocation.proportional_groups(groups, sum(n for n, _ in groups.values()) // 4, 42)
-    return spark.createDataFrame([(g,) for g in sorted(chosen)], "source string")
+    """Nested label budgets of the groups that train, each near the whole's share of every class."""
+    groups = duplicate_groups(spark, d)
+    train = splits.split_groups(groups, _SHARES, 42).where("split = 'train_pool'").select("group")
+    return splits.budgets(groups.join(train, "group"), (10, 20, 40, 100), 3407).select(F.col("group").alias("grp"), "images", "budget")
 
 
 @query("A09_group_integrity", f"SELECT lang, count(DISTINCT {_DOC_SPLIT}) AS splits FROM documents WHERE doc_id % 4 < 2 GROUP BY lang HAVING count(DISTINCT {_DOC_SPLIT}) > 1")
@@ -96,16 +109,16 @@ def a09(spark, d):
     return docs(spark, d).where("doc_id % 4 < 2").groupBy("lang").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
 
 
-def image_kinds(spark, d, where):
+def image_kinds(spark, d):
     """Each image with its set of classes; of these there are 31 at most."""
-    return X.boxes(spark, d).where(where).groupBy("image_id").agg(F.array_sort(F.collect_set("class_id")).alias("kind"))
+    return X.boxes(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_set("class_id")).alias("kind"))
 
 
 def selected(spark, d, quota=6):
     """The ids of the quota selection. Of each class set only its largest ids can be chosen, as many as all quotas allow; tasks keep
     no more than that before the shuffle."""
     order = Window.partitionBy("kind").orderBy(F.col("image_id").cast("string").desc())
-    top = image_kinds(spark, d, "confidence > 0.7").withColumn("k", F.row_number().over(order)).where(F.col("k") <= 5 * quota)
+    top = image_kinds(spark, d).withColumn("k", F.row_number().over(order)).where(F.col("k") <= 5 * quota)
     heads: dict[tuple[int, ...], list[str]] = {}
     for kind, image_id, _ in top.select("kind", F.col("image_id").cast("string"), "k").orderBy("kind", "k").collect():
         heads.setdefault(tuple(kind), []).append(image_id)
@@ -120,13 +133,13 @@ def a10(spark, d):
 @query("A11_selection_output")
 def a11(spark, d):
     ids = F.broadcast(spark.createDataFrame([(int(i),) for i in selected(spark, d)], "image_id long"))  # at most the sum of quotas
-    return X.boxes(spark, d).where("confidence > 0.7").join(ids, "image_id").groupBy("image_id").agg(F.count("*").alias("boxes"), F.array_sort(F.collect_set("class_id")).alias("classes"))
+    return X.boxes(spark, d).join(ids, "image_id").groupBy("image_id").agg(F.count("*").alias("boxes"), F.array_sort(F.collect_set("class_id")).alias("classes"))
 
 
 @query("A12_balanced_repeats")
 def a12(spark, d):
     """Images of a class set get equally many appearances; those first in the seed's order one more, where it doesn't divide."""
-    kinds = image_kinds(spark, d, "confidence > 0.8")
+    kinds = image_kinds(spark, d)
     sizes = {tuple(r[0]): r[1] for r in kinds.groupBy("kind").agg(F.count("*")).collect()}
     rows, before = [], 0
     for kind, extra in sorted(allocation.balanced_repeats(sizes, 3).items()):
@@ -262,9 +275,9 @@ def o04(spark, d):
     return T(spark, d, "events").select("event_id", "event_type").join(ranks, "event_type", "left").select("event_id", "event_type", F.coalesce("r", F.lit(3)).alias("protocol_rank"))
 
 
-@query("O05_label_sort", X.sql("SELECT image_id, class_id, x1, y1, x2, y2, confidence FROM boxes WHERE confidence > 0.95 ORDER BY image_id, class_id, x1, y1, x2, y2, confidence DESC"))
+@query("O05_label_sort", X.sql("SELECT image_id, class_id, x1, y1, x2, y2, confidence FROM boxes ORDER BY image_id, class_id, x1, y1, x2, y2, confidence DESC"))
 def o05(spark, d):
-    return X.boxes(spark, d).where("confidence > 0.95").drop("view").orderBy("image_id", "class_id", "x1", "y1", "x2", "y2", F.desc("confidence"))
+    return X.boxes(spark, d).drop("view").orderBy("image_id", "class_id", "x1", "y1", "x2", "y2", F.desc("confidence"))
 
 
 @query("O06_argmax_tuple", X.sql("SELECT image_id, max({'c': confidence, 'm': -x1, 'y': -y1, 'k': class_id}).k AS class_id FROM boxes GROUP BY image_id"))
@@ -348,6 +361,13 @@ def interpolate(text: str, values: dict[str, str]) -> str:
     return re.sub(r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}", lambda m: values[m[1]], text)
 
 
-@query("X11_interpolation", "SELECT 'runs/' || 'seed42' || '/out' AS path")
+_TEMPLATE = "runs/${SOURCE}/${LANG}/${ID}.json"
+
+
+@query("X11_interpolation", "SELECT doc_id, 'runs/' || source || '/' || lang || '/' || doc_id || '.json' AS path FROM documents")
 def x11(spark, d):
-    return spark.range(1).select(F.lit(interpolate("runs/${RUN}/out", {"RUN": "seed42"})).alias("path"))
+    """A path for each row from one template, whose names are columns; an unknown name is an error."""
+    parts = re.split(r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}", _TEMPLATE)
+    values = {"SOURCE": F.col("source"), "LANG": F.col("lang"), "ID": F.col("doc_id").cast("string")}
+    path = F.concat(*(values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+    return T(spark, d, "documents").select("doc_id", path.alias("path"))

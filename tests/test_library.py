@@ -4,13 +4,14 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from boxwright.functions import extensions
-from boxwright.operators import allocation, cleaning, clustering, digests, graphs, metrics, near_duplicates
+from boxwright.operators import allocation, cleaning, clustering, digests, graphs, metrics, near_duplicates, splits
 from boxwright.sources import readers, sinks
 from boxwright.sources.image_headers import read_dimensions
 
@@ -103,16 +104,57 @@ def test_near_copies_link_and_copies_stay_rows(spark):
     assert all(groups[a][0] // 4 == groups[b][0] // 4 for a, b in linked) and groups[len(texts) - 1][0] == 0 and groups[0][1] >= 51
 
 
-def test_proportional_groups_cover_classes_and_are_stable():
-    r = random.Random(1)
-    groups = {f"g{k}": (n := r.randrange(1, 4), {c: n for c in r.sample(range(5), r.randrange(1, 3))}) for k in range(60)}
-    chosen = allocation.proportional_groups(groups, 25, 42)
-    assert chosen == allocation.proportional_groups(dict(reversed(groups.items())), 25, 42)
-    assert {c for g in chosen for c in groups[g][1]} == set(range(5))
-    assert sum(groups[g][0] for g in chosen) >= 25
-    assert allocation.proportional_groups(groups, 0, 42) == set()
-    split = allocation.split_groups(groups, {"validation": 0.1, "test": 0.1}, 42)
-    assert set(split) == set(groups) and {"validation", "test", "train_pool"} == set(split.values())
+def group_rows(n=3000):
+    """Images in duplicate groups of one to forty, classes of which one is rare."""
+    r, rows = random.Random(1), []
+    for g in range(n):
+        size = r.choice([1] * 12 + [2, 3, 40])
+        classes = r.sample(["a", "b", "c", "d"], r.randrange(1, 3)) + (["rare"] if g % 400 == 7 else [])
+        rows += [(f"{g}-{k}", g, classes, g % 50 == 0) for k in range(size)]
+    return rows
+
+
+def test_splits_are_whole_groups_near_their_shares(spark):
+    rows = group_rows()
+    shares = {"validation": 0.1, "test": 0.1, "pseudo_audit": 0.05, "unlabeled": 0.15}
+    groups = splits.describe_groups(spark.createDataFrame(rows, "id string, `group` long, classes array<string>, protected boolean").repartition(5))
+    got = splits.split_groups(groups, shares, 42).collect()
+    split = {x.group: x.split for x in got}
+    assert len(got) == len(split) == 3000 and all((split[g] == "external_test") == guarded for _, g, _, guarded in rows)
+    free = [(split[g], c) for _, g, classes, guarded in rows if not guarded for c in classes]
+    images = Counter(split[g] for _, g, _, guarded in rows if not guarded)
+    for name, share in shares.items():
+        assert abs(images[name] - share * images.total()) <= 80  # two of the largest groups
+        for c in "abcd":
+            own, all_of = sum(f == (name, c) for f in free), sum(f[1] == c for f in free)
+            assert abs(own - share * all_of) <= 0.25 * share * all_of + 45, (name, c, own, share * all_of)
+        assert (name, "rare") in free  # though 0.4 of its 8 groups are the share of the smallest split
+    again = splits.split_groups(groups, shares, 42).collect()
+    assert {x.group: x.split for x in again} == split
+    assert {x.group: x.split for x in splits.split_groups(groups, shares, 7).collect()} != split
+
+
+def test_budgets_are_nested(spark):
+    groups = splits.describe_groups(spark.createDataFrame(group_rows(600), "id string, `group` long, classes array<string>, protected boolean"))
+    got = splits.budgets(groups, (10, 20, 40, 100), 3407).collect()
+    total = sum(x.images for x in got)
+    assert len(got) == 600
+    for p in (10, 20, 40):
+        assert abs(sum(x.images for x in got if x.budget <= p) - total * p / 100) <= 80
+
+
+def test_odd_groups_are_errors_and_empty_tables_give_none(spark):
+    kind = "id string, `group` long, classes array<string>, protected boolean"
+    with pytest.raises(ValueError, match="protected"):
+        splits.describe_groups(spark.createDataFrame([("x", 1, ["a"], True), ("y", 1, ["a"], False)], kind))
+    with pytest.raises(ValueError, match="more than once"):
+        splits.describe_groups(spark.createDataFrame([("x", 1, ["a"], True), ("x", 2, ["a"], False)], kind))
+    with pytest.raises(ValueError, match="shares"):
+        splits.intervals({"a": 0.7, "b": 0.4})
+    none = splits.describe_groups(spark.createDataFrame([], kind))
+    assert splits.split_groups(none, {"test": 0.5}, 1).count() == 0
+    bare = splits.describe_groups(spark.createDataFrame([("x", 1, None, False), ("y", 2, [], False)], kind))
+    assert splits.split_groups(bare, {"test": 0.5}, 1).count() == 2
 
 
 def test_rarest_first_equals_a_walk_over_all_images():
@@ -132,13 +174,43 @@ def test_rarest_first_equals_a_walk_over_all_images():
         allocation.rarest_first({(0,): ["a"]}, {0: 1, 1: 1})
 
 
-def test_balanced_repeats_reach_the_largest_class():
+def walked_repeats(sizes, most):
+    """One image at a time: the rarest class's image of fewest appearances, then of rarest classes."""
+    images = [[k, 1] for k, n in sorted(sizes.items()) for _ in range(n)]
+    count = Counter(c for k, n in sizes.items() for c in k for _ in range(n))
+    goal, steps = max(count.values()), 0
+    while min(count.values()) < goal:
+        rare = min(count, key=lambda c: (count[c], c))
+        best = min((i for i in images if rare in i[0] and i[1] < most), key=lambda i: (i[1], sum(count[c] for c in i[0])))
+        best[1] += 1
+        count.update(best[0])
+        steps += 1
+    return steps, count
+
+
+def test_balanced_repeats_are_near_the_walk():
     sizes = {(0,): 40, (1,): 9, (0, 1): 5, (2,): 21}
     extra = allocation.balanced_repeats(sizes, 5)
-    count = [sum((n + extra[k]) for k, n in sizes.items() if c in k) for c in range(3)]
-    assert min(count) >= 45 and all(extra[k] <= 4 * n for k, n in sizes.items()) and extra[2,] == 24
+    assert extra[2,] == 24 and walked_repeats(sizes, 5)[0] == sum(extra.values())
     with pytest.raises(ValueError, match="appearances"):
         allocation.balanced_repeats(sizes, 2)
+    r = random.Random(6)
+    for _ in range(20):
+        sizes = {tuple(sorted(r.sample(range(5), r.randrange(1, 4)))): r.randrange(1, 60) for _ in range(9)} | {(c,): r.randrange(20, 40) for c in range(5)}
+        extra = allocation.balanced_repeats(sizes, 12)
+        count = Counter()
+        for k, n in sizes.items():
+            count.update(dict.fromkeys(k, n + extra[k]))
+        steps, walked = walked_repeats(sizes, 12)
+        assert min(count.values()) >= max(sum(n for k, n in sizes.items() if c in k) for c in range(5))
+        assert all(0 <= extra[k] <= 11 * n for k, n in sizes.items())
+        assert sum(extra.values()) <= 1.15 * steps + 2 and max(count.values()) <= 1.15 * max(walked.values()) + 2
+
+
+def test_balanced_repeats_do_not_walk():
+    began = time.time()
+    allocation.balanced_repeats({(0,): 10**9, (1,): 3 * 10**8, (0, 1): 10**8, (2,): 4 * 10**8, (1, 2): 7}, 5)
+    assert time.time() - began < 2
 
 
 def test_first_failing_reason_wins(spark):
