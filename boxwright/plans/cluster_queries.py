@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxwright.operators import clustering as C
-from boxwright.operators import metrics
+from boxwright.operators import graphs, metrics, models
 from boxwright.plans.registry import query
 from boxwright.sources import fixtures as X
 
@@ -51,16 +51,35 @@ def v03(spark, d):
     return spark.createDataFrame(rows, "cluster long, pos long, c double").select("cluster", "pos", F.round("c", 6).alias("centre"))
 
 
-@query("V04_fit_and_persist")
+_ROUNDS = 3
+_FIT = f"f0 AS (SELECT k, c FROM centres), d AS (SELECT vec_id, e FROM v WHERE vec_id % 5 <> 0), " + ", ".join(
+    f"""g{n} AS (SELECT vec_id, any_value(e) AS e, min({{'d': {_DIST}, 'k': k}}).k AS k FROM d, f{n} GROUP BY vec_id),
+m{n} AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, avg(e[i]) AS m FROM g{n}, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY k, i) GROUP BY k),
+f{n + 1} AS (SELECT f.k, coalesce(m.c, f.c) AS c FROM f{n} f LEFT JOIN m{n} m ON m.k = f.k)"""
+    for n in range(_ROUNDS)
+)
+
+
+def stored(spark, d):
+    """The model fitted on the discovery part, as it is read back from its store."""
+    path = graphs.scratch(spark, "cluster-model")
+    models.save_model(spark, path, C.fit(vectors(spark, d).where("vec_id % 5 <> 0"), "e", first_centres(spark, d), iterations=_ROUNDS))
+    return models.load_model(spark, path, 64)
+
+
+@query("V04_fit_and_persist", f"WITH {_V}, {_CENTRES}, {_FIT} SELECT CAST(k AS INT) AS cluster, list_transform(c, lambda x: round(x, 6)) AS centre FROM f{_ROUNDS}")
 def v04(spark, d):
-    """Centres fitted on the discovery part, as a table: the stored model."""
-    found = C.fit(vectors(spark, d).where("vec_id % 5 <> 0"), "e", first_centres(spark, d), iterations=5)
-    return spark.createDataFrame(list(enumerate(found)), "cluster int, centre array<double>")
+    """Centres fitted on the discovery part, published as a sealed version and loaded again."""
+    model = stored(spark, d)
+    rows = spark.createDataFrame(list(enumerate(model.centres)), "cluster int, centre array<double>")
+    return rows.select("cluster", F.transform("centre", lambda x: F.round(x, 6)).alias("centre"))
 
 
-@query("V05_assign_stored", f"WITH {_V}, {_CENTRES}, {_ASSIGNED} SELECT vec_id, 'cluster-' || CAST(cluster AS VARCHAR) AS name FROM assigned WHERE vec_id % 5 = 0")
+@query("V05_assign_stored", f"WITH {_V}, {_CENTRES}, {_FIT} SELECT vec_id, 'cluster-' || CAST(min({{'d': round({_DIST}, 9), 'k': k}}).k AS VARCHAR) AS name FROM v, f{_ROUNDS} WHERE vec_id % 5 = 0 GROUP BY vec_id")
 def v05(spark, d):
-    return assigned(spark, d).where("vec_id % 5 = 0").select("vec_id", F.concat(F.lit("cluster-"), F.col("cluster").cast("string")).alias("name"))
+    """Held-out vectors by the stored model."""
+    best = stored(spark, d).assign(F.col("e"))
+    return vectors(spark, d).where("vec_id % 5 = 0").select("vec_id", F.concat(F.lit("cluster-"), best["cluster"].cast("string")).alias("name"))
 
 
 _N = "n AS (SELECT cluster, label, count(*)::DOUBLE AS n FROM assigned GROUP BY ALL), a AS (SELECT cluster, sum(n) AS a, max(n) AS top FROM n GROUP BY ALL), b AS (SELECT label, sum(n) AS b FROM n GROUP BY ALL), t AS (SELECT sum(n) AS t FROM n)"

@@ -353,13 +353,6 @@ def test_run_status_transitions(spark, tmp_path):
         sinks.append_run(spark, path, "r1", "running")
 
 
-def test_yolo_sink_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1, 0.5, 0.25, 0.125, 0.1), ("a", 0, 0.5, 0.5, 0.2, 0.2)], "image string, class_id int, x_center double, y_center double, width double, height double")
-    assert sinks.yolo_labels(rows).first().text.split("\n")[0] == "0 0.500000 0.500000 0.200000 0.200000"
-    sinks.write_yolo_labels(rows, f"{tmp_path}/labels")
-    assert spark.read.text(f"{tmp_path}/labels").count() == 2
-
-
 def test_extensions(spark):
     images = spark.range(5).withColumnRenamed("id", "image_id")
     assert extensions.detect(images, extensions.StubDetector(("apple", "pear"))).count() == 5
