@@ -65,11 +65,12 @@ def rank_cross_view(one: Column, option: Column) -> Column:
     return F.struct(struct_iou(one, option).alias("iou"), *((-option[c]).alias(f"m{c}") for c in _BOX), option["confidence"].alias("confidence"), option["n"].alias("n"))
 
 
-def suppress(rows: DataFrame, keys: list[str], order: list[Column], threshold: float, *, strict: bool = False, cap: int | None = None, same: str | None = "class_id", payload: tuple[str, ...] = ("confidence", "class_id")) -> DataFrame:
+def suppress(rows: DataFrame, keys: list[str], order: list[Column], threshold: float, *, strict: bool = False, cap: int | None = None, same: str | None = "class_id", payload: tuple[str, ...] = ("confidence", "class_id"), skip: str | None = None) -> DataFrame:
     """Greedy non-maximum suppression of each group in ``order`` with an optional cap, in one fold.
 
     A box goes if it overlaps a kept one (of the same ``same``) by ``threshold`` or more (more, if ``strict``); the cap is tested after that,
-    and boxes over it are no reference for later ones. Adds verdict: accepted, nms_duplicate or max_boxes_per_image.
+    and boxes over it are no reference for later ones. Adds verdict: accepted, nms_duplicate or max_boxes_per_image. Rows whose payload
+    ``skip`` is true only pass through: they are no reference, do not count and get the verdict skipped.
     """
     row = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)), *_BOX, *payload)
     grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("all"))
@@ -78,8 +79,9 @@ def suppress(rows: DataFrame, keys: list[str], order: list[Column], threshold: f
         over = (lambda v: v > F.lit(threshold)) if strict else (lambda v: v >= F.lit(threshold))
         clash = F.exists(state["kept"], lambda k: ((k[same] == one[same]) if same else F.lit(True)) & over(struct_iou(k, one)))
         full = (F.size(state["kept"]) >= cap) if cap is not None else F.lit(False)
-        verdict = F.when(clash, "nms_duplicate").when(full, "max_boxes_per_image").otherwise("accepted")
-        return F.struct(F.when(clash | full, state["kept"]).otherwise(F.array_append(state["kept"], one)).alias("kept"), F.array_append(state["out"], verdict).alias("out"))
+        aside = one[skip] if skip else F.lit(False)
+        verdict = F.when(aside, "skipped").when(clash, "nms_duplicate").when(full, "max_boxes_per_image").otherwise("accepted")
+        return F.struct(F.when(aside | clash | full, state["kept"]).otherwise(F.array_append(state["kept"], one)).alias("kept"), F.array_append(state["out"], verdict).alias("out"))
 
     start = F.struct(F.filter("all", lambda _: F.lit(False)).alias("kept"), F.expr("filter(array(''), x -> false)").alias("out"))
     folded = grouped.select(*keys, "all", F.aggregate("all", start, step)["out"].alias("verdicts"))

@@ -84,23 +84,27 @@ def f07(spark, d):
 _COORD = "SELECT image_id, view, x1, CASE WHEN view = 'original' AND r1 = x1 AND r2 = x2 THEN NULL WHEN view = 'horizontal_flip' AND 800 - r2 = x1 AND 800 - r1 = x2 THEN NULL ELSE 'coordinate_provenance_mismatch' END AS reason FROM (SELECT image_id, view, x1, x2, CASE WHEN view = 'original' THEN x1 ELSE 800 - x2 END + CASE WHEN image_id % 10 = 0 THEN 1 ELSE 0 END AS r1, CASE WHEN view = 'original' THEN x2 ELSE 800 - x1 END AS r2 FROM (SELECT * FROM boxes UNION ALL SELECT * FROM flips))"
 
 
+def coordinate_reason(box, raw_box, original):
+    """Whether a box is its raw one, mirrored back if that is of the mirrored view."""
+    back = G.flip_horizontal(raw_box, F.lit(X.WIDTH))
+    same = lambda a: (a.x1 == box.x1) & (a.y1 == box.y1) & (a.x2 == box.x2) & (a.y2 == box.y2)
+    return F.when(~F.when(original, same(raw_box)).otherwise(same(back)), "coordinate_provenance_mismatch")
+
+
 @query("F08_coordinate_provenance", X.sql(_COORD))
 def f08(spark, d):
     both = X.boxes(spark, d).unionByName(X.flips(spark, d))
     b, original = G.Box.of(), F.col("view") == "original"
     mirrored = G.flip_horizontal(b, F.lit(X.WIDTH))
     made = both.select("image_id", "view", *b.columns(), (F.when(original, b.x1).otherwise(mirrored.x1) + F.when(F.col("image_id") % 10 == 0, 1).otherwise(0)).alias("r_x1"), b.y1.alias("r_y1"), F.when(original, b.x2).otherwise(mirrored.x2).alias("r_x2"), b.y2.alias("r_y2"))
-    raw_box = G.Box.of("r_")
-    back = G.flip_horizontal(raw_box, F.lit(X.WIDTH))
-    same = lambda a: (a.x1 == b.x1) & (a.y1 == b.y1) & (a.x2 == b.x2) & (a.y2 == b.y2)
-    fine = F.when(original, same(raw_box)).otherwise(same(back))
-    return made.select("image_id", "view", "x1", F.when(~fine, "coordinate_provenance_mismatch").alias("reason"))
+    return made.select("image_id", "view", "x1", coordinate_reason(b, G.Box.of("r_"), original).alias("reason"))
 
 
 _GEOMETRY = """CASE WHEN x1 < 0 OR y1 < 0 OR x2 > 800 OR y2 > 600 THEN 'box_out_of_bounds' WHEN (x2-x1)*640/800 < 16 OR (y2-y1)*640/600 < 16 THEN 'too_small_at_640'
 WHEN (x2-x1)*(y2-y1)/(800*600) > 0.28::DOUBLE THEN 'area_too_large' WHEN (x2-x1)/(y2-y1) < 0.1::DOUBLE OR (x2-x1)/(y2-y1) > 10 THEN 'aspect_ratio_outside_global_bounds'
 WHEN (x2-x1)/(y2-y1) < 0.3::DOUBLE OR (x2-x1)/(y2-y1) > 2.6::DOUBLE THEN 'aspect_ratio_outside_labeled_distribution' END"""
 _THRESHOLD = "(CASE class_id WHEN 0 THEN 0.55 WHEN 1 THEN 0.85 WHEN 2 THEN 0.85 ELSE 0.5 END)::DOUBLE"
+_GLOBAL = "CASE WHEN confidence < 0.5::DOUBLE THEN 'below_global_confidence' END"
 _REASON = f"CASE WHEN confidence < 0.5::DOUBLE THEN 'below_global_confidence' WHEN confidence < {_THRESHOLD} THEN 'below_class_threshold' ELSE {_GEOMETRY} END"
 
 
@@ -109,10 +113,12 @@ def shape_reason():
     return C.geometry_reason(G.Box.of(), X.WIDTH, X.HEIGHT, low, high, most_area=0.28)
 
 
-def eligibility():
-    """The ordered reason of a candidate: confidence gates, then shape."""
-    least = C.by_class(F.col("class_id"), X.CLASS_THRESHOLDS)
-    return F.when(F.col("confidence") < 0.5, "below_global_confidence").when(F.col("confidence") < least, "below_class_threshold").otherwise(shape_reason())
+def eligibility(by_class: bool = True, shapes: bool = True):
+    """The ordered reason of a candidate: confidence gates, then shape. Class thresholds and shape can be left out."""
+    reason = F.when(F.col("confidence") < 0.5, "below_global_confidence")
+    if by_class:
+        reason = reason.when(F.col("confidence") < C.by_class(F.col("class_id"), X.CLASS_THRESHOLDS), "below_class_threshold")
+    return reason.otherwise(shape_reason()) if shapes else reason
 
 
 @query("F09_geometry_reason", X.sql(f"SELECT image_id, x1, x2, y1, {_GEOMETRY} AS reason FROM boxes"))
