@@ -274,9 +274,12 @@ def g30(spark, d):
     return X.boxes(spark, d).groupBy("image_id", "class_id").agg(F.count("*").alias("n"))
 
 
-@query("G31_source_members", "SELECT source, count(*) AS members, list(doc_id ORDER BY doc_id) AS ids FROM documents WHERE doc_id % 10 = 0 GROUP BY source")
+@query("G31_source_members", "SELECT d.source, d.doc_id, count(*) OVER (PARTITION BY d.source) AS members FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
 def g31(spark, d):
-    return X.table(spark, d, "documents").where("doc_id % 10 = 0").groupBy("source").agg(F.count("*").alias("members"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    """Held-out (labelled) documents by source, with the size of each part; a row a member."""
+    held = X.table(spark, d, "documents").select("doc_id", "source").join(X.table(spark, d, "labels").select("doc_id"), "doc_id")
+    sizes = held.groupBy("source").agg(F.count("*").alias("members"))
+    return held.join(sizes, "source").select("source", "doc_id", "members")
 
 
 @query("G32_category_counts", "SELECT lang AS category, count(*) AS images, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
@@ -295,10 +298,11 @@ def g34(spark, d):
     return X.table(spark, d, "embeddings").select(F.posexplode("embedding").alias("p", "v")).groupBy((F.col("p") + 1).cast("long").alias("pos")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
 
 
-@query("G35_budget_summary", "SELECT CAST(b AS INT) AS budget, count(*) AS image_count, list(doc_id ORDER BY doc_id) AS ids FROM documents, (SELECT unnest([10, 20, 40, 100]) AS b) WHERE doc_id % 100 < b GROUP BY b")
+@query("G35_budget_summary", "SELECT CAST(b AS INT) AS budget, doc_id, count(*) OVER (PARTITION BY b) AS image_count FROM documents, (SELECT unnest([10, 20, 40, 100]) AS b) WHERE doc_id % 100 < b")
 def g35(spark, d):
+    """Members of every budget with its size; a row a member."""
     member = X.table(spark, d, "documents").select("doc_id", F.explode(F.filter(F.array(*(F.lit(b) for b in (10, 20, 40, 100))), lambda b: F.col("doc_id") % 100 < b)).alias("budget"))
-    return member.groupBy("budget").agg(F.count("*").alias("image_count"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    return member.join(member.groupBy("budget").agg(F.count("*").alias("image_count")), "budget").select("budget", "doc_id", "image_count")
 
 
 @query("G36_class_presence", X.sql("SELECT image_id, list_sort(list(DISTINCT class_id)) AS presence FROM boxes GROUP BY image_id"))

@@ -206,6 +206,18 @@ def f21(spark, d):
     return own.join(F.broadcast(every)).select("source", (F.col("names") == F.col("expected")).alias("complete"))  # one row on the right
 
 
+def range_problem(value, low: float, high: float, whole: bool = False):
+    """Why a number is not an optional parameter of [low, high]; null if it is one, or not set."""
+    out = F.when(F.isnan(value) | (F.abs(value) == float("inf")), "not_finite").when(~value.between(low, high), "out_of_range")
+    return out.when(value != F.floor(value), "not_whole") if whole else out
+
+
+@query("F22_range_validators", "SELECT event_id, CASE WHEN NOT value BETWEEN 0 AND 1 THEN 'out_of_range' END AS share, CASE WHEN NOT value BETWEEN 1 AND 100 THEN 'out_of_range' WHEN value <> floor(value) THEN 'not_whole' END AS number FROM events")
+def f22(spark, d):
+    """Values as a share (a confidence or overlap threshold) and as a whole number of boxes."""
+    return X.table(spark, d, "events").select("event_id", range_problem(F.col("value"), 0, 1).alias("share"), range_problem(F.col("value"), 1, 100, whole=True).alias("number"))
+
+
 @query("F23_proposal_contract", X.sql("SELECT image_id, x1, CASE WHEN NOT (confidence >= 0 AND confidence <= 1) THEN 'score' WHEN x1 >= x2 OR y1 >= y2 OR x1 < 0 THEN 'box' WHEN class_id NOT IN (0,1,2,3) THEN 'class' END AS problem FROM flips"))
 def f23(spark, d):
     problem = F.when(~F.col("confidence").between(0, 1), "score").when(F.expr("x1 >= x2 OR y1 >= y2 OR x1 < 0"), "box").when(~F.col("class_id").isin(0, 1, 2, 3), "class")

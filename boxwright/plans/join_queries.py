@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxwright.functions import geometry as G
 from boxwright.operators import graphs, matching
 from boxwright.operators import near_duplicates as near
+from boxwright.operators.ordered import ranked_within
 from boxwright.plans.geometry_queries import _OVERLAP, known_overlap
 from boxwright.plans.registry import query
 from boxwright.sources import fixtures as X
@@ -230,9 +231,8 @@ def j17(spark, d):
 def j18(spark, d):
     """Equal rows are bound one to one by their occurrence number."""
     e = X.table(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 50).alias("user_id"))
-    count = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id"))
-    left = e.select("event_type", "user_id", count.alias("occurrence"))
-    right = e.where("event_id % 3 <> 0").select("event_type", "user_id", count.alias("occurrence"), F.lit(True).alias("decided"))
+    numbered_ = lambda rows: ranked_within(rows, ["event_type", "user_id"], [F.col("event_id")], "occurrence").drop("event_id")
+    left, right = numbered_(e), numbered_(e.where("event_id % 3 <> 0")).withColumn("decided", F.lit(True))
     return left.join(right, ["event_type", "user_id", "occurrence"], "left")
 
 

@@ -74,11 +74,10 @@ def q03(spark, d):
     return docs(spark, d).groupBy(F.sha2("text", 256).alias("image")).agg(F.count_distinct("split").alias("splits")).where("splits > 1")
 
 
-@query("Q04_budget_eligibility", f"SELECT budget, list(doc_id ORDER BY doc_id) FILTER (split = 'train_pool') AS eligible, count_if(split <> 'train_pool') AS excluded FROM (SELECT doc_id % 3 AS budget, doc_id, {_DOC_SPLIT} AS split FROM documents) GROUP BY budget")
+@query("Q04_budget_eligibility", f"SELECT doc_id % 3 AS budget, doc_id, {_DOC_SPLIT} = 'train_pool' AS eligible FROM documents")
 def q04(spark, d):
-    rows = docs(spark, d).withColumn("budget", F.col("doc_id") % 3)
-    own = F.col("split") == "train_pool"
-    return rows.groupBy("budget").agg(F.array_sort(F.collect_list(F.when(own, F.col("doc_id")))).alias("eligible"), F.count_if(~own).alias("excluded"))
+    """Whether each member of a budget may be in it; a row a member."""
+    return docs(spark, d).select((F.col("doc_id") % 3).alias("budget"), "doc_id", (F.col("split") == "train_pool").alias("eligible"))
 
 
 _GATE = "SELECT *, best >= 0.8::DOUBLE AS threshold_pass, best - base + 1e-12::DOUBLE >= 0.03::DOUBLE AS improvement_pass, best >= 0.8::DOUBLE AND best - base + 1e-12::DOUBLE >= 0.03::DOUBLE AS passed FROM (SELECT event_type, round(max(value), 9) AS best, round(avg(value), 9) AS base FROM events GROUP BY event_type)"
@@ -155,10 +154,12 @@ def q15(spark, d):
     return joined.agg(F.count("*").alias("images"), F.count_distinct("h").alias("distinct_images"), F.count("l").alias("labelled"), (F.count("*") - F.count("l")).alias("missing"))
 
 
-@query("Q16_augmentation_audit", "SELECT source, count(*) AS added, count_if(doc_id % 10 = 0) AS protected, count_if(doc_id % 10 = 0) = 0 AS passed FROM documents WHERE doc_id % 2 = 0 GROUP BY source")
+@query("Q16_augmentation_audit", "SELECT source, count(*) AS added, count(l.doc_id) AS protected, count(l.doc_id) = 0 AS passed FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id GROUP BY source")
 def q16(spark, d):
-    hit = F.count_if(F.col("doc_id") % 10 == 0)
-    return T(spark, d, "documents").where("doc_id % 2 = 0").groupBy("source").agg(F.count("*").alias("added"), hit.alias("protected"), (hit == 0).alias("passed"))
+    """What each source would add, and how much of it is protected."""
+    guarded = T(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(1).alias("hit"))
+    rows = T(spark, d, "documents").select("doc_id", "source").join(guarded, "doc_id", "left")
+    return rows.groupBy("source").agg(F.count("*").alias("added"), F.count("hit").alias("protected"), (F.count("hit") == 0).alias("passed"))
 
 
 @query("Q17_report_tables", "SELECT event_type, CAST(u AS INT) AS seed, round(avg(value), 9) AS mean_value FROM (SELECT event_type, user_id % 3 AS u, value FROM events) GROUP BY ALL")

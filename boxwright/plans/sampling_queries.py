@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boxwright.functions import geometry as G
 from boxwright.operators import allocation, splits
 from boxwright.operators import near_duplicates as near
-from boxwright.operators.ordered import ranked
+from boxwright.operators.ordered import ranked, ranked_within
 from boxwright.plans.aggregate_queries import _DOC_SPLIT, docs
 from boxwright.plans.geometry_queries import _CROP, _CROP_Y, crops
 from boxwright.plans.join_queries import _NEAR_PROTECTED, near_duplicates, near_protected
@@ -184,16 +184,15 @@ def a15(spark, d):
 
 @query("A16_validation_prefix", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE k <= greatest(1, round_even(n * 0.15::DOUBLE, 0))")
 def a16(spark, d):
-    by = Window.partitionBy("source")
-    rows = T(spark, d, "documents").select("doc_id", F.row_number().over(by.orderBy("doc_id")).alias("k"), F.count("*").over(by).alias("n"))
+    rows = ranked_within(T(spark, d, "documents").select("doc_id", "source"), ["source"], [F.col("doc_id")], "k", "n")
     return rows.where(F.col("k") <= F.greatest(F.lit(1.0), F.bround(F.col("n") * F.lit(0.15), 0))).select("doc_id")
 
 
-@query("A17_category_holdout", "SELECT source, CAST(greatest(1, round_even(count(*) * 0.2::DOUBLE, 0)) AS BIGINT) AS held FROM documents GROUP BY source")
+@query("A17_category_holdout", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('42:' || CAST(doc_id AS VARCHAR))) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE k <= greatest(1, round_even(n * 0.2::DOUBLE, 0))")
 def a17(spark, d):
-    by = Window.partitionBy("source")
-    rows = T(spark, d, "documents").select("source", F.row_number().over(by.orderBy(seeded(42, "doc_id"))).alias("k"), F.count("*").over(by).alias("n"))
-    return rows.where(F.col("k") <= F.greatest(F.lit(1.0), F.bround(F.col("n") * F.lit(0.2), 0))).groupBy("source").agg(F.count("*").alias("held"))
+    """The held-out fifth of every category, in seeded order."""
+    rows = ranked_within(T(spark, d, "documents").select("doc_id", "source"), ["source"], [seeded(42, "doc_id")], "k", "n")
+    return rows.where(F.col("k") <= F.greatest(F.lit(1.0), F.bround(F.col("n") * F.lit(0.2), 0))).select("source", "doc_id")
 
 
 @query("A18_incremental_replay", "SELECT doc_id, 'replay' AS role FROM (SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY sha256('7:' || CAST(doc_id AS VARCHAR)) LIMIT 100) UNION ALL SELECT doc_id, 'novel' FROM documents WHERE lang = 'es' UNION ALL SELECT doc_id, 'validation' FROM documents WHERE lang = 'de' AND doc_id % 10 = 0")

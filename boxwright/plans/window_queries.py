@@ -11,6 +11,7 @@ from boxwright.operators.ordered import ranked
 from boxwright.plans.aggregate_queries import _CURVE, unknown_curve
 from boxwright.plans.geometry_queries import _CROP, _CROP_Y, crops
 from boxwright.plans.join_queries import PR_SQL, pr_evidence
+from boxwright.operators.ordered import ranked_within
 from boxwright.plans.registry import query
 from boxwright.sources import fixtures as X
 
@@ -54,8 +55,7 @@ def w09(spark, d):
 @query("W10_occurrence", "SELECT event_type, user_id, count(*) AS n FROM (SELECT event_type, user_id % 30 AS user_id, row_number() OVER (PARTITION BY event_type, user_id % 30 ORDER BY event_id) AS k FROM events) WHERE k <= 5 GROUP BY ALL")
 def w10(spark, d):
     rows = X.table(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 30).alias("user_id"))
-    number = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id"))
-    return rows.withColumn("k", number).where("k <= 5").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    return ranked_within(rows, ["event_type", "user_id"], [F.col("event_id")], "k").where("k <= 5").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
 @query("W11_display_fps", "SELECT event_id, round(CASE WHEN gap > 0 THEN 1000000/gap::DOUBLE ELSE 0 END, 6) AS fps FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)")
