@@ -2,13 +2,13 @@
 
 A page becomes blocks of text in page order, each in an element with a root-to-leaf path of structural tags. Text length, link
 length and punctuation are summed for each path; a path's ratio is its characters per node and its punctuation, fused as
-a geometric mean and lowered by the share of links. Ratios are smoothed over neighbouring paths in page order, and paths over a
-threshold (a part of the mean, weighted by text that is no link) are content. A block's container is its nearest article or main element, or the page. Containers
-with the most content are the main text (``LEAST`` of the largest one's and more), so ratios decide which element of a page it is; where that is
-the page itself, the content's common ancestor takes its place. All blocks of a container stay, so short headings and lists of an article
-do; in the page itself blocks of other paths stay inside the common ancestor if they are not mostly links. Elements that are navigation, headers and footers of
-the page, sidebars, forms, adverts, notices or comments by their tag, class, id or role never count; the words of html and body are
-not looked at, as they tell of the whole page.
+a geometric mean, lowered by the share of links, smoothed over neighbouring paths in page order, and weighed by what the page itself says
+of the element: ``BOILERPLATE`` tags and classes, ids or roles all of whose words are ``HINTS`` weigh next to nothing, names that have such a word
+among others a little less than plain ones (``MARKED``, ``HINTED``). Paths over a threshold (a part of the mean, weighted by text that is no
+link) are content; no tag or word is a veto, so text in an oddly named element is found where it is the page's text. A page whose content has no weight has none.
+Around content, the nearest article or main element is its container, or else the content's common ancestor: other blocks of the container that are not
+marked stay too (short headings, lists), outside articles if they are not mostly links. The words of html and body are not
+looked at, as they tell of the whole page; the document's head and elements that are not displayed are no blocks.
 
 Null and empty html: empty text. Unclosed tags, unclosed comments and stray brackets never fail: the rest is text or is
 dropped as a browser would; time grows with the length of a page, however deep it nests. Repeated rows: one result row each. Extra
@@ -38,8 +38,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars aside footer header masthead comment comments respond disqus cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended widget toolbar pagination pager login search disclaimer".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 PART = 0.3
-#: Content of a container, as a part of the largest one's.
-LEAST = 0.3
+#: Weights of elements that are boilerplate by tag or name, and of those that may be by a part of their name.
+MARKED, HINTED = 1e-6, 0.05
 
 _attributes = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _name = re.compile(r"[A-Za-z][^\s/>]*")
@@ -50,14 +50,15 @@ _quoted = re.compile(r"""[^>"']*(?:=\s*(?:"[^"]*"|'[^']*')[^>"']*)*>""")
 
 class Node:
     """An element around text. A page's elements are a tree, so a block needs no copy of what is open around it. ``path``: the
-    number of its tag path on this page; ``within``: the nearest article or main element."""
+    number of its tag path on this page; ``within``: the nearest article or main element; ``weight``: the least of the elements around; ``gone``: not displayed."""
 
-    __slots__ = ("depth", "hidden", "name", "path", "up", "within")
+    __slots__ = ("depth", "gone", "name", "path", "up", "weight", "within")
 
-    def __init__(self, name: str, up: Node | None, hidden: bool, path: int):
+    def __init__(self, name: str, up: Node | None, weight: float, gone: bool, path: int):
         self.name, self.up, self.path = name, up, path
         self.depth = up.depth + 1 if up else 0
-        self.hidden = hidden or (up is not None and up.hidden)
+        self.weight = min(weight, up.weight) if up else weight
+        self.gone = gone or (up is not None and up.gone)
         self.within = self if name in ("article", "main") else up.within if up else None
 
 
@@ -71,10 +72,11 @@ class Block:
 def blocks_of(source: str) -> list[Block]:
     """Blocks in page order."""
     out: list[Block] = []
-    paths: dict[tuple[int, str, bool], int] = {}
-    root = Node("", None, False, 0)
+    paths: dict[tuple[int, str, float], int] = {}
+    root = Node("", None, 1.0, False, 0)
     stack: list[Node] = [root]
     open_names: dict[str, int] = {}
+    unended: set[str] = set()
     text: list[str] = []
     state = {"links": 0, "depth": 0}
 
@@ -85,10 +87,10 @@ def blocks_of(source: str) -> list[Block]:
         text.clear()
         state["links"] = 0
 
-    def push(name: str, hidden: bool) -> None:
+    def push(name: str, weight: float, gone: bool) -> None:
         up = stack[-1]
-        path = paths.setdefault((up.path, name, hidden), len(paths) + 1)
-        stack.append(Node(name, up, hidden, path))
+        path = paths.setdefault((up.path, name, min(weight, up.weight)), len(paths) + 1)
+        stack.append(Node(name, up, weight, gone, path))
         open_names[name] = open_names.get(name, 0) + 1
 
     def pop() -> None:
@@ -147,9 +149,11 @@ def blocks_of(source: str) -> list[Block]:
                 close(name)
             continue
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
-            if not stop and name not in ("script", "style"):
-                continue
+            stop = None if name in unended else re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
+            if not stop:
+                unended.add(name)  # no end tag is left, so none is looked for again
+                if name not in ("script", "style"):
+                    continue
             at = size if not stop else max(source.find(">", stop.end()) + 1, stop.end())
             text.append(" ")
             continue
@@ -168,43 +172,47 @@ def blocks_of(source: str) -> list[Block]:
             while len(stack) > 1 and not (len(stack) == 2 and stack[-1].name == "html"):
                 pop()
         if name not in VOID:
-            hinted = name not in ("html", "body") and _hinted(rest)
-            hidden = name in BOILERPLATE or hinted
-            if name == "header" and stack[-1].within:
-                hidden = hinted  # an article's own header
-            push(name, hidden)
+            weight, gone = (1.0, False) if name in ("html", "body") else _told(rest)
+            if name in BOILERPLATE and not (name == "header" and stack[-1].within):  # an article's own header is the article's
+                weight = MARKED
+            push(name, weight, gone or name == "head")
             if rest.endswith("/") and name not in CLOSES_P:
                 pop()
     flush()
     return out
 
 
-def _hinted(attributes: str) -> bool:
+def _told(attributes: str) -> tuple[float, bool]:
+    """The weight of an element by its names, and whether it is not displayed."""
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 1.0, False
+    weight = 1.0
     for key, value in _attributes.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id", "role") and not HINTS.isdisjoint(_words.findall(value)):
-            return True
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+        if key in ("class", "id", "role"):
+            for token in value.split():
+                words = _words.findall(token)
+                if words and HINTS.issuperset(words):
+                    weight = MARKED
+                elif not HINTS.isdisjoint(words):
+                    weight = min(weight, HINTED)
+        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            return weight, True
+    return weight, False
 
 
 def ratios(blocks: list[Block]) -> dict[int, float]:
-    """A fused and smoothed ratio for each path, in page order."""
+    """A fused, smoothed and weighed ratio for each path, in page order."""
     sums: dict[int, list[float]] = {}
     for b in blocks:
-        s = sums.setdefault(b.node.path, [0.0, 0.0, 0.0, 0.0])
+        s = sums.setdefault(b.node.path, [0.0, 0.0, 0.0, 0.0, b.node.weight])
         s[0] += len(b.text)
         s[1] += len(PUNCTUATION.findall(b.text))
         s[2] += b.links
         s[3] += 1
-    own = []
-    for length, marks, links, nodes in sums.values():
-        own.append(((length / nodes) * (1 + marks) / nodes**0.5) ** 0.5 * length**0.5 * (1 - links / length) ** 2)
+    own = [((length / nodes) * (1 + marks) / nodes**0.5) ** 0.5 * length**0.5 * (1 - links / length) ** 2 for length, marks, links, nodes, _ in sums.values()]
     smooth = [0.8 * x + 0.1 * own[max(k - 1, 0)] + 0.1 * own[min(k + 1, len(own) - 1)] for k, x in enumerate(own)]
-    return dict(zip(sums, smooth, strict=True))
+    return {path: x * s[4] for (path, s), x in zip(sums.items(), smooth, strict=True)}
 
 
 def _common(nodes: list[Node]) -> Node:
@@ -242,27 +250,24 @@ def main_text(source: str | None) -> str:
     """The page's main text, blocks joined by newlines."""
     if not source:
         return ""
-    blocks = [b for b in blocks_of(source) if not b.node.hidden]
+    blocks = [b for b in blocks_of(source) if not b.node.gone]
     if not blocks:
         return ""
     ratio = ratios(blocks)
-    plain = sum(len(b.text) - b.links for b in blocks)
-    threshold = PART * sum(ratio[b.node.path] * (len(b.text) - b.links) for b in blocks) / max(plain, 1)
+    plain = [(len(b.text) - b.links) * b.node.weight for b in blocks]
+    threshold = PART * sum(ratio[b.node.path] * n for b, n in zip(blocks, plain, strict=True)) / (sum(plain) or 1.0)
     content = [b for b in blocks if ratio[b.node.path] >= threshold]
-    mass: dict[Node | None, int] = {}
-    for b in content:
-        mass[b.node.within] = mass.get(b.node.within, 0) + len(b.text)
-    least = LEAST * max(mass.values())
-    chosen = {c for c, n in mass.items() if n >= least}
-    kept = {id(b) for b in blocks if b.node.within in chosen and b.node.within is not None}
+    if all(b.node.weight == MARKED for b in content):
+        return ""
+    chosen = {b.node.within for b in content}
+    kept = {id(b) for b in content} | {id(b) for b in blocks if b.node.within in chosen and b.node.within is not None and b.node.weight > MARKED}
     if None in chosen:
         own = [b for b in content if b.node.within is None]
-        kept |= {id(b) for b in own}
         top = _common([b.node for b in own])
         if top.name not in ("", "html", "body"):
             around: dict[Node, bool] = {}
             for b in blocks:
-                if b.node.within is None and 2 * b.links <= len(b.text) and _inside(b.node, top, around):
+                if b.node.within is None and b.node.weight > MARKED and 2 * b.links <= len(b.text) and _inside(b.node, top, around):
                     kept.add(id(b))
     return "\n".join(b.text for b in blocks if id(b) in kept)
 

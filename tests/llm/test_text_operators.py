@@ -138,8 +138,11 @@ def test_ratios_equal_brute_force():
         length, links = sum(len(b.text) for b in texts), sum(b.links for b in texts)
         marks = sum(c in ".,;:!?…。，、；：！？" for b in texts for c in b.text)
         own.append((length / len(texts) * (1 + marks) / len(texts) ** 0.5) ** 0.5 * length**0.5 * (1 - links / length) ** 2)
+    weight = {b.node.path: b.node.weight for b in blocks}
+    assert set(weight.values()) == {1.0, html_text.MARKED}
     for k, path in enumerate(names):
-        assert abs(got[path] - (0.8 * own[k] + 0.1 * own[max(k - 1, 0)] + 0.1 * own[min(k + 1, len(own) - 1)])) < 1e-9
+        smooth = 0.8 * own[k] + 0.1 * own[max(k - 1, 0)] + 0.1 * own[min(k + 1, len(own) - 1)]
+        assert abs(got[path] - smooth * weight[path]) < 1e-9
 
 
 def test_very_deep_and_very_long_pages_take_linear_time():
@@ -169,3 +172,49 @@ def test_words_and_hashes_do_not_depend_on_grouping():
                 seen.append([(w.buf[s:e].tobytes(), int(x)) for s, e, x in zip(w.starts[own], w.ends[own], h[own], strict=True)])
         assert [[p[0] for p in row] for row in seen] == [t.split() for t in texts]
         assert all(x == int(bytesops.hash_words([b])[0]) for row in seen for b, x in row)
+
+
+def test_ratios_decide_and_names_are_no_veto():
+    long = "A sentence of prose, with marks in it. " * 20
+    page = f'<html><body><nav><a href="/">Home</a></nav><div class="ad">Buy this now, it is good.</div><div><div><h2>Title</h2><p>{long}</p><p>Short.</p></div></div><div>All rights kept.</div><footer>Imprint, contact.</footer></body></html>'
+    want = "\n".join(["Title", " ".join(long.split()), "Short."])
+    assert html_text.main_text(page) == want
+    kept = html_text.ratios
+    try:
+        html_text.ratios = lambda blocks: {b.node.path: 1.0 for b in blocks}
+        assert "Home" in html_text.main_text(page) and "Imprint" in html_text.main_text(page)
+    finally:
+        html_text.ratios = kept
+    assert html_text.main_text('<div class="article-header"><p>Only text here. It is good.</p></div>') == "Only text here. It is good."
+    assert html_text.main_text('<main><h1>T</h1><div class="related-comment-free"><p>Body text, long enough.</p></div></main>') == "T\nBody text, long enough."
+    assert html_text.main_text(f"<article><p>{long}</p></article><article><p>Short.</p></article>").endswith("\nShort.")
+    assert html_text.main_text(f'<article><p>{long}</p><section class="comments"><p>{long * 9}</p></section></article>') == " ".join(long.split())
+    assert html_text.main_text("<nav><a href=x>Home</a></nav><footer>Imprint.</footer>") == ""
+    assert html_text.main_text(f'<div hidden><p>{long}</p></div><p style="display: none">{long}</p><p>Seen.</p>') == "Seen."
+
+
+def test_unended_tags_take_linear_time():
+    began = time.time()
+    assert html_text.main_text("<svg>x" * 170_000).startswith("x")
+    assert time.time() - began < 4
+
+
+def plain_page(r):
+    """A page by its parts, and its text put together by hand."""
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randrange(1, 9)))
+    prose = lambda n: " ".join(word() + r.choice(["", "", "", ",", "."]) for _ in range(n)).capitalize() + "."
+    menu = "".join(f'<li><a href="/{k}">{word()}</a></li>' for k in range(r.randrange(2, 9)))
+    parts = [prose(r.randrange(1, 120)) for _ in range(r.randrange(1, 12))]
+    title = prose(4)
+    body = f"<h1>{title}</h1>" + "".join(r.choice(["<p>{}</p>", "<p>{}", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>"]).format(p) for p in parts)
+    around = r.choice(["<article>{}</article>", "<main>{}</main>", '<div id="page"><article><header></header>{}</article></div>'])
+    more = r.choice(['<aside>{}</aside>', '<div class="cookie-notice">{}</div>', '<section id="comments"><p>{}</p></section>', "<form>{}<input></form>"]).format(prose(r.randrange(1, 80)))
+    return f"<html><head><title>{title}</title></head><body><nav><ul>{menu}</ul></nav>{around.format(body)}{more}<footer>{prose(9)}</footer></body></html>", "\n".join([title, *parts])
+
+
+def test_extraction_equals_the_parts_of_made_pages(spark):
+    r = random.Random(12)
+    pages = [plain_page(r) for _ in range(300)]
+    rows = spark.createDataFrame([(k, f"https://x/{k}", html, "clash") for k, (html, _) in enumerate(pages)], "page_id long, url string, html string, text string").repartition(4)
+    got = {x.page_id: x.text for x in html_text.extract(rows).collect()}
+    assert [k for k, (_, text) in enumerate(pages) if got[k] != text] == []
