@@ -21,16 +21,19 @@ MOST = 4
 
 def _ordered(text: Column) -> Column:
     """The words of a text, sorted."""
-    return F.array_sort(F.filter(F.split(F.translate(text, UPPER, LOWER), "[ \t-\r]+", -1), lambda w: w != ""))
+    return F.sort_array(F.filter(F.split(F.translate(text, UPPER, LOWER), "[ \t-\r]+", -1), lambda w: w != ""))
 
 
-def _features(ordered: Column) -> Column:
-    """Each of the sorted words as often as its number of occurrences reaches a step."""
+def _repeats(words: str, back: int) -> Column:
+    """The sorted words that stand ``back`` places further on again: ``back`` fewer of each."""
+    return F.filter(words, lambda w, i: F.get(words, i - back) == w)
 
-    def reaching(n: int) -> Column:
-        return F.array_distinct(F.filter(ordered, lambda w, i: F.get(ordered, i - (n - 1)) == w))
 
-    return F.concat(*(reaching(n) for n in STEPS))
+def _with_steps(rows: DataFrame) -> DataFrame:
+    """Adds, for each step n, column ``s<n>`` of the sorted words in ``s1``: of a word of c occurrences c - n + 1 are left in it."""
+    for n in STEPS[1:]:
+        rows = rows.withColumn(f"s{n}", _repeats(f"s{n // 2}", n // 2))
+    return rows
 
 
 def fingerprints(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,13 +42,12 @@ def fingerprints(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Two counters share a long, so a row's features are added up by 32 sums and combined before the shuffle, which moves a row a text.
     """
-    sorted_words = rows.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), _ordered(F.coalesce(F.col(text), F.lit(""))).alias("ordered"))
-    exploded = sorted_words.select("key", "version", F.explode_outer(_features(F.col("ordered"))).alias("word"))
-    digest = F.md5(F.col("word").cast("binary"))
-    half = lambda k: F.conv(F.substring(digest, k, 8), 16, 10).cast("long")
-    hashed = exploded.select("key", "version", half(1).alias("hi"), half(9).alias("lo"))
-    both = [F.sum(F.expr(f"((hi >> {k}) & 1L) | (((lo >> {k}) & 1L) << 32)")).alias(f"c{k}") for k in range(32)]
-    counted = hashed.groupBy("key", "version").agg(F.count("hi").alias("n"), *both)
+    sorted_words = rows.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), _ordered(F.coalesce(F.col(text), F.lit(""))).alias("s1"))
+    features = F.concat(*(F.array_distinct(f"s{n}") for n in STEPS))
+    exploded = _with_steps(sorted_words).select("key", "version", F.explode_outer(features).alias("word"))
+    hashed = exploded.select("key", "version", F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 16), 16, -10).cast("long").alias("h"))
+    both = [F.sum(F.expr(f"((h >> {k + 32}) & 1L) | (((h >> {k}) & 1L) << 32)")).alias(f"c{k}") for k in range(32)]
+    counted = hashed.groupBy("key", "version").agg(F.count("h").alias("n"), *both)
     bits = [F.expr(f"IF(2 * (c{k} & 4294967295L) > n, 1L << {k + 32}, 0L) | IF(2 * (c{k} >> 32) > n, 1L << {k}, 0L)") for k in range(32)]
     total = bits[0]
     for b in bits[1:]:
