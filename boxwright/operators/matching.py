@@ -90,27 +90,30 @@ def suppress(rows: DataFrame, keys: list[str], order: list[Column], threshold: f
 
 
 def assign(weights: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-    """A matching of the most pairs and, among those, of the largest total weight (successive shortest paths)."""
+    """A matching of the most pairs, among those of the largest total weight (in billionths), and among those of the smallest pairs in order.
+
+    Successive shortest alternating paths over whole numbers, so that ties are exact: below the weight, a row counts more than all later rows together.
+    """
     rows = sorted({a for a, _ in weights})
     columns = sorted({b for _, b in weights})
+    place, base = {b: len(columns) - j for j, b in enumerate(columns)}, len(columns) + 1
+    power = {a: base ** (len(rows) - 1 - i) for i, a in enumerate(rows)}
+    edges = [(a, b, round(w * 1e9) * base ** len(rows) + power[a] * place[b]) for (a, b), w in sorted(weights.items())]
     mate_row: dict[int, int] = {}
     mate_column: dict[int, int] = {}
     while True:
-        # Bellman-Ford over alternating paths: unmatched edges cost -w, matched ones give w back
-        cost = {("r", a): 0.0 for a in rows if a not in mate_row}
+        # unmatched edges cost their weight, matched ones give it back
+        cost = {("r", a): 0 for a in rows if a not in mate_row}
         came: dict[tuple[str, int], tuple[str, int]] = {}
         changed = True
         while changed:
             changed = False
-            for (a, b), w in sorted(weights.items()):
-                if ("r", a) in cost and mate_row.get(a) != b:
-                    value = cost["r", a] - w
-                    if value < cost.get(("c", b), float("inf")) - 1e-12:
-                        cost["c", b], came["c", b], changed = value, ("r", a), True
-                if mate_row.get(a) == b and ("c", b) in cost:
-                    value = cost["c", b] + w
-                    if value < cost.get(("r", a), float("inf")) - 1e-12:
-                        cost["r", a], came["r", a], changed = value, ("c", b), True
+            for a, b, w in edges:
+                here, there, value = ("c", b), ("r", a), w
+                if mate_row.get(a) != b:
+                    here, there, value = there, here, -w
+                if here in cost and (there not in cost or cost[here] + value < cost[there]):
+                    cost[there], came[there], changed = cost[here] + value, here, True
         ends = [b for b in columns if b not in mate_column and ("c", b) in cost]
         if not ends:
             return sorted(mate_row.items())

@@ -90,9 +90,9 @@ def g09(spark, d):
     return groups.select("digest", F.col("best.split").alias("retained_split"), ids(lambda m: m["r"] == F.col("best.r")).alias("retained"), ids(lambda m: m["r"] != F.col("best.r")).alias("excluded"))
 
 
-@query("G10_image_rows", X.sql("SELECT image_id, list_sort(list(DISTINCT class_id)) AS class_presence, list([class_id::DOUBLE, x1, y1] ORDER BY class_id, x1, y1) AS labels FROM boxes WHERE confidence > 0.9 GROUP BY image_id"))
+@query("G10_image_rows", X.sql("SELECT image_id, list_sort(list(DISTINCT class_id)) AS class_presence, list([class_id::DOUBLE, x1, y1] ORDER BY class_id, x1, y1) AS labels FROM boxes GROUP BY image_id"))
 def g10(spark, d):
-    return X.boxes(spark, d).where("confidence > 0.9").groupBy("image_id").agg(F.array_sort(F.collect_set("class_id")).alias("class_presence"), F.array_sort(F.collect_list(F.array(F.col("class_id").cast("double"), "x1", "y1"))).alias("labels"))
+    return X.boxes(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_set("class_id")).alias("class_presence"), F.array_sort(F.collect_list(F.array(F.col("class_id").cast("double"), "x1", "y1"))).alias("labels"))
 
 
 @query("G11_class_targets", X.sql("SELECT class_id, count(DISTINCT image_id) AS images, 100 * count(DISTINCT image_id)::DOUBLE / (SELECT count(DISTINCT image_id) FROM boxes) AS target FROM boxes GROUP BY class_id"))
@@ -310,9 +310,9 @@ def g36(spark, d):
     return X.boxes(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_set("class_id")).alias("presence"))
 
 
-@query("G37_pseudo_records", X.sql("SELECT image_id, list([class_id::DOUBLE, confidence, x1] ORDER BY class_id, confidence, x1) AS labels, round(avg(confidence), 9) AS reliability FROM flips WHERE confidence > 0.8 GROUP BY image_id"))
+@query("G37_pseudo_records", X.sql("SELECT image_id, list([class_id::DOUBLE, confidence, x1] ORDER BY class_id, confidence, x1) AS labels, round(avg(confidence), 9) AS reliability FROM flips GROUP BY image_id"))
 def g37(spark, d):
-    return X.flips(spark, d).where("confidence > 0.8").groupBy("image_id").agg(F.array_sort(F.collect_list(F.array(F.col("class_id").cast("double"), "confidence", "x1"))).alias("labels"), F.round(F.avg("confidence"), 9).alias("reliability"))
+    return X.flips(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(F.array(F.col("class_id").cast("double"), "confidence", "x1"))).alias("labels"), F.round(F.avg("confidence"), 9).alias("reliability"))
 
 
 @query("G38_source_diagnostics", f"SELECT *, {_F1} FROM (SELECT source, {_SCORES} FROM (SELECT d.source, count_if(l.quality = 1 AND l.toxic = 0) AS tp, count_if(l.quality = 1 AND l.toxic = 1) AS fp, count_if(l.quality = 0) AS fn FROM documents d JOIN labels l USING (doc_id) GROUP BY d.source))")

@@ -13,12 +13,12 @@ W, H = X.WIDTH, X.HEIGHT
 
 def _pairs(spark, d):
     """Original boxes with the labelled boxes of the same image and class."""
-    a = X.boxes(spark, d).where("confidence > 0.5")
+    a = X.boxes(spark, d)
     b = X.truth(spark, d).select("image_id", "class_id", *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
     return a.join(b, ["image_id", "class_id"])
 
 
-_PAIRS = "FROM boxes a JOIN truth t ON a.image_id = t.image_id AND a.class_id = t.class_id WHERE a.confidence > 0.5"
+_PAIRS = "FROM boxes a JOIN truth t ON a.image_id = t.image_id AND a.class_id = t.class_id"
 
 
 @query("P01_box_iou", X.sql(f"SELECT a.image_id, a.class_id, {X.iou_sql('a', 't')} AS iou {_PAIRS}"))
@@ -192,10 +192,10 @@ def p20(spark, d):
     return docs.drop("labels", "text", "source").select("doc_id", F.col("lang").alias("source"), "n_chars")
 
 
-@query("P21_known_unknown_union", X.sql("SELECT image_id, 'known:' || CAST(class_id AS VARCHAR) AS label, confidence AS score, false AS is_unknown FROM boxes WHERE confidence > 0.5 UNION ALL SELECT image_id, 'unknown', confidence, true FROM flips WHERE confidence > 0.9"))
+@query("P21_known_unknown_union", X.sql("SELECT image_id, 'known:' || CAST(class_id AS VARCHAR) AS label, confidence AS score, false AS is_unknown FROM boxes UNION ALL SELECT image_id, 'unknown', confidence, true FROM flips"))
 def p21(spark, d):
-    known = X.boxes(spark, d).where("confidence > 0.5").select("image_id", F.concat(F.lit("known:"), F.col("class_id").cast("string")).alias("label"), F.col("confidence").alias("score"), F.lit(False).alias("is_unknown"))
-    unknown = X.flips(spark, d).where("confidence > 0.9").select("image_id", F.coalesce(F.lit(None).cast("string"), F.lit("unknown")).alias("label"), F.col("confidence").alias("score"), F.lit(True).alias("is_unknown"))
+    known = X.boxes(spark, d).select("image_id", F.concat(F.lit("known:"), F.col("class_id").cast("string")).alias("label"), F.col("confidence").alias("score"), F.lit(False).alias("is_unknown"))
+    unknown = X.flips(spark, d).select("image_id", F.coalesce(F.lit(None).cast("string"), F.lit("unknown")).alias("label"), F.col("confidence").alias("score"), F.lit(True).alias("is_unknown"))
     return known.unionByName(unknown)
 
 

@@ -158,15 +158,15 @@ def greedy_sql(left, right, order, tie, threshold, partner="n"):
       FROM walk w JOIN ls l ON l.image_id = w.image_id AND l.class_id = w.class_id AND l.k = w.k + 1 LEFT JOIN rs r ON r.image_id = l.image_id AND r.class_id = l.class_id)))"""
 
 
-_FLIP_NUMBERED = "rights AS (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY confidence DESC, x1, y1, x2, y2) AS n FROM flips WHERE confidence > 0.5)"
+_FLIP_NUMBERED = "rights AS (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY confidence DESC, x1, y1, x2, y2) AS n FROM flips)"
 _TRUST_TIE = f"{{'iou': {X.iou_sql('l', 'o')}, 'a': -o.x1, 'b': -o.y1, 'c': -o.x2, 'e': -o.y2, 'f': o.confidence, 'n': o.n}}"
 _ORDER = "confidence DESC, x1, y1, x2, y2"
-_SURE = "lefts AS (SELECT * FROM boxes WHERE confidence > 0.5)"
+_LEFTS = "lefts AS (SELECT * FROM boxes)"
 
 
-@query("J13_cross_view_pairing", X.sql("SELECT image_id, class_id, confidence, x1, y1, n, iou FROM walk WHERE k > 0", f"{_SURE}, {_FLIP_NUMBERED}, {greedy_sql('lefts', 'rights', _ORDER, _TRUST_TIE, 0.6)}", recursive=True))
+@query("J13_cross_view_pairing", X.sql("SELECT image_id, class_id, confidence, x1, y1, n, iou FROM walk WHERE k > 0", f"{_LEFTS}, {_FLIP_NUMBERED}, {greedy_sql('lefts', 'rights', _ORDER, _TRUST_TIE, 0.6)}", recursive=True))
 def j13(spark, d):
-    pairs, _ = cross_view_pairs(X.boxes(spark, d).where("confidence > 0.5"), X.flips(spark, d).where("confidence > 0.5"))
+    pairs, _ = cross_view_pairs(X.boxes(spark, d), X.flips(spark, d))
     return pairs.select("image_id", "class_id", "confidence", "x1", "y1", "n", "iou")
 
 
@@ -214,16 +214,30 @@ def overlap_edges(left, right, keys, threshold):
     return a.join(b, keys).withColumn("iou", value).where(F.col("iou") >= threshold).select(*keys, "a", "b", "iou")
 
 
-@query("J16_optimal_matching")
+def optimal_sql(right: str, threshold: float) -> str:
+    """Oracle of an optimal matching of ``boxes`` with ``right``: every matching of an image and class (few boxes overlap), the best of them in ``best``."""
+    number = lambda name, source, by: f"SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY {by}) AS {name} FROM {source}"
+    return f"""edges AS (SELECT * FROM (SELECT l.image_id, l.class_id, l.a, o.b, {X.iou_sql("l", "o")} AS iou FROM ({number("a", "boxes", _ORDER)}) l JOIN ({number("b", right, "x1, y1, x2, y2")}) o USING (image_id, class_id)) WHERE iou >= {threshold}::DOUBLE),
+    options AS (SELECT image_id, class_id, list({{'a': a, 'b': b, 'iou': iou}} ORDER BY b) AS bs, row_number() OVER (PARTITION BY image_id, class_id ORDER BY a) AS k FROM edges GROUP BY image_id, class_id, a),
+    made AS (SELECT DISTINCT image_id, class_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(a BIGINT, b BIGINT, iou DOUBLE)[]) AS pairs FROM edges
+    UNION ALL SELECT m.image_id, m.class_id, o.k, CASE WHEN t.choice IS NULL THEN m.pairs ELSE list_append(m.pairs, t.choice) END FROM made m JOIN options o ON o.image_id = m.image_id AND o.class_id = m.class_id AND o.k = m.k + 1, unnest(list_append(o.bs, NULL)) AS t(choice)
+      WHERE t.choice IS NULL OR NOT list_contains(list_transform(m.pairs, lambda p: p.b), t.choice.b)),
+    best AS (SELECT image_id, class_id, max({{'n': len(pairs), 'total': coalesce(list_sum(list_transform(pairs, lambda p: CAST(round(p.iou * 1e9) AS BIGINT))), 0), 'order': list_transform(pairs, lambda p: {{'a': -p.a, 'b': -p.b}}), 'pairs': pairs}}).pairs AS pairs FROM made GROUP BY image_id, class_id)"""
+
+
+_MATCHED = "SELECT image_id, class_id, p.a AS a, p.b AS b, p.iou AS iou FROM best, unnest(pairs) AS t(p)"
+
+
+@query("J16_optimal_matching", X.sql(_MATCHED, optimal_sql("truth", 0.5), recursive=True))
 def j16(spark, d):
-    edges = overlap_edges(X.boxes(spark, d).where("confidence > 0.5"), X.truth(spark, d), ["image_id", "class_id"], 0.5)
+    edges = overlap_edges(X.boxes(spark, d), X.truth(spark, d), ["image_id", "class_id"], 0.5)
     return matching.optimal_match(edges, ["image_id", "class_id"])
 
 
-@query("J17_reciprocal_pairs")
+@query("J17_reciprocal_pairs", X.sql(_MATCHED, optimal_sql("flips", 0.6), recursive=True))
 def j17(spark, d):
     """Pairs of the two views re-verified by an augmenting matching over each image and class."""
-    edges = overlap_edges(X.boxes(spark, d).where("confidence > 0.5"), X.flips(spark, d).where("confidence > 0.5").drop("confidence", "view"), ["image_id", "class_id"], 0.6)
+    edges = overlap_edges(X.boxes(spark, d), X.flips(spark, d).drop("confidence", "view"), ["image_id", "class_id"], 0.6)
     return matching.optimal_match(edges, ["image_id", "class_id"])
 
 

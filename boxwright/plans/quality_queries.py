@@ -10,7 +10,7 @@ from boxwright.operators import digests, metrics
 from boxwright.plans.aggregate_queries import _DOC_SPLIT, docs
 from boxwright.plans.filter_queries import _FINE, _RAW, raw
 from boxwright.plans.geometry_queries import _OVERLAP, known_overlap
-from boxwright.plans.join_queries import PR_SQL, overlap_edges, pr_evidence
+from boxwright.plans.join_queries import PR_SQL, optimal_sql, overlap_edges, pr_evidence
 from boxwright.plans.registry import query
 from boxwright.sources import fixtures as X
 
@@ -235,13 +235,20 @@ def q29(spark, d):
     return per_class.groupBy("image_id").agg(F.count("*").alias("classes"), F.round(F.avg("ap"), 9).alias("map50"), F.every(F.col("ap").between(0, 1)).alias("valid"))
 
 
-@query("Q30_example_sets")
+@query(
+    "Q30_example_sets",
+    X.sql(
+        "SELECT image_id, class_id, kept, predicted - kept AS false_positives, labelled - kept AS missed FROM (SELECT image_id, class_id, coalesce(p.n, 0) AS predicted, coalesce(l.n, 0) AS labelled, coalesce(len(pairs), 0) AS kept FROM (SELECT image_id, class_id, count(*) AS n FROM boxes GROUP BY ALL) p FULL JOIN (SELECT image_id, class_id, count(*) AS n FROM truth GROUP BY ALL) l USING (image_id, class_id) LEFT JOIN best USING (image_id, class_id))",
+        optimal_sql("truth", 0.5),
+        recursive=True,
+    ),
+)
 def q30(spark, d):
     """Kept, false positive and missed boxes of an optimal matching."""
     from boxwright.operators import matching
 
     keys = ["image_id", "class_id"]
-    made, truth = X.boxes(spark, d).where("confidence > 0.8"), X.truth(spark, d)
+    made, truth = X.boxes(spark, d), X.truth(spark, d)
     pairs = matching.optimal_match(overlap_edges(made, truth, keys, 0.5), keys)
     count = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
     joined = count(made, "predicted").join(count(truth, "labelled"), keys, "full").join(count(pairs, "kept"), keys, "left").na.fill(0)

@@ -93,3 +93,15 @@ def test_greedy_match_without_partners(spark):
     right = spark.createDataFrame([(1, 1, 90.0, 0.0, 99.0, 10.0)], "image_id int, n int, x1 double, y1 double, x2 double, y2 double")
     got = matching.greedy_match(left, right, ["image_id"], [-F.col("confidence")], matching.rank_first_best, 0.5).collect()
     assert len(got) == 2 and all(r.n is None and r.iou is None for r in got)
+
+
+def test_assignment_breaks_ties_by_the_smallest_pairs():
+    from itertools import combinations, permutations
+
+    r = random.Random(5)
+    for _ in range(150):
+        weights = {(a, b): r.choice([0.5, 0.6, 0.6, 0.9]) for a in range(4) for b in range(4) if r.random() < 0.6}
+        every = [tuple(zip(rows, chosen, strict=True)) for n in range(5) for rows in combinations(range(4), n) for chosen in permutations(range(4), n)]
+        possible = [m for m in every if all(p in weights for p in m)]
+        best = max(possible, key=lambda m: (len(m), sum(round(weights[p] * 10) for p in m), [(-a, -b) for a, b in m]))
+        assert matching.assign(weights) == list(best)
