@@ -9,8 +9,13 @@ from boxwright.llm.store import materialise, remove
 
 
 def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
+    """As :func:`connected`, without the path."""
+    return connected(edges, name, most_rounds)[0]
+
+
+def connected(edges: DataFrame, name: str, most_rounds: int = 60) -> tuple[DataFrame, str]:
     """``edges``: (a, b), any order, repeats allowed. Returns (node, component) for every node of an edge;
-    component is the smallest node reachable.
+    component is the smallest node reachable; and the path of that table.
 
     Each round takes the smallest label of a node's neighbours (a hash aggregate, combined before the shuffle) and then
     follows labels one step, so paths halve. Labels live in the shared folder, one table per round; hubs only skew the
@@ -34,4 +39,4 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) ->
     else:
         raise RuntimeError(f"{name}: components did not settle in {most_rounds} rounds")
     remove(spark, edges_path)
-    return labels
+    return labels, path

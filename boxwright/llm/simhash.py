@@ -7,8 +7,9 @@ and each wildcard bit in it (64 keys a fingerprint) is equal for every such pair
 Only distinct fingerprints take part, and a group of close ones is never expanded into all pairs: first each member of
 a bucket is held against the bucket's smallest and largest member; after these links are contracted, only buckets that
 still hold several components are joined, and there the members outside the bucket's largest component against all.
-Every link between different components is tested, so components equal those of all pairs. A bucket's members share 20
-of 64 bits and are distinct; a cluster of copies has at most some 700,000 fingerprints within 4 bits of its middle.
+Every link between different components is tested, so components equal those of all pairs. Ends and largest components of
+buckets are counted before the shuffle, and a bucket's outside members meet the others in blocks of ``BLOCK``, so no bucket
+is bound to one task.
 
 Null, empty and blank texts: fingerprint zero, linked like any other. Repeated rows: one row each. Extra columns are
 ignored. Empty table: no rows.
@@ -21,14 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.llm import bytesops
-from boxwright.llm.graph import connected_components
-from boxwright.llm.store import cut
+from boxwright.llm.graph import connected
+from boxwright.llm.store import Tables
 
 WORDS, BITS, SEED = 4, 4, 42
+#: So many members of a bucket meet the others in one task.
+BLOCK = 4096
 #: (first bit, bits) of the segments; 4 differing bits leave one with at most one.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
@@ -108,22 +111,31 @@ def _close(a: str, b: str) -> str:
     return f"bit_count({a} ^ {b}) <= {BITS}"
 
 
-def near_components(distinct: DataFrame, name: str = "simhash") -> DataFrame:
+def near_components(distinct: DataFrame, tables: Tables, name: str = "simhash") -> DataFrame:
     """``distinct``: (fp), each once. Returns (fp, root) for fingerprints with a link: the smallest one reachable."""
-    bucket = Window.partitionBy("key")
-    ends = _keyed(distinct).select("fp", F.min("fp").over(bucket).alias("low"), F.max("fp").over(bucket).alias("high"))
-    near = cut(ends.where(f"(fp <> low AND {_close('fp', 'low')}) OR (fp <> high AND {_close('fp', 'high')})"), f"{name}-near")
+    # ends are counted before the shuffle; a hot bucket's members then meet one row in a plain join, which may be split
+    ends = _keyed(distinct).groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
+    near = _keyed(distinct).join(ends, "key").where(f"(fp <> low AND {_close('fp', 'low')}) OR (fp <> high AND {_close('fp', 'high')})")
+    near = tables.cut(near.select("fp", "low", "high"), f"{name}-near")
     star = near.where(_close("fp", "low")).select("fp", "low").union(near.where(_close("fp", "high")).select("fp", "high"))
-    first = connected_components(star.toDF("a", "b"), f"{name}-star")
+    first = tables.keep(*connected(star.toDF("a", "b"), f"{name}-star"))
+    tables.drop(near)
     # what is still apart within a bucket; of two members the link is tested already
     parts = distinct.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"))
-    spread = _keyed(parts, "part").select("*", F.count("*").over(bucket).alias("n"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high"))
-    spread = spread.where("n > 2 AND low < high").select("key", "fp", "part", F.count("*").over(Window.partitionBy("key", "part")).alias("n"))
-    mixed = cut(spread.select("key", "fp", "part", F.max(F.struct("n", "part")).over(bucket)["part"].alias("main")), f"{name}-mixed")
-    left = mixed.where("part <> main").select("key", F.col("fp").alias("fp_a"), F.col("part").alias("a"))
-    right = mixed.select("key", F.col("fp").alias("fp_b"), F.col("part").alias("b"))
-    cross = left.join(right, (left["key"] == right["key"]) & F.expr("a <> b") & F.expr(_close("fp_a", "fp_b"))).select("a", "b").distinct()
-    second = connected_components(cross, f"{name}-cross").withColumnRenamed("node", "part").withColumnRenamed("component", "whole")
+    parts = tables.cut(parts, f"{name}-parts")
+    shares = _keyed(parts, "part").groupBy("key", "part").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("n > 2 AND parts > 1")
+    # the members outside the largest part in blocks, each of which meets the whole bucket
+    blocks = F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int")
+    mixed = _keyed(parts, "part").join(mixed.select("key", F.col("main.part").alias("main"), blocks.alias("blocks")), "key")
+    mixed = tables.cut(mixed, f"{name}-mixed")
+    left = mixed.where("part <> main").select("key", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"), F.col("fp").alias("fp_a"), F.col("part").alias("a"))
+    right = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("fp").alias("fp_b"), F.col("part").alias("b"))
+    met = (left["key"] == right["key"]) & (left["block"] == right["block"]) & F.expr("a <> b") & F.expr(_close("fp_a", "fp_b"))
+    cross = left.join(right, met).select("a", "b").distinct()
+    second = tables.keep(*connected(cross, f"{name}-cross"))
+    tables.drop(parts, mixed)
+    second = second.withColumnRenamed("node", "part").withColumnRenamed("component", "whole")
     nodes = first.withColumnRenamed("node", "fp").withColumnRenamed("component", "part")
     alone = second.join(nodes, second["part"] == nodes["fp"], "left_anti").select(F.col("part").alias("fp"), F.col("whole").alias("root"))
     return nodes.join(second, "part", "left").select("fp", F.coalesce("whole", "part").alias("root")).union(alone)
@@ -131,11 +143,13 @@ def near_components(distinct: DataFrame, name: str = "simhash") -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id, fp) for every row; component_id is the smallest doc_id of its component."""
-    prints = cut(fingerprints(docs), "simhash-prints")
-    by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    roots = cut(near_components(by_print.select("fp")), "simhash-roots")
+    tables = Tables()
+    prints = tables.cut(fingerprints(docs), "simhash-prints")
+    by_print = tables.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-distinct")
+    roots = near_components(by_print.select("fp"), tables)
     rooted = by_print.join(roots, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted, "simhash-rooted")
+    rooted = tables.cut(rooted, "simhash-rooted")
+    tables.drop_all_but(prints, rooted)
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of_print = rooted.join(least, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")

@@ -71,9 +71,11 @@ class Tables:
         self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        out, path = materialise(df, name)
-        self._paths[id(out)] = (out, path)
-        return out
+        return self.keep(*materialise(df, name))
+
+    def keep(self, df: DataFrame, path: str) -> DataFrame:
+        self._paths[id(df)] = (df, path)
+        return df
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes the tables of these frames; other frames are passed over."""
