@@ -2,8 +2,9 @@
 
 Features of a text: densities of a lexicon's terms by strength, terms near a second-person word, capitals, punctuation,
 and rates of obfuscation (digits and signs inside words). The lexicon (whole words and word beginnings) is learnt from labelled
-training texts: term counts by class are summed over executors and at most ``LEXICON`` terms reach the driver. For a
-training text's own features the lexicon leaves out its fold, so that trees see terms as they will on new texts.
+training texts: term counts by class are summed over executors, and all terms that tell the classes apart reach the driver,
+whose number the sampled toxic texts bound. For a training text's own features the lexicon leaves out its fold, so that trees
+see terms as they will on new texts.
 
 Training uses at most ``SAMPLE`` labelled training rows (those of the smallest hash); a row trains unless crc32 of its id
 modulo 4 is 2. Every text is scored whole. Null and empty texts are scored as texts without words. Repeated rows: one
@@ -18,13 +19,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.llm import bytesops
 from boxwright.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
 
-SAMPLE, LEXICON, FOLDS, THRESHOLD = 20_000, 6_000, 3, 0.3
+SAMPLE, FOLDS, ROUNDS, THRESHOLD = 20_000, 3, 80, 0.3
 #: Fixed list: second-person words of the four languages.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros os vuestro su sus".split()
 #: Fixed pairs: signs that stand for letters inside words.
@@ -58,6 +59,10 @@ def letter_runs(w: bytesops.Words) -> Runs:
     inner = np.zeros(len(buf), bool)
     if len(buf) > 2:
         inner[1:-1] = _sign[buf[1:-1]] & letter[:-2] & letter[2:]
+        # a text's first and last byte have no letter on one side
+        edge = w.offsets[1:-1]
+        inner[edge[edge > 0] - 1] = False
+        inner[edge[edge < len(buf)]] = False
     low = bytesops.lower_ascii(np.where(inner, _map[buf], buf))
     # Latin-1 capitals too
     lead = np.flatnonzero(buf[:-1] == 0xC3)
@@ -173,6 +178,18 @@ def lexicon_from(counts: np.ndarray, hashes: np.ndarray, docs: np.ndarray, witho
     return Lexicon(hashes[keep], odds[keep])
 
 
+def _telling(sizes: np.ndarray) -> Column:
+    """Whether a term is in the lexicon of all folds or of all but one; a little wider than :func:`lexicon_from`, which decides."""
+    out = F.lit(False)
+    for without in (None, *range(FOLDS)):
+        folds = [f for f in range(FOLDS) if f != without]
+        clean, toxic = (sum((F.col(f"n{2 * f + k}") for f in folds), F.lit(0)) for k in (0, 1))
+        d = sizes[folds].sum(axis=0)
+        odds = F.log((toxic + 0.5) / float(d[1] + 1)) - F.log((clean + 0.5) / float(d[0] + 1))
+        out = out | ((toxic >= 2) & (odds - 1 / F.sqrt(F.greatest(toxic, F.lit(1))) >= TIERS[0] - 1e-9))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(remainder() != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
@@ -206,16 +223,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     sums = [f"n{k}" for k in range(2 * FOLDS)]
     found = _input(docs).mapInArrow(count, "term long, " + ", ".join(f"{c} long" for c in sums)).groupBy("term").agg(*(F.sum(c).alias(c) for c in sums))
-    of_class = [sum((F.col(f"n{2 * f + k}") for f in range(FOLDS)), F.lit(0)) for k in (0, 1)]
-    positives = float(toxic.sum()) / max(float(len(toxic) - toxic.sum()), 1.0)
-    found = found.where(of_class[1] >= 2).where((of_class[1] + 0.5) / (of_class[0] + 0.5) >= float(np.exp(TIERS[0])) * positives * 0.5)
-    lines = found.orderBy(of_class[1].desc(), "term").limit(LEXICON).collect()
+    folds = fold_of(ids)
+    sizes = np.array([[np.sum((folds == f) & (toxic == k)) for k in (0, 1)] for f in range(FOLDS)], float)
+    lines = found.where(_telling(sizes)).collect()
     hashes = np.array([r[0] for r in lines], np.int64).view(np.uint64)
     counts = np.array([r[1:] for r in lines], float).reshape(-1, FOLDS, 2)
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
-    folds = fold_of(ids)
-    sizes = np.array([[np.sum((folds == f) & (toxic == k)) for k in (0, 1)] for f in range(FOLDS)], float)
     apart = [lexicon_from(counts, hashes, sizes, f) for f in range(FOLDS)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,12 +244,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     own = np.array([r[0] for r in got], np.int64)
     x = np.array([r[1] for r in got], float).reshape(-1, N_FEATURES)
     y, fold = toxic[np.searchsorted(ids, own)].astype(float), fold_of(own)
-    rounds = 80 if len(y) >= 400 else 40
     unseen = np.zeros(len(y))
     for f in range(FOLDS):
         if np.any(fold == f):
-            unseen[fold == f] = fit_trees(x[fold != f], y[fold != f], rounds).logits(x[fold == f])
-    return Model(lexicon_from(counts, hashes, sizes), fit_trees(x, y, rounds), fit_isotonic(unseen, y))
+            unseen[fold == f] = fit_trees(x[fold != f], y[fold != f], ROUNDS).logits(x[fold == f])
+    return Model(lexicon_from(counts, hashes, sizes), fit_trees(x, y, ROUNDS), fit_isotonic(unseen, y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
