@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxwright.operators.graphs import materialise
 from boxwright.operators.ordered import ranked
 
 
@@ -27,12 +28,11 @@ def class_thresholds(evidence: DataFrame, classes: DataFrame, target: float = 0.
     Cutoffs are the bounds and the scores clamped to them; what a cutoff keeps is decided by the raw score. One window
     pass over scores gives every cutoff's counts. A class without a cutoff that holds gets the upper bound.
     """
+    counted = evidence.groupBy("class_id", "confidence").agg(F.count_if("is_true_positive").alias("tp"), F.count("*").alias("n"))
+    every = materialise(counted, "scores")  # at most one row a class and score; its matches are found once
     at = F.greatest(F.lit(lower), F.least(F.lit(upper), F.col("confidence")))
-    hit = F.col("is_true_positive").cast("long")
-    every = evidence.select("class_id", "confidence", hit.alias("tp"), F.lit(1).cast("long").alias("n"))
-    marks = evidence.select("class_id", at.alias("confidence")).union(classes.select("class_id", F.lit(lower))).union(classes.select("class_id", F.lit(upper))).distinct()
+    marks = every.select("class_id", at.alias("confidence")).union(classes.select("class_id", F.lit(lower))).union(classes.select("class_id", F.lit(upper))).distinct()
     marks = marks.select("class_id", "confidence", F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("n"))
-    # counts by score first: at most one row a class and score is windowed
     by_score = every.union(marks).groupBy("class_id", "confidence").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
     over = Window.partitionBy("class_id").orderBy(F.desc("confidence")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     kept = by_score.select("class_id", "confidence", F.sum("tp").over(over).alias("tp"), F.sum("n").over(over).alias("n"))
