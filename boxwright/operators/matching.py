@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
+from boxwright.operators.graphs import materialise
 
 _BOX = ("x1", "y1", "x2", "y2")
 
@@ -129,20 +132,51 @@ def assign(weights: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
             at = before
 
 
-def optimal_match(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """``edges``: keys, a, b, iou of the pairs over the threshold. Returns the matched ones. A pair whose boxes have no other
-    partner is matched as it stands; only the others, a few boxes of an image, reach the solver."""
-    rivals = [F.count("*").over(Window.partitionBy(*keys, side)) for side in ("a", "b")]
-    counted = edges.select(*keys, "a", "b", "iou", rivals[0].alias("of_a"), rivals[1].alias("of_b"))
-    plain = F.col("of_a") * F.col("of_b") == 1
-    alone = counted.where(plain).select(*keys, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "iou")
+def _solved(rows: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Matchings of the groups of sorted batches; a batch's last group may go on in the next."""
+    rest: pd.DataFrame | None = None
+
+    def matched(group: pd.DataFrame) -> pd.DataFrame:
+        columns = [group[c].tolist() for c in (*keys, "a", "b", "iou")]
+        out, now, weights = [], None, {}
+        for *key, a, b, iou in zip(*columns, strict=True):
+            if key != now:
+                out += [(*now, *p, weights[p]) for p in assign(weights)] if weights else []
+                now, weights = key, {}
+            weights[int(a), int(b)] = iou
+        out += [(*now, *p, weights[p]) for p in assign(weights)] if weights else []
+        return pd.DataFrame(out, columns=[*keys, "a", "b", "iou"])
+
+    for batch in rows:
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if not len(rest):
+            continue
+        open_ = (rest[keys] == rest[keys].iloc[-1]).all(axis=1)
+        if not open_.all():
+            yield matched(rest[~open_])
+            rest = rest[open_]
+    if rest is not None and len(rest):
+        yield matched(rest)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        weights = {(int(a), int(b)): float(w) for a, b, w in zip(group["a"], group["b"], group["iou"], strict=True)}
-        chosen = assign(weights)
-        first = [group[k].iloc[0] for k in keys]
-        return pd.DataFrame([(*first, a, b, weights[a, b]) for a, b in chosen], columns=[*keys, "a", "b", "iou"])
 
+def optimal_match(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``edges``: keys (not null), a, b, iou of the pairs over the threshold. Returns the matched ones. A pair whose boxes have no other
+    partner is matched as it stands; of the partners of one box that have no other partner themselves the best is taken. Only the others, a few boxes
+    of some images, reach the solver, which gets sorted batches of many groups."""
+    weight = F.round(F.col("iou") * 1e9).cast("long")
+    rivals = [F.count("*").over(Window.partitionBy(*keys, side)) for side in ("a", "b")]
+    counted = edges.select(*keys, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "iou", rivals[0].alias("of_a"), rivals[1].alias("of_b"))
+    # a star: every partner of its centre has no other partner
+    star_a = (F.max("of_b").over(Window.partitionBy(*keys, "a")) == 1).alias("star_a")
+    star_b = (F.max("of_a").over(Window.partitionBy(*keys, "b")) == 1).alias("star_b")
+    told = counted.select("*", star_a, star_b)
+    best_a = F.row_number().over(Window.partitionBy(*keys, "a").orderBy(weight.desc(), "b"))
+    best_b = F.row_number().over(Window.partitionBy(*keys, "b").orderBy(weight.desc(), "a"))
+    told = materialise(told.select("*", best_a.alias("best_a"), best_b.alias("best_b")), "edges")
+    star = F.col("star_a") | F.col("star_b")
+    best = F.when(F.col("star_a"), F.col("best_a")).otherwise(F.col("best_b")) == 1
+    alone = told.where(star & best).select(*keys, "a", "b", "iou")
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    solved = counted.where(~plain).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", a long, b long, iou double")
+    dealt = told.where(~star).select(*keys, "a", "b", "iou").repartition(*keys).sortWithinPartitions(*keys)
+    solved = dealt.mapInPandas(lambda rows: _solved(rows, keys), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", a long, b long, iou double")
     return alone.unionByName(solved)
