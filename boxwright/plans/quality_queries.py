@@ -74,10 +74,12 @@ def q03(spark, d):
     return docs(spark, d).groupBy(F.sha2("text", 256).alias("image")).agg(F.count_distinct("split").alias("splits")).where("splits > 1")
 
 
-@query("Q04_budget_eligibility", f"SELECT doc_id % 3 AS budget, doc_id, {_DOC_SPLIT} = 'train_pool' AS eligible FROM documents")
+@query("Q04_budget_eligibility", f"SELECT budget, list(doc_id ORDER BY doc_id) FILTER (split = 'train_pool') AS eligible, count_if(split <> 'train_pool') AS excluded FROM (SELECT doc_id % 3 AS budget, doc_id, {_DOC_SPLIT} AS split FROM documents) GROUP BY budget")
 def q04(spark, d):
-    """Whether each member of a budget may be in it; a row a member."""
-    return docs(spark, d).select((F.col("doc_id") % 3).alias("budget"), "doc_id", (F.col("split") == "train_pool").alias("eligible"))
+    """Each budget's eligible members in order, and how many are excluded."""
+    rows = docs(spark, d).withColumn("budget", F.col("doc_id") % 3)
+    own = F.col("split") == "train_pool"
+    return rows.groupBy("budget").agg(F.sort_array(F.collect_list(F.when(own, F.col("doc_id")))).alias("eligible"), F.count_if(~own).alias("excluded"))
 
 
 _GATE = "SELECT *, best >= 0.8::DOUBLE AS threshold_pass, best - base + 1e-12::DOUBLE >= 0.03::DOUBLE AS improvement_pass, best >= 0.8::DOUBLE AND best - base + 1e-12::DOUBLE >= 0.03::DOUBLE AS passed FROM (SELECT event_type, round(max(value), 9) AS best, round(avg(value), 9) AS base FROM events GROUP BY event_type)"
