@@ -79,7 +79,8 @@ def class_links(found: DataFrame, most: int = MOST) -> DataFrame:
     apart = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
     shared = sum((F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, m in enumerate(masks)), F.lit(0))
     first = shared.bitwiseAND(F.col("below")) == F.col("own")
-    met = keyed.join(other, (F.col("own") == F.col("own_b")) & (F.col("part") == F.col("part_b")) & (F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & first)
+    # rows on both sides grow with the input: neither is broadcast, however small the classes' files are
+    met = keyed.join(other.hint("merge"), (F.col("own") == F.col("own_b")) & (F.col("part") == F.col("part_b")) & (F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & first)
     return met.select("a", "b", F.bit_count(apart).alias("distance"))
 
 
