@@ -66,10 +66,11 @@ def a06(spark, d):
     return T(spark, d, "documents").where("doc_id % 10 <> 0").select("doc_id").join(near_protected(spark, d).select("doc_id"), "doc_id", "left_anti")
 
 
-def duplicate_groups(spark, d):
+def duplicate_groups(spark, d, members=None):
     """Documents as images of their duplicate groups; their language and, where labelled, quality are the classes. Every thirteenth group is protected."""
     known = T(spark, d, "labels").select("doc_id", F.concat(F.lit("quality"), F.col("quality").cast("string")).alias("label"))
-    groups = near_duplicates(spark, d).components().select("doc_id", F.col("component").alias("group"))
+    members = near_duplicates(spark, d).components() if members is None else members
+    groups = members.select("doc_id", F.col("component").alias("group"))
     rows = T(spark, d, "documents").select("doc_id", "lang").join(known, "doc_id", "left").join(groups, "doc_id")
     classes = F.array_compact(F.array("lang", "label")).alias("classes")
     return splits.describe_groups(rows.select(F.col("doc_id").alias("id"), "group", classes, (F.col("group") % 13 == 0).alias("protected")))
@@ -91,9 +92,9 @@ moved AS (SELECT g, min_by(name, k) AS name FROM chosen GROUP BY g), final AS (S
 @query("A07_stratified_split", f"{_SPLIT} SELECT doc_id, m.g AS grp, split FROM member m JOIN final f ON f.g = m.g")
 def a07(spark, d):
     """Whole duplicate groups go to validation, test, pseudo_audit or unlabeled; the rest trains; protected groups are external."""
-    found = near_duplicates(spark, d)
-    chosen = splits.split_groups(duplicate_groups(spark, d), _SHARES, 42)
-    return found.components().select("doc_id", F.col("component").alias("group")).join(chosen, "group").select("doc_id", F.col("group").alias("grp"), "split")
+    members = near_duplicates(spark, d).components()
+    chosen = splits.split_groups(duplicate_groups(spark, d, members), _SHARES, 42)
+    return members.select("doc_id", F.col("component").alias("group")).join(chosen, "group").select("doc_id", F.col("group").alias("grp"), "split")
 
 
 @query("A08_group_allocator", f"{_SPLIT}, train AS (SELECT f.g, f.images, kind FROM final f JOIN grp ON grp.g = f.g WHERE split = 'train_pool') SELECT g AS grp, images, CAST(CASE WHEN point < 429496730 THEN 10 WHEN point < 858993459 THEN 20 WHEN point < 1717986918 THEN 40 ELSE 100 END AS INT) AS budget FROM (SELECT *, {_POINT.format(3407)} FROM train)")
