@@ -252,9 +252,12 @@ def j18(spark, d):
 
 @query("J19_best_truth", X.sql(f"SELECT image_id, confidence, x1, y1, x2, y2, max(v).iou AS iou, max(v).category AS category FROM (SELECT a.*, {{'iou': {X.iou_sql('a', 't')}, 'category': t.class_id}} AS v FROM flips a JOIN truth t ON a.image_id = t.image_id) GROUP BY image_id, confidence, x1, y1, x2, y2"))
 def j19(spark, d):
-    t = X.truth(spark, d).select("image_id", F.col("class_id").alias("category"), *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
-    best = F.max(F.struct(G.iou(G.Box.of(), G.Box.of("t_")).alias("iou"), "category")).alias("v")
-    return X.flips(spark, d).drop("class_id").join(t, "image_id").groupBy("image_id", "confidence", "x1", "y1", "x2", "y2").agg(best).select("image_id", "confidence", "x1", "y1", "x2", "y2", "v.iou", "v.category")
+    """An image's truths are an array beside each of its boxes, so that pairs are neither shuffled nor sorted."""
+    box = ("x1", "y1", "x2", "y2")
+    truths = X.truth(spark, d).groupBy("image_id").agg(F.collect_list(F.struct(F.col("class_id").alias("category"), *box)).alias("truths"))
+    best = F.array_max(F.transform("truths", lambda t: F.struct(matching.struct_iou(F.struct(*box), t).alias("iou"), t["category"].alias("category")))).alias("v")
+    rows = X.flips(spark, d).select("image_id", "confidence", *box).distinct()
+    return rows.join(truths, "image_id").select("image_id", "confidence", *box, best).select("image_id", "confidence", *box, "v.iou", "v.category")
 
 
 @query("J20_assignment_scores", "SELECT e.vec_id, e.label, coalesce(l.toxic, 0) AS score FROM embeddings e LEFT JOIN labels l ON e.vec_id = l.doc_id")
