@@ -150,7 +150,7 @@ def p16(spark, d):
 
 def crop_start(low, high, size: int, most: float):
     """Left edge of a crop of ``size`` centred on an interval, rounded half to even and kept inside the image."""
-    middle = F.bround((low + high) / 2 - F.lit(size / 2), 0)
+    middle = F.rint((low + high) / 2 - F.lit(size / 2)) + F.lit(0.0)  # without decimals in between; a negative zero becomes zero
     return F.least(F.greatest(middle, F.lit(0.0)), F.lit(most - size))
 
 
@@ -177,8 +177,11 @@ def p17(spark, d):
 def p18(spark, d):
     b = G.Box.of()
     local = G.Box(F.greatest(b.x1 - F.col("cx"), F.lit(0.0)), F.greatest(b.y1 - F.col("cy"), F.lit(0.0)), F.least(b.x2 - F.col("cx"), F.lit(256.0)), F.least(b.y2 - F.col("cy"), F.lit(256.0)))
-    seen = crops(spark, d).where((local.x2 > local.x1) & (local.y2 > local.y1) & (local.area >= F.lit(0.4) * b.area))
-    return seen.select("image_id", "class_id", F.format_string("%.10f", (local.x1 + local.x2) / 2 / 256).alias("xc"), F.format_string("%.10f", (local.y1 + local.y2) / 2 / 256).alias("yc"))
+    # generated, so that the corners are not written out again at every place that names them
+    corners = F.inline(F.array(F.struct(*(getattr(local, c).alias(c) for c in ("x1", "y1", "x2", "y2")))))
+    seen = crops(spark, d).select("image_id", "class_id", b.area.alias("whole"), corners)
+    seen = seen.where((b.x2 > b.x1) & (b.y2 > b.y1) & (b.area >= F.lit(0.4) * F.col("whole")))
+    return seen.select("image_id", "class_id", F.format_string("%.10f", (b.x1 + b.x2) / 2 / 256).alias("xc"), F.format_string("%.10f", (b.y1 + b.y2) / 2 / 256).alias("yc"))
 
 
 @query("P19_canonical_projection", X.sql("SELECT 'lineitem' AS source, CAST(image_id AS VARCHAR) AS source_image_id, class_id, [x1,y1,x2,y2] AS xyxy, 800 AS width, 600 AS height FROM boxes"))
