@@ -49,7 +49,7 @@ def w08(spark, d):
 def w09(spark, d):
     small = crops(spark, d).withColumn("area", G.Box.of().area).where(F.col("area") / 480000 < 0.05)
     first = small.groupBy("image_id", "cx", "cy").agg(F.min(F.struct("area", "class_id", "x1", "y1")).alias("o"))
-    return first.select("image_id", "cx", "cy", F.row_number().over(Window.partitionBy("image_id").orderBy("o")).cast("long").alias("k")).where("k <= 4")
+    return first.select("image_id", "cx", "cy", F.row_number().over(Window.partitionBy("image_id").orderBy("o", "cx", "cy")).cast("long").alias("k")).where("k <= 4")
 
 
 @query("W10_occurrence", "SELECT event_type, user_id, count(*) AS n FROM (SELECT event_type, user_id % 30 AS user_id, row_number() OVER (PARTITION BY event_type, user_id % 30 ORDER BY event_id) AS k FROM events) WHERE k <= 5 GROUP BY ALL")
