@@ -6,10 +6,17 @@ and every row gets its class by one join. So k copies give k rows, whatever k is
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxwright.operators import graphs
 
@@ -17,42 +24,43 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word counts once more at each of these numbers of occurrences, so that frequent words do not drown the others.
 STEPS = (1, 2, 4, 8, 16, 32, 64)
 MOST = 4
-
-
-def _ordered(text: Column) -> Column:
-    """The words of a text, sorted."""
-    return F.sort_array(F.filter(F.split(F.translate(text, UPPER, LOWER), "[ \t-\r]+", -1), lambda w: w != ""))
-
-
-def _repeats(words: str, back: int) -> Column:
-    """The sorted words that stand ``back`` places further on again: ``back`` fewer of each."""
-    return F.filter(words, lambda w, i: F.get(words, i - back) == w)
-
-
-def _with_steps(rows: DataFrame) -> DataFrame:
-    """Adds, for each step n, column ``s<n>`` of the sorted words in ``s1``: of a word of c occurrences c - n + 1 are left in it."""
-    for n in STEPS[1:]:
-        rows = rows.withColumn(f"s{n}", _repeats(f"s{n // 2}", n // 2))
-    return rows
+#: A task remembers the hashes of so many words, and adds up so many at a time.
+KNOWN, BLOCK = 1 << 18, 1 << 14
+
+
+def _hash_of(text: bytes | None, known: dict[bytes, int]) -> int:
+    """The hash of a text, as a signed long; ``known`` keeps words' hashes from text to text."""
+    counts = Counter((text or b"").lower().split())  # of bytes: A-Z and ASCII white space alone
+    if len(known) > KNOWN:
+        known.clear()
+    for w in counts:
+        if w not in known:
+            known[w] = int.from_bytes(md5(w, usedforsecurity=False).digest()[:8], "big")
+    hashes = np.fromiter(map(known.__getitem__, counts), np.uint64, len(counts)).astype("<u8")
+    weights = np.fromiter((bisect_right(STEPS, c) for c in counts.values()), np.uint8, len(counts))
+    sums = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums += (bits * weights[at : at + BLOCK, None]).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * sums > weights.sum(dtype=np.int64), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, hash) for every row: bit k is set if more than half the features' hashes (the first 64 bits of their MD5) have it. Texts without
     a word, null ones too, hash to zero. Rows of one key and text are one.
 
-    Two counters share a long, so a row's features are added up by 32 sums and combined before the shuffle, which moves a row a text.
+    A text is hashed where it is read; what is shuffled is a short row a text.
     """
-    sorted_words = rows.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), _ordered(F.coalesce(F.col(text), F.lit(""))).alias("s1"))
-    features = F.concat(*(F.array_distinct(f"s{n}") for n in STEPS))
-    exploded = _with_steps(sorted_words).select("key", "version", F.explode_outer(features).alias("word"))
-    hashed = exploded.select("key", "version", F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 16), 16, -10).cast("long").alias("h"))
-    both = [F.sum(F.expr(f"((h >> {k + 32}) & 1L) | (((h >> {k}) & 1L) << 32)")).alias(f"c{k}") for k in range(32)]
-    counted = hashed.groupBy("key", "version").agg(F.count("h").alias("n"), *both)
-    bits = [F.expr(f"IF(2 * (c{k} & 4294967295L) > n, 1L << {k + 32}, 0L) | IF(2 * (c{k} >> 32) > n, 1L << {k}, 0L)") for k in range(32)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return counted.select(F.col("key").alias(key), F.coalesce(total, F.lit(0)).cast("long").alias("hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for b in batches:
+            hashes = pa.array([_hash_of(t.as_py(), known) for t in b.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), hashes], names=["key", "version", "hash"])
+
+    told = rows.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).cast("binary").alias("text"))
+    schema = T.StructType([T.StructField("key", told.schema["key"].dataType), T.StructField("version", T.LongType()), T.StructField("hash", T.LongType())])
+    return told.mapInArrow(run, schema).dropDuplicates(["key", "version"]).select(F.col("key").alias(key), "hash")
 
 
 def classes(prints: DataFrame, key: str = "doc_id") -> DataFrame:
