@@ -39,7 +39,9 @@ HEAD, DISCOUNT = 1 << 17, 0.5
 ROUNDS, RATE, FIRST, PRIOR, KAPPA = 4, 0.5, 0.35, 10.0, 4.0
 #: A weight's largest amount: six of them stay far within what a float32 exponential holds.
 FARTHEST = 10.0
-BLOCK, GROUP_BYTES, TOKENS, TASK_TOKENS = 256, 1 << 20, 1 << 15, 1 << 22
+BLOCK, TOKENS, TASK_TOKENS = 256, 1 << 13, 1 << 22
+#: Bytes of texts handled at once: many where words are counted, fewer elsewhere, so that what a choice needs stays in a core's cache.
+GROUP_BYTES, PART_BYTES = 1 << 20, 1 << 17
 #: Features of each level.
 FEATURES = (6, 6, 3, 3)
 #: Hashes of the end token and of what precedes a text.
@@ -49,6 +51,11 @@ _CODES = WIDTH * WIDTH
 _N_SUFFIX = _CODES - 1 - OWN
 #: First node of each level; a node is a softmax over WIDTH classes.
 _NODES = (0, 1, 1 + WIDTH, 1 + WIDTH + _CODES, 1 + WIDTH + _CODES + _CODES * WIDTH)
+#: What tells a feature's rows at different nodes apart.
+_SALTS = (bytesops.mix(np.arange(_NODES[-1], dtype=np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
+_ODD = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint32(0x9E3779B1))
+#: Frequent words are looked up by so many leading bits of their hashes.
+LEADING = 17
 
 
 class Tokens(NamedTuple):
@@ -77,7 +84,7 @@ def slots(hashes: np.ndarray) -> np.ndarray:
 
 
 def history(t: Tokens) -> list[np.ndarray]:
-    """The hashes of each token's features; the first three are those of the lower levels."""
+    """The 32-bit hashes of each token's features; the first three are those of the lower levels."""
 
     def back(values: np.ndarray, k: int, none: np.uint64) -> np.ndarray:
         out = np.full(len(values), none, np.uint64)
@@ -87,7 +94,8 @@ def history(t: Tokens) -> list[np.ndarray]:
 
     one, two, three = (back(t.hashes, k, BEFORE) for k in (1, 2, 3))
     kinds = (t.suffix.astype(np.uint64) + np.uint64(1)) << np.uint64(32)
-    return [one, back(kinds, 1, BEFORE), two + np.uint64(7), back(kinds, 2, BEFORE) + np.uint64(7), one * np.uint64(0x9E3779B97F4A7C15) + two, three + np.uint64(13)]
+    found = [one, back(kinds, 1, BEFORE), two, back(kinds, 2, BEFORE), one * np.uint64(0x9E3779B97F4A7C15) + two, three]
+    return [((h + np.uint64(1000 * (k + 1))) * _ODD[0] >> np.uint64(32)).astype(np.uint32) for k, h in enumerate(found)]
 
 
 class Decisions(NamedTuple):
@@ -103,15 +111,19 @@ def decisions(codes: np.ndarray, slot: np.ndarray, features: list[np.ndarray], s
     """The choices that lead to each token's last class; words with a class of their own make two. ``size``: rows of the table."""
     deep = np.flatnonzero(codes > OWN)
     every = np.arange(len(codes))
+    own, low, some, shift = codes, slot, features, np.uint32(33 - size.bit_length())
     for level in range(LEVELS):
         token = every if level < 2 else deep
-        own, low = codes[token], slot[token]
+        if level == 2:
+            own, low, some = codes[deep], slot[deep], [f[deep] for f in features[: FEATURES[2]]]
         above = (np.zeros(len(token), np.int64), own // WIDTH, own, own * WIDTH + low // WIDTH)[level]
         chosen = (own // WIDTH, own % WIDTH, low // WIDTH, low % WIDTH)[level]
         node = above + _NODES[level]
-        salt = node.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        rows = [(bytesops.mix(features[k][token] + salt + np.uint64(1000 * (k + 1))) & np.uint64(size - 1)).astype(np.int32) for k in range(FEATURES[level])]
-        yield Decisions(token, node, chosen, np.stack(rows, axis=1))
+        salt = _SALTS.take(node)
+        rows = np.empty((FEATURES[level], len(token)), np.intp)
+        for k in range(FEATURES[level]):
+            rows[k] = (some[k] ^ salt) * _ODD[1] >> shift
+        yield Decisions(token, node, chosen, rows.T)
 
 
 class Words(NamedTuple):
@@ -128,12 +140,24 @@ class Words(NamedTuple):
     #: How many rows the weights have.
     rows: int
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
+    def begins(self) -> np.ndarray:
+        """Where the hashes of each beginning of ``LEADING`` bits begin."""
+        return np.searchsorted(self.hashes, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING))
+
+    def find(self, hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Each hash's place, -1 for none."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        last = len(self.hashes) - 1
+        at = np.minimum(begins.take((hashes >> np.uint64(64 - LEADING)).view(np.int64)), last)
+        there = self.hashes.take(at)
+        # some words begin alike
+        ahead = np.flatnonzero(there < hashes)
+        while len(ahead):
+            at[ahead] = np.minimum(at[ahead] + 1, last)
+            there[ahead] = self.hashes.take(at[ahead])
+            ahead = ahead[(there[ahead] < hashes[ahead]) & (at[ahead] < last)]
+        return np.where(there == hashes, at, -1)
 
     def classes(self, t: Tokens, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class of the upper levels, slot in the lower ones: 0 for words of their own class)."""
@@ -165,8 +189,8 @@ def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), trains.alias("trains"), slice_.alias("slice"))
 
 
-def _groups(b: pa.RecordBatch) -> Iterator[tuple[int, int, Tokens]]:
-    for at, to, w in bytesops.words_in(b.column(1), lower=True, limit=GROUP_BYTES):
+def _groups(b: pa.RecordBatch, limit: int) -> Iterator[tuple[int, int, Tokens]]:
+    for at, to, w in bytesops.words_in(b.column(1), lower=True, limit=limit):
         yield at, to, tokens(w)
 
 
@@ -175,9 +199,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, t in _groups(b):
-                one, first, n = np.unique(t.hashes, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(t.suffix[first].astype(np.int32)), pa.array(n)], names=["h", "suffix", "c"])
+            for _, _, t in _groups(b, GROUP_BYTES):
+                order = np.argsort(t.hashes)
+                hashes = t.hashes[order]
+                first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else order
+                n = np.diff(np.append(first, len(hashes)))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(t.suffix[order[first]].astype(np.int32)), pa.array(n)], names=["h", "suffix", "c"])
 
     return _input(docs).where("trains").mapInArrow(run, "h long, suffix int, c long").groupBy("h", "suffix").agg(F.sum("c").alias("c"))
 
@@ -250,15 +277,17 @@ class Model(NamedTuple):
     def logits(self, d: Decisions) -> np.ndarray:
         """(choices, WIDTH). Weights are within ``FARTHEST``, so exponentials need no shift."""
         logit = self.bias.take(d.node, axis=0)
+        part = np.empty_like(logit)
         for k in range(d.rows.shape[1]):
-            logit += self.weights.take(d.rows[:, k], axis=0)
+            np.take(self.weights, d.rows[:, k], axis=0, out=part, mode="clip")  # no row is out of range; this mode needs no copy
+            logit += part
         return logit
 
     def probabilities(self, d: Decisions) -> np.ndarray:
         """(choices, WIDTH)."""
         p = self.logits(d)
         np.exp(p, out=p)
-        p /= (p @ _ONES)[:, None]
+        p *= (1 / (p @ _ONES))[:, None]
         return p
 
     def log_probabilities(self, d: Decisions) -> np.ndarray:
@@ -267,13 +296,20 @@ class Model(NamedTuple):
         logit -= np.log(np.exp(logit) @ _ONES)[:, None]
         return logit
 
+    def log_chosen(self, d: Decisions) -> np.ndarray:
+        """Of :meth:`log_probabilities` those of the classes chosen."""
+        logit = self.logits(d)
+        own = logit[np.arange(len(logit)), d.chosen]
+        np.exp(logit, out=logit)
+        return own - np.log(logit @ _ONES)
+
 
-def _parts(t: Tokens, words: Words) -> Iterator[tuple[slice, list[Decisions]]]:
-    """The choices of a group, ``TOKENS`` tokens at a time."""
-    codes, slot = words.classes(t, words.find(t.hashes))
+def _parts(t: Tokens, words: Words, at: np.ndarray) -> Iterator[tuple[slice, list[Decisions]]]:
+    """The choices of a group, ``TOKENS`` tokens at a time. ``at``: the places of its words."""
+    codes, slot = words.classes(t, at)
     features = history(t)
-    for at in range(0, len(codes), TOKENS):
-        s = slice(at, at + TOKENS)
+    for begin in range(0, len(codes), TOKENS):
+        s = slice(begin, begin + TOKENS)
         yield s, list(decisions(codes[s], slot[s], [f[s] for f in features], words.rows))
 
 
@@ -281,7 +317,9 @@ def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """``into[rows] += values``, with repeats."""
     # two neighbouring numbers are added at once, as the parts of a complex one
     half = WIDTH // 2
-    at = rows[:, None] * half + np.arange(half)
+    at, first = np.empty((len(rows), half), np.intp), rows * half
+    for k in range(half):
+        np.add(first, k, out=at[:, k])
     np.add.at(into.view(np.complex64).reshape(-1), at.reshape(-1), values.view(np.complex64).reshape(-1))
 
 
@@ -291,19 +329,20 @@ def moments(docs: DataFrame, words: Words, model: Model, turn: int | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, now = shared.value
+        begins = known.begins()
         seen, expected = np.zeros(size * WIDTH, np.float32), np.zeros((size, WIDTH), np.float32)
         # before the first step a choice's probabilities are its node's shares: of the few upper nodes it is enough to count choices
         shares, upper = np.exp(now.bias), np.zeros(size * _NODES[2] if turn is None else 0, np.float32)
         for b in batches:
-            for _, _, t in _groups(b):
-                for _, choices in _parts(t, known):
+            for _, _, t in _groups(b, PART_BYTES):
+                for _, choices in _parts(t, known, known.find(t.hashes, begins)):
                     for level, d in enumerate(choices):
                         if not len(d.token):
                             continue
                         few = turn is None and level < 2
                         p = None if few else shares.take(d.node, axis=0) if turn is None else now.probabilities(d)
                         for k in range(d.rows.shape[1]):
-                            row = d.rows[:, k].astype(np.int64)
+                            row = d.rows[:, k]
                             np.add.at(seen, row * WIDTH + d.chosen, np.float32(1))
                             if few:
                                 np.add.at(upper, row * _NODES[2] + d.node, np.float32(1))
@@ -349,21 +388,21 @@ def score(docs: DataFrame, words: Words, model: Model, counts: DataFrame) -> Dat
         from pyspark import TaskContext
 
         known, now = shared.value
-        rid = TaskContext.get().partitionId() << 40
+        begins, rid = known.begins(), TaskContext.get().partitionId() << 40
         base_of = np.log10((known.counts + 0.1) / known.base_divisor)
         unseen, of_leaf = known.unseen(), np.log10(np.maximum(known.leaf_total, 1))
         for b in batches:
             held = ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, to, t in _groups(b):
+            for lo, to, t in _groups(b, PART_BYTES):
                 n = to - lo
-                at = known.find(t.hashes)
+                at = known.find(t.hashes, begins)
                 codes, slot = known.classes(t, at)
                 leaf = codes * _CODES + slot
                 value = np.zeros(len(codes))
-                for s, choices in _parts(t, known):
+                for s, choices in _parts(t, known, at):
                     for d in choices:
                         if len(d.token):
-                            value[s.start + d.token] += now.log_probabilities(d)[np.arange(len(d.token)), d.chosen]
+                            value[s.start + d.token] += now.log_chosen(d)
                 value /= np.log(10)
                 head = at >= 0
                 value[head] += np.log10(known.counts[at[head]] - DISCOUNT) - of_leaf[leaf[head]]

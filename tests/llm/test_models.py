@@ -117,6 +117,22 @@ def test_lm_probabilities_sum_to_one(spark):
     assert np.allclose(seen + 10 ** words.unseen(), 1)
 
 
+def test_words_that_begin_alike_are_found_and_chosen_classes_agree():
+    r = np.random.default_rng(3)
+    # many hashes with the same leading bits, in places up to the last
+    hashes = np.unique(np.concatenate((r.integers(0, 1 << 63, 500, np.uint64) * np.uint64(2), np.uint64((1 << 64) - 1) - np.arange(40, dtype=np.uint64), np.uint64(5 << 50) + np.arange(60, dtype=np.uint64))))
+    n = np.ones(lm_score._CODES**2)
+    words = lm_score.Words(hashes, np.ones(len(hashes), np.int64), np.full(len(hashes), -1), len(hashes), len(hashes), n, n, 1 << 14)
+    asked = np.concatenate((hashes, hashes + np.uint64(1), hashes - np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)))
+    place = {h: k for k, h in enumerate(hashes.tolist())}
+    assert words.find(asked, words.begins()).tolist() == [place.get(h, -1) for h in asked.tolist()]
+    model = lm_score.Model(words.shares(), r.normal(0, 1, (words.rows, lm_score.WIDTH)).astype(np.float32))
+    codes = r.integers(0, lm_score._CODES, 300)
+    features = [r.integers(0, 1 << 32, 300, np.uint32) for _ in range(6)]
+    for d in lm_score.decisions(codes, codes[::-1], features, words.rows):
+        assert np.allclose(model.log_chosen(d), model.log_probabilities(d)[np.arange(len(d.token)), d.chosen], atol=1e-4)
+
+
 def test_lm_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm_score.lm_scores(docs).count() == 0
