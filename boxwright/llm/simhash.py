@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from boxwright.llm import bytesops
 from boxwright.llm.graph import connected
-from boxwright.llm.store import Tables
+from boxwright.llm.store import Tables, shuffled
 
 WORDS, BITS, SEED = 4, 4, 42
 #: So many members of a bucket meet the others in one task.
@@ -104,7 +104,7 @@ def _keys(fp) -> list:
 
 
 def _keyed(fps: DataFrame, *more: str) -> DataFrame:
-    return fps.select("fp", *more, F.explode(F.array(*_keys(F.col("fp")))).alias("key"))
+    return shuffled(fps.select("fp", *more, F.explode(F.array(*_keys(F.col("fp")))).alias("key")))
 
 
 def _close(a: str, b: str) -> str:
@@ -121,7 +121,7 @@ def near_components(distinct: DataFrame, tables: Tables, name: str = "simhash")
     first = tables.keep(*connected(star.toDF("a", "b"), f"{name}-star"))
     tables.drop(near)
     # what is still apart within a bucket; of two members the link is tested already
-    parts = distinct.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"))
+    parts = shuffled(distinct.select("fp")).join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"))
     parts = tables.cut(parts, f"{name}-parts")
     shares = _keyed(parts, "part").groupBy("key", "part").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("n > 2 AND parts > 1")
@@ -132,7 +132,7 @@ def near_components(distinct: DataFrame, tables: Tables, name: str = "simhash")
     left = mixed.where("part <> main").select("key", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"), F.col("fp").alias("fp_a"), F.col("part").alias("a"))
     right = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("fp").alias("fp_b"), F.col("part").alias("b"))
     met = (left["key"] == right["key"]) & (left["block"] == right["block"]) & F.expr("a <> b") & F.expr(_close("fp_a", "fp_b"))
-    cross = left.join(right, met).select("a", "b").distinct()
+    cross = shuffled(left).join(right, met).select("a", "b").distinct()
     second = tables.keep(*connected(cross, f"{name}-cross"))
     tables.drop(parts, mixed)
     second = second.withColumnRenamed("node", "part").withColumnRenamed("component", "whole")
@@ -147,13 +147,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = tables.cut(fingerprints(docs), "simhash-prints")
     by_print = tables.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-distinct")
     roots = near_components(by_print.select("fp"), tables)
-    rooted = by_print.join(roots, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    rooted = shuffled(by_print).join(roots, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     rooted = tables.cut(rooted, "simhash-rooted")
     tables.drop_all_but(prints, rooted)
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_print = rooted.join(least, "root").select("fp", "component_id")
+    of_print = shuffled(rooted).join(least, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return prints.join(of_print, "fp").select("doc_id", hexed, "component_id", "fp")
+    return shuffled(prints).join(of_print, "fp").select("doc_id", hexed, "component_id", "fp")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from boxwright.llm import simhash
 
@@ -52,3 +53,11 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
     assert simhash.keep_first(docs).count() == 0
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """Spark takes 64 keys a fingerprint for as small as the fingerprints, and sent them through the driver."""
+    distinct = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    ends = simhash._keyed(distinct).groupBy("key").agg(F.min("fp").alias("low"))
+    plan = simhash._keyed(distinct).join(ends, "key")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
